@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import bpe
+from tallyline.llm import bpe, pii
 from tallyline.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_bpe": op7_bpe}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op7_bpe": op7_bpe, "op10_pii": op10_pii}
 
 ORACLE_SQL: dict[str, str] = {}
