@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import bpe, pii
+from tallyline.llm import bpe, fingerprint, pii
 from tallyline.llm.common import table
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +27,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op10_pii": op10_pii}
+QUERIES = {"op2_fingerprint": op2_fingerprint, "op7_bpe": op7_bpe, "op10_pii": op10_pii}
 
 ORACLE_SQL: dict[str, str] = {}
