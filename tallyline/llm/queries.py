@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import bpe, fingerprint, pii, secrets
+from tallyline.llm import bpe, fingerprint, pii, secrets, simhash
 from tallyline.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
@@ -31,6 +35,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_fingerprint": op2_fingerprint, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op10_pii": op10_pii}
+QUERIES = {"op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op10_pii": op10_pii}
 
 ORACLE_SQL: dict[str, str] = {}
