@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import bpe, fingerprint, pii, secrets, simhash
+from tallyline.llm import bpe, fingerprint, pii, secrets, simhash, substring
 from tallyline.llm.common import table
 
 
@@ -31,10 +31,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op10_pii": op10_pii}
+QUERIES = {"op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op10_pii": op10_pii}
 
 ORACLE_SQL: dict[str, str] = {}
