@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import bpe, fingerprint, pii, secrets, simhash, substring
+from tallyline.llm import bpe, decontam, fingerprint, pii, secrets, simhash, substring
 from tallyline.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
@@ -39,6 +43,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op10_pii": op10_pii}
+QUERIES = {"op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op5_decontam": op5_decontam, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op10_pii": op10_pii}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontam": decontam.REPORT_SQL}
