@@ -174,10 +174,10 @@ WITH d AS (
 ), w AS (
   SELECT DISTINCT item_id, len(words[i:i + 9]) AS n, array_to_string(words[i:i + 9], ' ') AS phrase
   FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0)
-), at AS (
+), place AS (
   SELECT rid, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM w) WHERE len(words) >= n
 ), hit AS (
-  SELECT rid, s, at.n, item_id FROM at JOIN w ON w.n = at.n AND w.phrase = array_to_string(words[s:s + at.n - 1], ' ')
+  SELECT rid, s, place.n, item_id FROM place JOIN w ON w.n = place.n AND w.phrase = array_to_string(words[s:s + place.n - 1], ' ')
 ), pos AS (
   SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hit) GROUP BY rid
 ), met AS (

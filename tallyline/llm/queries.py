@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import bpe, decontam, fingerprint, pii, secrets, simhash, substring
+from tallyline.llm import bpe, decontam, fingerprint, pii, secrets, simhash, substring, warc
 from tallyline.llm.common import table
 
 
@@ -39,10 +39,15 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op5_decontam": op5_decontam, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op10_pii": op10_pii}
+QUERIES = {"op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op5_decontam": op5_decontam, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op9_warc": op9_warc, "op10_pii": op10_pii}
 
 ORACLE_SQL: dict[str, str] = {"op5_decontam": decontam.REPORT_SQL}
