@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import bpe, decontam, fingerprint, pii, secrets, simhash, substring, warc
+from tallyline.llm import bpe, chat, decontam, fingerprint, pii, secrets, simhash, substring, warc
 from tallyline.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.render(chat.fold(chat.from_turns(turns))))
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -48,6 +55,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op5_decontam": op5_decontam, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op9_warc": op9_warc, "op10_pii": op10_pii}
+QUERIES = {"op1_chat": op1_chat, "op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op5_decontam": op5_decontam, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op9_warc": op9_warc, "op10_pii": op10_pii}
 
-ORACLE_SQL: dict[str, str] = {"op5_decontam": decontam.REPORT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.DIGEST_SQL, "op5_decontam": decontam.REPORT_SQL}
