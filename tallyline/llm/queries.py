@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, decontam, fingerprint, pii, secrets, simhash, substring, warc
+from tallyline.llm import bpe, chat, decontam, fingerprint, pii, quality, secrets, simhash, substring, warc
 from tallyline.llm.common import table
 
 
@@ -23,6 +24,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +64,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op5_decontam": op5_decontam, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op9_warc": op9_warc, "op10_pii": op10_pii}
+QUERIES = {"op1_chat": op1_chat, "op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_decontam": op5_decontam, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op9_warc": op9_warc, "op10_pii": op10_pii}
 
 ORACLE_SQL: dict[str, str] = {"op1_chat": chat.DIGEST_SQL, "op5_decontam": decontam.REPORT_SQL}
