@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyline.functions.bind import let
+
 MONEY = "decimal(18,2)"
 
 
@@ -16,11 +18,25 @@ def parse_amount(c: Column, legacy: bool = False) -> Column:
     doesn't check groups). Brackets, a leading and a trailing minus each change the sign.
     """
     s = F.regexp_replace(c.cast("string"), r"(?i)€|\$|£|\b(EUR|EUROS?|USD|GBP)\b", "")
-    s = F.regexp_replace(s, r"[\s  ]+", "")
+    return let(F.regexp_replace(s, r"[\s  ]+", ""), lambda bare: _signed(bare, legacy))
+
+
+def _signed(s: Column, legacy: bool) -> Column:
     bracket = s.rlike(r"^\(.*\)$")
-    s = F.when(bracket, F.regexp_extract(s, r"^\((.*)\)$", 1)).otherwise(s)
-    minus = F.when(s.rlike("^[-−]"), 1).otherwise(0) + F.when(s.rlike("-$") & (F.length(s) > 1), 1).otherwise(0) + bracket.cast("int")
-    s = F.regexp_replace(F.regexp_replace(s, "^[-−+]", ""), "-$", "")
+    inner = F.when(bracket, F.regexp_extract(s, r"^\((.*)\)$", 1)).otherwise(s)
+
+    def value(t):
+        minus = F.when(t.rlike("^[-−]"), 1).otherwise(0) + F.when(t.rlike("-$") & (F.length(t) > 1), 1).otherwise(0) + bracket.cast("int")
+        return let(_number(F.regexp_replace(F.regexp_replace(t, "^[-−+]", ""), "-$", ""), legacy), lambda v: F.when(minus % 2 == 1, -v).otherwise(v))
+
+    return let(inner, value)
+
+
+def _number(text: Column, legacy: bool) -> Column:
+    return let(text, lambda s: _parsed(s, legacy))
+
+
+def _parsed(s: Column, legacy: bool) -> Column:
     spanish = s.rlike(r"^\d{1,3}(\.\d{3})+,\d*$") | s.rlike(r"^\d*,\d*$")
     english = s.rlike(r"^\d{1,3}(,\d{3})+\.\d*$") | s.rlike(r"^\d*\.\d*$")
     dots, commas = s.rlike(r"^\d{1,3}(\.\d{3})+$"), s.rlike(r"^\d{1,3}(,\d{3}){2,}$")
@@ -36,9 +52,7 @@ def parse_amount(c: Column, legacy: bool = False) -> Column:
             .when(english, F.replace(s, F.lit(","), F.lit("")))
             .otherwise(plain)
         )
-    number = F.when(number.rlike(r"\d"), F.regexp_replace(number, r"\.$", ""))
-    value = number.try_cast("decimal(18,4)")
-    return F.when(minus % 2 == 1, -value).otherwise(value)
+    return let(number, lambda n: F.when(n.rlike(r"\d"), F.regexp_replace(n, r"\.$", "")).try_cast("decimal(18,4)"))
 
 
 def format_amount(c: Column, decimals: int = 2) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyline.functions.bind import let
 from tallyline.functions.text import strip_diacritics
 
 #: Month names in Spanish, Catalan and English, accent-free, January first.
@@ -28,7 +29,7 @@ SHORT = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "
 def full_year(y: Column) -> Column:
     """Two digits under 70 are of this century, others of the last; four digits stay."""
     n = y.try_cast("int")
-    return F.when(F.length(y) == 2, F.when(n < 70, 2000 + n).otherwise(1900 + n)).otherwise(n)
+    return n + F.when(F.length(y) == 2, F.when(n < 70, 2000).otherwise(1900)).otherwise(0)
 
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
@@ -46,7 +47,10 @@ def _month(name: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """ISO, day/month/year, or day, month name and year in a short text; null if there is none."""
-    s = F.trim(F.lower(strip_diacritics(c)))
+    return let(F.trim(F.lower(strip_diacritics(c))), _first_date)
+
+
+def _first_date(s: Column) -> Column:
     iso, numeric = r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)", r"(?<!\d)(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})(?!\d)"
     worded = r"(?<!\d)(\d{1,2})(?:r|n|er|e|a|st|nd|rd|th)?[\s\-/.]*(?:de\s+|d')?([a-z]{2,10})\.?[\s\-/.]*(?:del?\s+|de\s+l')?(\d{4}|\d{2})(?!\d)"
 
@@ -59,7 +63,7 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(
         calendar_date(number(iso, 1), number(iso, 2), number(iso, 3)),
         calendar_date(full_year(part(numeric, 3)), number(numeric, 2), number(numeric, 1)),
-        calendar_date(full_year(part(worded, 3)), _month(part(worded, 2)), number(worded, 1)),
+        calendar_date(full_year(part(worded, 3)), let(part(worded, 2), _month), number(worded, 1)),
     )
 
 
@@ -70,7 +74,10 @@ def fiscal_year(d: Column, start_month: int = 1) -> Column:
 
 def period_for_credit(operation: Column, concept: Column) -> Column:
     """First day of the month that a credit is for: mm/yyyy in its text, else the first month named, else its own."""
-    s = F.lower(strip_diacritics(F.coalesce(concept, F.lit(""))))
+    return let(F.lower(strip_diacritics(F.coalesce(concept, F.lit("")))), lambda s: _period(operation, s))
+
+
+def _period(operation: Column, s: Column) -> Column:
     numeric = r"(?:^|[^0-9])(0[1-9]|1[0-2])[/\-.](20\d{2})(?:[^0-9]|$)"
     out = F.when(s.rlike(numeric), F.try_to_date(F.concat(F.regexp_extract(s, numeric, 2), F.lit("-"), F.regexp_extract(s, numeric, 1), F.lit("-01"))))
     for i, names in enumerate(MONTHS):

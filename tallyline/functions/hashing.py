@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyline.functions.amounts import parse_amount
+from tallyline.functions.bind import let
 from tallyline.functions.dates import parse_date
 from tallyline.functions.ids import norm_nif
 from tallyline.functions.text import invoice_number
@@ -36,7 +37,10 @@ def row_hash(*columns: str) -> Column:
 
 def document_key(nif: Column, serie: Column, number: Column, total: Column, day: Column) -> Column:
     """NIF|SERIES|NUMBER|TOTAL|DATE of an invoice, for finding its twins."""
-    own = invoice_number(number)
+    return let(invoice_number(number), lambda own: _document_key(nif, serie, own, total, day))
+
+
+def _document_key(nif: Column, serie: Column, own: Column, total: Column, day: Column) -> Column:
     series = F.concat(F.replace(invoice_number(serie)["canonical"], F.lit("-"), F.lit("")), own["series"])
     # a number without digits is its own series too
     count = F.when(own["number"].isNull(), own["canonical"]).otherwise(F.concat(own["number"].cast("string"), own["suffix"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyline.functions.bind import let
+
 #: Check letters of personal numbers by remainder modulo 23, and of entities by check digit.
 PERSON_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 ENTITY_LETTERS = "JABCDEFGHI"
@@ -24,8 +26,11 @@ def _letter(letters: str, at: Column) -> Column:
 
 def norm_nif(c: Column) -> Column:
     """Upper case without separators and ES prefix; personal numbers padded to nine characters."""
-    s = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[\s.\-_/]", "")
-    s = F.when((F.length(s) == 11) & F.startswith(s, F.lit("ES")), F.substring(s, 3, 9)).otherwise(s)
+    bare = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[\s.\-_/]", "")
+    return let(F.regexp_replace(bare, "^ES(?=.{9}$)", ""), _padded)
+
+
+def _padded(s: Column) -> Column:
     person, foreign = r"^(\d{1,8})([A-Z])$", r"^([XYZ])(\d{1,7})([A-Z])$"
     return (
         F.when(s.rlike(person), F.concat(F.lpad(F.regexp_extract(s, person, 1), 8, "0"), F.regexp_extract(s, person, 2)))
@@ -49,13 +54,15 @@ def entity_digit(digits: Column) -> Column:
 
 def check_nif(c: Column) -> Column:
     """struct(valid, kind, nif, entity, reason) of a tax number."""
-    n = norm_nif(c)
+    return let(norm_nif(c), lambda n: let(entity_digit(F.substring(n, 2, 7)), lambda check: _checked(n, check)))
+
+
+def _checked(n: Column, check: Column) -> Column:
     body, last, first = F.substring(n, 2, 7), F.right(n, F.lit(1)), F.left(n, F.lit(1))
 
     def person(digits):
         return last == _letter(PERSON_LETTERS, F.coalesce(digits.try_cast("bigint"), F.lit(0)).cast("int") % 23)
 
-    check = entity_digit(body)
     as_digit, as_letter = last == check.cast("string"), last == _letter(ENTITY_LETTERS, check)
     digit_ok, letter_ok = ~first.isin(*LETTER_CHECK), ~first.isin(*DIGIT_CHECK)
     entity_ok = (as_digit & digit_ok) | (as_letter & letter_ok)
@@ -118,7 +125,10 @@ def ccc_to_iban(ccc: Column) -> Column:
 
 def check_iban(c: Column) -> Column:
     """struct(valid, iban, country, reason); Spanish accounts need their domestic check digits too."""
-    s = norm_iban(c)
+    return let(norm_iban(c), _checked_iban)
+
+
+def _checked_iban(s: Column) -> Column:
     country = F.left(s, F.lit(2))
     length = F.coalesce(*(F.when(country == k, v) for k, v in IBAN_LENGTHS.items()))
     shaped = s.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{8,30}$")

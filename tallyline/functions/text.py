@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyline.functions.bind import let
+
 
 def _accents() -> tuple[str, str]:
     """Letters of the Latin blocks that decompose into a base letter and marks, and their base letters."""
@@ -46,10 +48,9 @@ def norm_ref(c: Column) -> Column:
 
 def reference_in_text(serie: Column, number: Column, text: Column) -> Column:
     """True if the number, with or without its series, of three characters or more stands in text."""
-    hay = norm_ref(text)
 
     def inside(ref):
-        return (F.length(ref) >= 3) & F.contains(hay, ref)
+        return let(ref, lambda r: (F.length(r) >= 3) & F.contains(norm_ref(text), r))
 
     return inside(norm_ref(F.concat(F.coalesce(serie, F.lit("")), F.coalesce(number, F.lit(""))))) | inside(norm_ref(number))
 
@@ -107,13 +108,20 @@ def norm_company(c: Column) -> Column:
         c = F.regexp_replace(F.regexp_replace(c, QUALIFIERS, ""), last, "")
     inner = [w for w in LEGAL_WORDS if w not in LAST_ONLY]
     words = F.filter(F.split(c, " "), lambda w: (w != "") & ~w.isin(*inner, *CONNECTORS))
-    telling = F.filter(words, lambda w: ~w.isin(*TRADE_WORDS))
-    return F.array_join(F.when(F.size(telling) > 0, telling).otherwise(words), " ")
+
+    def told(kept):
+        telling = F.filter(kept, lambda w: ~w.isin(*TRADE_WORDS))
+        return F.array_join(F.when(F.size(telling) > 0, telling).otherwise(kept), " ")
+
+    return let(words, told)
 
 
 def invoice_number(c: Column) -> Column:
     """struct(series, number, suffix, canonical): the last run of digits is the number."""
-    text = F.trim(F.regexp_replace(F.upper(strip_diacritics(F.coalesce(c, F.lit("")))), r"\s+", " "))
+    return let(F.trim(F.regexp_replace(F.upper(strip_diacritics(F.coalesce(c, F.lit("")))), r"\s+", " ")), _number_parts)
+
+
+def _number_parts(text: Column) -> Column:
     shape = r"^(.*?)(\d+)[\s\-/._:]*([A-Z]*)[\s\-/._:]*$"
     there = text.rlike(shape)
     series = F.regexp_replace(F.when(there, F.regexp_extract(text, shape, 1)).otherwise(text), r"[\s\-/._:]+", "")
