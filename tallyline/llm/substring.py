@@ -8,8 +8,10 @@ anchor. Around repeated anchors matches are extended: every window that holds on
 with 128 bits, and those that occur twice are repeats. Windows are judged on the input.
 
 Hot passages: a hash that a batch holds more than once is known to repeat, so only one of its places
-goes to the group of that hash, the others are dealt out evenly. Texts are shuffled once, to the
-anchors found in them; what comes later reads a table of documents with repeated anchors.
+goes to the group of that hash, the others are dealt out evenly. What is shuffled is packed: a row
+holds the places (or a compressed text) of one batch for one partition, so a place costs its hash
+and a few bytes. Texts are shuffled twice, to the anchors and to the windows that repeat in them.
+A task holds the places of its partition; spark.sql.shuffle.partitions sizes it.
 
 Null texts have no words; a text under 35 words has no window. Where ids are null or repeat, rows
 are told apart by id and text, and equal rows count as copies of each other.
@@ -22,10 +24,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import materialise
+from tallyline.llm.common import by_bytes, materialise
 
 WINDOW = 35
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -110,107 +112,152 @@ def _scattered(hashes: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np
     return out, known
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())
+def _pack(bucket: np.ndarray, n: int, *columns: np.ndarray):
+    """(bucket, bytes) for each bucket that has rows: the columns' cells, compressed."""
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(n + 1))
+    columns = [c[order] for c in columns]
+    for i in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+        cells = [c[bounds[i] : bounds[i + 1]] for c in columns]
+        raw = b"".join((np.diff(c, prepend=c.dtype.type(0)) if c.dtype == np.int64 else c).tobytes() for c in cells)
+        yield i, len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _anchors(batches):
-    for batch in batches:
-        keys, places, hashes = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = words_of(text)
-            if len(words) >= WINDOW:
-                at = _cover(len(words))
-                keys.append(np.full(len(at), key, np.int64))
-                places.append(at)
-                hashes.append(_run_hashes(_word_hashes(words, 1), at, ANCHOR))
-        if keys:
-            key, at = np.concatenate(keys), np.concatenate(places)
-            found, known = _scattered(np.concatenate(hashes), key, at)
-            yield pa.RecordBatch.from_arrays([_long(found), pa.array(key), pa.array(at * 2 + known)], names=["hash", "key", "at"])
-
-
-def _windows(batches):
-    for batch in batches:
-        keys, places, ones, twos = [], [], [], []
-        for key, joined, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            starts, words = np.frombuffer(raw, np.int32).astype(np.int64), joined.split()
-            if len(starts):
-                keys.append(np.full(len(starts), key, np.int64))
-                places.append(starts)
-                ones.append(_run_hashes(_word_hashes(words, 1), starts, WINDOW, 0))
-                twos.append(_run_hashes(_word_hashes(words, 2), starts, WINDOW, 1))
-        if keys:
-            key, at, two = np.concatenate(keys), np.concatenate(places), np.concatenate(twos)
-            one = np.concatenate(ones)
-            mixed, known = _scattered(_mix(one) + two, key, at)  # equal only where both hashes are
-            extra = mixed != _mix(one) + two
-            one[extra] = mixed[extra]
-            yield pa.RecordBatch.from_arrays([_long(one), _long(two), pa.array(key), pa.array(at * 2 + known)], names=["one", "two", "key", "at"])
-
-
-def _repeated(places: DataFrame, *hashes: str) -> DataFrame:
-    """(key, at) of the places whose hash stands at another place too."""
-    group = Window.partitionBy(*hashes)
-    place = F.struct("key", "at")
-    spread = places.withColumns({"low": F.min(place).over(group), "high": F.max(place).over(group)})
-    return spread.where((F.col("low") != F.col("high")) | (F.col("at") % 2 == 1)).select("key", F.shiftright("at", 1).alias("at"))
-
-
-def _met(places: DataFrame, rows: DataFrame) -> DataFrame:
-    """The places of a key, then its row, in sorted partitions: (key, kind, at, *columns of rows)."""
-    columns = [c for c in rows.columns if c != "key"]
-    left = places.select("key", F.lit(0).alias("kind"), "at", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns))
-    right = rows.select("key", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("at"), *columns)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return left.unionByName(right).repartition(n, "key").sortWithinPartitions("key", "kind")
-
-
-def _streams(batches):
-    """(key, places, values) for each key's row; further rows of the key are its copies and are left out."""
-    key, places, done = None, [], False
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != key:
-                key, places, done = row[0], [], False
-            if not row[1]:
-                places.append(row[2])
-            elif not done:
-                done = True
-                yield key, places, row[3:]
+def _unpack(blob: bytes, *types) -> list[np.ndarray]:
+    size = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], size, "zstd", asbytes=True)
+    n, out, at = size // sum(np.dtype(t).itemsize for t in types), [], 0
+    for t in types:
+        cells = np.frombuffer(raw, t, n, at)
+        out.append(np.cumsum(cells) if np.dtype(t) == np.int64 else cells)
+        at += cells.nbytes
+    return out
+
+
+_PLACE = (np.uint64, np.uint32, np.int64, np.int32, np.uint8)  # hash, more of the hash, key, position, known to repeat
+_PACKED = "part int, kind int, cell binary"
+#: Characters of text whose places are packed together.
+_BATCH = 16_000_000
+
 
+def _packed(cells, kind: int):
+    cells = list(cells)
+    if cells:
+        part, blob = zip(*cells)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * len(part), pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "cell"])
 
-def _batches(rows, schema: pa.Schema, size: int):
-    part: list = []
 
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+def _send(n: int, keys: list, places: list, ones: list, twos: list):
+    """Places to the partition of their hash."""
+    if keys:
+        key, at = np.concatenate(keys), np.concatenate(places)
+        one, two = np.concatenate(ones), np.concatenate(twos)
+        mixed = _mix(one) + two
+        sent, known = _scattered(mixed, key, at)
+        extra = sent != mixed
+        one[extra] = sent[extra]
+        yield from _packed(_pack((_mix(one) % np.uint64(n)).astype(np.int64), n, one, two.astype(np.uint32), key, at.astype(np.int32), known.astype(np.uint8)), 0)
 
-    for row in rows:
-        part.append(row)
-        if len(part) >= size:
-            yield flush()
-            part = []
-    if part:
-        yield flush()
 
+def _anchors(n: int):
+    def run(batches):
+        for batch in batches:
+            found, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in by_bytes(texts, _BATCH):
+                keys, places, hashes = [], [], []
+                for key, text in zip(found[a:b], texts[a:b]):
+                    words = words_of(text)
+                    if len(words) >= WINDOW:
+                        at = _cover(len(words))
+                        keys.append(np.full(len(at), key, np.int64))
+                        places.append(at)
+                        hashes.append(_run_hashes(_word_hashes(words, 1), at, ANCHOR))
+                yield from _send(n, keys, places, hashes, [np.zeros(len(h), np.uint64) for h in hashes])
 
-_FOUND = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("words", pa.binary()), ("starts", pa.binary())])
+    return run
 
 
-def _extend(batches):
-    """Texts without repeated anchors are done; the others get the starts of the windows that hold one."""
+def _repeated(n: int):
+    """Of a partition's places those whose hash stands at another place too, to the partition of their key."""
 
-    def rows():
-        for key, anchors, (text,) in _streams(batches):
-            words = words_of(text)
-            if anchors and len(words) >= WINDOW:
-                starts = _candidates(np.array(anchors, np.int64), len(words))
-                yield key, len(words), None, b" ".join(words), starts.astype(np.int32).tobytes()
-            else:
-                yield key, len(words), _kept(words, np.zeros(0, np.int64))[1], None, None
+    def run(batches):
+        parts = [_unpack(cell, *_PLACE) for batch in batches for cell in batch.column(2).to_pylist()]
+        if not parts:
+            return
+        one, two, key, at, known = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        again |= known[order] > 0
+        key, at = key[order][again], at[order][again]
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+        yield from _packed(_pack(_home(key, n), n, key, at), 0)
+
+    return run
 
-    yield from _batches(rows(), _FOUND, 1024)
+
+def _home(key: np.ndarray, n: int) -> np.ndarray:
+    return (_mix(key.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def _texts(n: int):
+    """Texts, compressed, to the partition of their key."""
+
+    def run(batches):
+        for batch in batches:
+            keys = np.array(batch.column(0).to_pylist(), np.int64)
+            cells = []
+            for key, home, text in zip(keys.tolist(), _home(keys, n).tolist(), batch.column(1).to_pylist()):
+                raw = b" ".join(words_of(text))
+                cells.append((home, key.to_bytes(8, "little", signed=True) + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)))
+            yield from _packed(cells, 1)
+
+    return run
+
+
+def _met(batches):
+    """(key, words, places) of each text of a partition; the places come first. A key that comes again is a copy."""
+    parts, index, seen = [], None, set()
+    for batch in batches:
+        for kind, cell in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if not kind:
+                parts.append(_unpack(cell, np.int64, np.int32))
+                continue
+            if index is None:
+                key, at = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+                order = np.argsort(key, kind="stable")
+                index, at = key[order], at[order]
+                parts = []
+            key = int.from_bytes(cell[:8], "little", signed=True)
+            if key not in seen:
+                seen.add(key)
+                size = int.from_bytes(cell[8:16], "little")
+                a, b = np.searchsorted(index, key, "left"), np.searchsorted(index, key, "right")
+                yield key, pa.decompress(cell[16:], size, "zstd", asbytes=True).split() if size else [], np.unique(at[a:b]).astype(np.int64)
+
+
+def _windows(n: int):
+    """Whole hashes of the windows that hold a repeated anchor."""
+
+    def run(batches):
+        keys, places, ones, twos, held = [], [], [], [], 0
+        for key, words, anchors in _met(batches):
+            if len(anchors) and len(words) >= WINDOW:
+                starts = _candidates(anchors, len(words))
+                keys.append(np.full(len(starts), key, np.int64))
+                places.append(starts)
+                ones.append(_run_hashes(_word_hashes(words, 1), starts, WINDOW, 0))
+                twos.append(_run_hashes(_word_hashes(words, 2), starts, WINDOW, 1) >> np.uint64(32))
+                held += len(starts)
+                if held >= 1_000_000:
+                    yield from _send(n, keys, places, ones, twos)
+                    keys, places, ones, twos, held = [], [], [], [], 0
+        yield from _send(n, keys, places, ones, twos)
+
+    return run
 
 
 _RESULT = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
@@ -218,42 +265,49 @@ _RESULT = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 def _finish(with_text: bool):
     def run(batches):
-        def rows():
-            for key, repeats, (joined,) in _streams(batches):
-                words, starts = joined.split(), np.array(repeats, np.int64)
-                text = None
-                if with_text:
-                    gone = np.zeros(len(words), bool)
-                    for s in repeats:
-                        gone[s : s + WINDOW] = True
-                    text = b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
-                yield key, len(words), *_kept(words, starts), text
-
-        yield from _batches(rows(), _RESULT, 1024)
+        part: list = []
+        for key, words, starts in _met(batches):
+            text = None
+            if with_text:
+                gone = np.zeros(len(words), bool)
+                for s in starts.tolist():
+                    gone[s : s + WINDOW] = True
+                text = b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
+            part.append((key, len(words), *_kept(words, starts), text))
+            if len(part) >= 1024:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _RESULT)], schema=_RESULT)
+                part = []
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _RESULT)], schema=_RESULT)
 
     return run
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """id_col, n_words, n_removed and kept_sha256 of every document; with_text adds kept, the words left, where some went.
+    """id_col, n_words, n_removed and kept_sha256 of every document; with_text adds kept, the words left.
 
     A word is removed if a window that covers it has a word sequence that also starts anywhere else.
     """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
     plain = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty()
     key = F.col("id") if plain else F.xxhash64("id", "text")
     keyed = rows.select(key.alias("key"), "text")
+    texts = keyed.mapInArrow(_texts(n), _PACKED)
 
-    places = _repeated(keyed.mapInArrow(_anchors, "hash bigint, key bigint, at bigint"), "hash")
-    found = materialise(
-        _met(places, keyed).mapInArrow(_extend, "key bigint, n_words bigint, kept_sha256 string, words binary, starts binary"), "found"
-    )
-    open_ = found.where("words IS NOT NULL")
-    windows = open_.select("key", "words", "starts").mapInArrow(_windows, "one bigint, two bigint, key bigint, at bigint")
+    def dealt(packed):
+        return packed.repartitionById(n, F.col("part"))
+
+    def met(places):
+        return dealt(places.unionByName(texts)).sortWithinPartitions("kind")
+
+    def repeated(places):
+        return dealt(places).mapInArrow(_repeated(n), _PACKED)
+
+    anchors = repeated(keyed.mapInArrow(_anchors(n), _PACKED))
+    windows = repeated(met(anchors).mapInArrow(_windows(n), _PACKED))
     schema = "key bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
-    cut = _met(_repeated(windows, "one", "two"), open_.select("key", "words")).mapInArrow(_finish(with_text), schema)
-    whole = found.where("words IS NULL").select("key", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
-    result = cut.unionByName(whole)
+    result = met(windows).mapInArrow(_finish(with_text), schema)
     columns = ["n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
     if plain:
         return result.select(F.col("key").alias(id_col), *columns)
