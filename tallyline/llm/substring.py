@@ -322,3 +322,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         }
     )
     return ids.join(result, "key").select(F.col("id").alias(id_col), *columns)
+
+
+#: The same result in DuckDB.
+DEDUP_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), w AS (SELECT rid, words, unnest(range(1, len(words) - 33)) AS s FROM d WHERE len(words) >= 35),
+h AS (SELECT rid, s, md5(array_to_string(words[s:s + 34], ' ')) AS k FROM w),
+r AS (SELECT rid, s FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM h) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS i FROM r),
+each AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (rid, i) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_removed FROM gone GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""
