@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import amounts, dates, hashing, ids, text
 from tallyline.operators import assign, joins, ordered, scoring
-from tallyline.operators.scratch import materialise
+from tallyline.plans import report
 
 MONEY = "decimal(18,2)"
 QUERIES: dict = {}
@@ -644,3 +644,37 @@ def line_classification(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("word"))
     s = p.join(F.broadcast(words), "word").groupBy("p_partkey", "code").agg(F.count(F.lit(1)).alias("score"))  # six keywords
     return s.groupBy("p_partkey").agg(F.min(F.struct((-F.col("score")).alias("m"), "code")).alias("b")).select("p_partkey", F.col("b.code").alias("code"), (-F.col("b.m")).alias("score"))
+
+
+# ---- distribution tests
+
+
+@bound("""
+WITH d AS (SELECT regexp_extract((abs(l_extendedprice)::DECIMAL(38,6))::VARCHAR, '[1-9]')::INTEGER AS digit FROM lineitem WHERE l_extendedprice <> 0), c AS (SELECT digit, count(*) AS n FROM d GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS total, log10(1 + 1.0::DOUBLE / digit) AS e FROM c)
+SELECT digit, n::BIGINT AS n, (n / total)::DECIMAL(12,8) AS share, (total * (n / total - e) ** 2 / e)::DECIMAL(20,4) AS chi_square FROM t""", double="share chi_square")
+def leading_digits(spark, d):
+    out = report.first_digits(table(spark, d, "lineitem"), "l_extendedprice")
+    return out.select("digit", "n", F.col("share").cast("decimal(12,8)").alias("share"), F.col("chi_square").cast("decimal(20,4)").alias("chi_square"))
+
+
+@bound("""
+WITH r AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS n FROM orders), t AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS a, min(o_totalprice) AS b FROM r WHERE n <= 2 GROUP BY 1)
+SELECT o_custkey, n::BIGINT AS n, a AS largest, (a / b)::DECIMAL(20,6) AS factor FROM t WHERE n = 2 AND b > 0""", double="factor")
+def relative_size_factor(spark, d):
+    out = report.relative_size(table(spark, d, "orders"), "o_custkey", "o_totalprice")
+    return out.withColumn("factor", F.col("factor").cast("decimal(20,6)"))
+
+
+@bound("""
+SELECT l_partkey, count(*)::BIGINT AS n, regr_slope(l_extendedprice, (l_shipdate::DATE - DATE '1970-01-01'))::DECIMAL(20,4) AS slope FROM lineitem GROUP BY 1 HAVING count(*) >= 3 AND regr_slope(l_extendedprice, (l_shipdate::DATE - DATE '1970-01-01')) IS NOT NULL""", double="slope")
+def price_drift(spark, d):
+    out = report.price_drift(lines(spark, d), "l_partkey", "day", "l_extendedprice").where("slope IS NOT NULL")
+    return out.withColumn("slope", F.col("slope").cast("decimal(20,4)"))
+
+
+@bound("""
+WITH e AS (SELECT n_regionkey, s_suppkey, sum(l_extendedprice) AS v FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2), s AS (SELECT *, v / sum(v) OVER (PARTITION BY n_regionkey) AS s FROM e)
+SELECT n_regionkey, sum(s * s)::DECIMAL(12,6) AS hhi FROM s GROUP BY 1""", double="hhi")
+def concentration_index(spark, d):
+    x = lines(spark, d).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return report.concentration_index(x, "n_regionkey", "s_suppkey", "l_extendedprice").withColumn("hhi", F.col("hhi").cast("decimal(12,6)"))
