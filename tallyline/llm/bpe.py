@@ -25,11 +25,11 @@ from tallyline.llm.common import by_bytes
 #: Pieces that a worker remembers at most; when more are met, it starts afresh.
 MAX_PIECES = 250_000
 #: Token-position rows per recursive query, and the rows that its rounds may add up to.
-ROWS, ROUND_ROWS = 300_000, 6_000_000
+ROWS, ROUND_ROWS = 150_000, 3_000_000
 #: Bytes from which a piece is contracted on its own, by rounds that hold no earlier rounds.
 LONG = 1500
 #: Characters handled at once.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 3_000_000
 
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\\t-\\r \x85\xa0"
