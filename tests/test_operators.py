@@ -41,6 +41,20 @@ def test_greedy_equals_sequential(spark):
         assert {(r.a, r.b) for r in assign.greedy_pairs(df, "a", "b", [F.col("s")]).collect()} == want
 
 
+def test_interval_first_fit(spark):
+    rng = random.Random(5)
+    opens = [(i, rng.choice("ab"), rng.randrange(60), rng.randrange(2)) for i in range(40)]
+    closes = [(j, rng.choice("ab"), rng.randrange(60), rng.randrange(2)) for j in range(40)]
+    free, want = sorted(closes, key=lambda c: (c[2], c[0])), set()
+    for i, k, t, e in sorted(opens, key=lambda o: (o[2], o[0])):
+        hit = next((c for c in free if c[1] == k and c[3] == e and 0 < c[2] - t <= 15), None)
+        if hit:
+            free.remove(hit), want.add((i, hit[0]))
+    a, b = spark.createDataFrame(opens, "i int, k string, t int, e int"), spark.createDataFrame(closes, "j long, k string, u int, f int")
+    got = {(r.i, r.j) for r in assign.interval_first_fit(a, b, ["k"], "i", "j", "t", "u", 15, [("e", "f")]).collect()}
+    assert got == want
+
+
 def test_sets_are_exclusive(spark):
     sets = spark.createDataFrame([("x", ["1", "2"], 1), ("y", ["2", "3"], 2), ("z", ["3", "4"], 3)], "t string, parts array<string>, o int")
     assert {r.t for r in assign.greedy_sets(sets, "t", [F.col("o")]).collect()} == {"x", "z"}
