@@ -167,7 +167,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sent = (
         ranged.select("id", "text", "key", "part", F.lit(0).alias("guest"))
         .unionByName(guests)
-        .repartition(n, "part")
+        .repartitionById(n, F.col("part"))
         .sortWithinPartitions(F.col("part"), F.col("guest"), F.col("key").desc(), F.col("text"))
         .select("part", "guest", "id", "text")
     )
