@@ -88,20 +88,30 @@ def classify_transaction(amount: Column, text: Column, counterparty: Column, cod
 
 #: What minutes say, by kind of resolution, in the order in which they are tried.
 RESOLUTIONS = (
-    ("accounts_approval", r"aprova\w* (els? )?compt|aprueb\w* (las? )?cuenta|liquidaci"),
-    ("budget_approval", r"pressupost ordinari|presupuesto ordinario"),
-    ("derrama", r"derrama"),
-    ("works_approval", r"obr(a|es|as)\b|ascensor|rehabilitaci|reforma"),
-    ("appointment", r"nomena|nombra|president|administrador"),
-    ("delegation", r"deleg"),
+    ("derrama", r"derrama|quota extraordinaria|cuota extraordinaria"),
+    ("loan", r"prestec|prestamo|credit bancari|poliza de credito|hipotec"),
+    ("subsidy", r"subvenci"),
+    ("audit", r"auditor"),
+    ("contractor_choice", r"adjudic|escollir (l'|la |el )?empresa|seleccionar (la |el )?empresa|triar (l'|la |el )?empresa|elegir (la |el )?empresa"),
+    ("works_approval", r"obra|ascensor|reforma|rehabilitaci|instal.?laci|instalaci|façana|fachada|bastida|andami"),
+    ("budget", r"pressupost|presupuesto"),
+    ("accounts", r"comptes|cuentas|liquidaci|balanc|balance"),
+    ("delegation", None),  # the minutes hold a block on what is delegated
+    ("election", r"elecci|es nomena|se nombra|nomenament|nombramiento|es designa|se designa|renovacio? de"),
+    ("delegation", r"delega|faculta|autoritza|autoriza|apodera"),
 )
 
 
-def resolution_kind(text: Column) -> Column:
+def resolution_kind(text: Column, delegates: Column | None = None) -> Column:
+    """Kind of a resolution by its text; delegates says that the minutes hold a structured delegation."""
+
     def kind(t):
         out = F.when(F.lit(False), "")
         for name, pattern in RESOLUTIONS:
-            out = out.when(t.rlike(pattern), name)
+            if pattern is not None:
+                out = out.when(t.rlike(pattern), name)
+            elif delegates is not None:
+                out = out.when(F.coalesce(delegates, F.lit(False)), name)
         return out.otherwise("other")
 
     return let(fold(F.coalesce(text, F.lit("")), "lower"), kind)

@@ -162,16 +162,11 @@ def withhold_citations(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)\b(art(?:icle|ículo|iculo|\.)?s?\s+\d+(?:[.,]\d+)*(?:\s*(?:de la|del|of the)\s+\w+)?)", "[citation withheld]")
 
 
-#: Endings that a light stemmer for Spanish and Catalan takes off, longest first.
-ENDINGS = ("aciones", "acions", "acion", "acio", "mientos", "miento", "ments", "ment", "ores", "ors", "es", "os", "as", "s", "a", "o", "e")
-
-
 def stem(w: Column) -> Column:
-    """A word without one known ending, if at least four characters stay."""
-    out = F.when(F.lit(False), w)
-    for ending in ENDINGS:
-        out = out.when(F.endswith(w, F.lit(ending)) & (F.length(w) - len(ending) >= 4), F.left(w, F.length(w) - len(ending)))
-    return out.otherwise(w)
+    """A word without its plural and gender endings, in Spanish and Catalan; short words stay."""
+    long_, plural = F.length(w) > 5, F.regexp_replace(w, "s$", "")
+    one = F.when(long_ & w.rlike("es$"), F.regexp_replace(w, "es$", "")).when(F.length(w) > 4, plural).otherwise(w)
+    return let(one, lambda x: F.when(F.length(x) > 4, F.regexp_replace(x, "[ao]$", "")).otherwise(x))
 
 
 def tokens(c: Column) -> Column:

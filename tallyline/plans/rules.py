@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.hashing import fingerprint
-from tallyline.functions.text import fold, majority, norm_text
+from tallyline.functions.text import fold, norm_text
 from tallyline.operators import joins, ordered, scoring
 from tallyline.plans import views
 from tallyline.plans.schemas import Tables
@@ -208,7 +208,7 @@ def contributions(c):
     off = F.abs(F.col("e") - F.coalesce("p", F.lit(0)))
     rows = sums.where(off > F.greatest(F.lit(1000).cast("decimal(20,2)"), F.col("e") * F.lit("0.05").cast("decimal(3,2)")))
     d, u = F.col("derrama_id"), F.col("unit_id")
-    return [hit(rows, "D5", 2, text("derrama:", d, ":unit:", u), [d, u], ("derrama", d), (1.0, 0.9), off, computed=["e", "p"])]
+    return [hit(rows, "D5", 3, text("derrama:", d, ":unit:", u), [d, u], ("derrama", d), (1.0, 0.9), off, computed=["e", "p"])]
 
 
 @rule("D6")
@@ -305,9 +305,10 @@ def authority(c):
 
 #: What must come before each stage of works, and by how many days it may come after.
 STAGES = (
-    ("quote_accepted", "quote_received", 0), ("acta_approval", "quote_received", 15), ("contract_signed", "acta_approval", 0), ("permit_granted", "permit_filed", 0),
-    ("start_of_works", "permit_granted", 0), ("start_of_works", "contract_signed", 0), ("certification", "start_of_works", 0), ("final_certification", "certification", 0),
-    ("invoice", "contract_signed", 0), ("payment", "acta_approval", 0),
+    ("quote_accepted", "acta_approval", 15), ("contract_signed", "acta_approval", 0), ("permit_filed", "contract_signed", 0), ("permit_granted", "permit_filed", 0),
+    ("start_of_works", "contract_signed", 0), ("start_of_works", "permit_granted", 0), ("certification", "contract_signed", 0), ("certification", "start_of_works", 0),
+    ("invoice", "contract_signed", 0), ("final_certification", "certification", 0), ("payment", "acta_approval", 0), ("payment", "contract_signed", 0),
+    ("retention_release", "final_certification", 0),
 )
 
 
@@ -317,10 +318,17 @@ def sequence(c):
     order = c.tables.spark.createDataFrame(STAGES, "event_type string, before string, tolerance_days int")
     bad = ordered.sequence_check(first, order, "works_package_id", "event_type", "event_date").where("ok = false")
     bad = bad.join(first.select("community_id", "works_package_id", "event_type", "ref_id"), ["works_package_id", "event_type"])
+    earlier = first.select("works_package_id", F.col("event_type").alias("before"), F.col("ref_id").alias("before_ref"))
+    bad = bad.join(earlier, ["works_package_id", "before"], "left")
     p, kind, before = F.col("works_package_id"), F.col("event_type"), F.col("before")
     severity = F.when(kind.isin("payment") | before.isin("permit_granted"), 3).otherwise(2)
-    # a payment before its approval is the event of rule D4 too
-    event = F.when((kind == "payment") & (before == "acta_approval"), text("works_package:", p, ":payment_before_approval")).otherwise(text("works_package:", p, ":", kind, ":", before))
+    # a payment before its approval or contract is the event of rule D4 too
+    ref, other = F.col("ref_id"), F.col("before_ref")
+    paid = (kind == "payment") & ref.isNotNull() & other.isNotNull()
+    event = (
+        F.when(paid & (before == "contract_signed"), text("contract:", other, ":payment_before:", ref)).when(paid & (before == "acta_approval"), text("resolution:", other, ":payment_before:", ref))
+        .otherwise(text("works_package:", p, ":", kind, ":", before, ":", F.coalesce(ref, F.col("event_date").cast("string"))))
+    )
     return [hit(bad, "E2", severity, event, [p, kind, before, F.coalesce("ref_id", F.lit("")), F.col("event_date")], ("works_package", p), EXTRACTED, first=F.col("event_date"), last=F.col("before_at"), package=p)]
 
 
@@ -334,7 +342,7 @@ def minutes(c):
     with_units = known.select("community_id").distinct()
     unknown = seats.where("a.unit IS NOT NULL").withColumn("l", label).join(with_units, "community_id", "left_semi").join(known, ["community_id", "l"], "left_anti")
     unknown = unknown.groupBy("id", "community_id", "fecha").agg(F.array_sort(F.collect_set("l")).alias("labels"))
-    items = c["resolutions"].where("kind = 'accounts_approval'").select(F.col("meeting_id").alias("id"))
+    items = c["resolutions"].where("kind = 'accounts'").select(F.col("meeting_id").alias("id"))
     silent = m.where("tipo = 'ordinaria' AND coalesce(cuentas_aprobadas, false) = false").join(items, "id", "left_anti")
     i = F.col("id")
 
@@ -346,8 +354,8 @@ def minutes(c):
 
 @rule("E5")
 def documents_withheld(c):
-    open_ = c["document_requests"].where("status IN ('requested', 'refused', 'partial', 'overdue')")
-    severity = F.when(F.col("status") == "refused", 3).otherwise(2)
+    open_ = c["document_requests"].where("status IN ('planned', 'requested', 'partial', 'refused', 'inspected_only')")
+    severity = F.when(F.col("status") == "planned", 1).otherwise(2)
     missing = views.r7_statement_months_missing(c.tables).groupBy("community_id", "bank_account_id").agg(F.array_sort(F.collect_list(F.date_format("month_start", "yyyy-MM"))).alias("months"))
     i, a = F.col("id"), F.col("bank_account_id")
     return [
@@ -375,7 +383,7 @@ def formal_deadlines(c):
 @rule("E7")
 def open_challenges(c):
     #: Kinds of resolutions whose challenge windows are watched.
-    kinds = ("works_approval", "derrama", "accounts_approval", "budget_approval", "delegation", "appointment", "contract_approval", "loan", "reserve_use")
+    kinds = ("works_approval", "contractor_choice", "delegation", "derrama", "accounts", "budget", "loan", "subsidy", "election")
     rows = views.challengeable_resolutions(c.tables, c.today).where(F.col("kind").isin(*kinds)).where("open_3m OR open_12m")
     r = F.col("resolution_id")
     return [hit(rows, "E7", 1, text("resolution:", r, ":challenge"), [r], ("resolution", r), SEED, F.col("importe_aprobado"), F.col("meeting_date"), F.col("challenge_12m_until"))]
@@ -383,13 +391,11 @@ def open_challenges(c):
 
 @rule("E8")
 def double_majority(c):
-    r = c["resolutions"].where("double_majority AND resultado = 'approved'")
-    passed = majority([F.col("votes_for") * 2 > F.col("owners_total"), F.col("quotas_for") > 50])
-    both_unknown = F.col("votes_for").isNull() & F.col("quotas_for").isNull()
-    failed = (F.col("votes_for") * 2 <= F.col("owners_total")) | (F.col("quotas_for") <= 50)
-    rows = r.where(failed & ~both_unknown & (F.coalesce(passed, F.lit(False)) | failed))
+    r = c["resolutions"].where("resultado = 'aprobado' AND kind IN ('works_approval', 'delegation', 'derrama', 'loan')")
+    # unknown counts decide nothing; either count that is known to fall short does
+    failed = F.coalesce(F.col("votes_for") * 2 <= F.col("owners_total"), F.lit(False)) | F.coalesce(F.col("quotas_for") <= 50, F.lit(False))
     i = F.col("id")
-    return [hit(rows, "E8", 3, text("resolution:", i, ":majority"), [i], ("resolution", i), SEED, F.col("importe_aprobado"), computed=["votes_for", "owners_total", "quotas_for"])]
+    return [hit(r.where(failed), "E8", 2, text("resolution:", i, ":majority"), [i], ("resolution", i), SEED, F.col("importe_aprobado"), computed=["votes_for", "owners_total", "quotas_for"])]
 
 
 # ---- B: vendors
@@ -453,8 +459,10 @@ def registers(c):
         rows = _vendors(c).where(F.arrays_overlap("trades", F.array(*map(F.lit, trades)))).join(check, ["community_id", "party_id"])
         return hit(rows, "B7", severity, text("party:", p, what), [p, mark], ("party", p), (checked(), 1.0))
 
-    works = ("construction", "facade", "roof", "structure", "lift", "electrical", "plumbing")
-    return [absent(("rea", "rea_manual"), works, 2, ":rea_absent", "rea"), absent(("rasic", "rasic_manual"), ("lift", "electrical", "gas", "heating"), 3, ":rasic_absent", "rasic")]
+    #: Categories of work that need an entry in each register.
+    rea = ("ELEV_CIVIL", "FACADE_REHAB", "BALCONY", "ROOF", "STAIR_REHAB", "MASONRY", "PLUMB_SEWER", "WATER_SUPPLY", "SCAFFOLD", "PAINT_INT", "ASBESTOS", "WINDOWS", "ENTRANCE_DOOR")
+    rasic = ("ELEV_INSTALL", "ELEV_MAINT", "ELECTRICAL", "GAS", "INTERCOM", "FIRE")
+    return [absent(("rea", "rea_manual"), rea, 2, ":rea_absent", "rea"), absent(("rasic", "rasic_manual"), rasic, 3, ":rasic_absent", "rasic")]
 
 
 @rule("B8")
@@ -520,7 +528,7 @@ def tax_filings(c):
     persons = c["parties"].where("nif_kind IN ('DNI', 'NIE')").select(F.col("id").alias("vendor_party_id"))
     natural = per_community(c, c["invoices"].join(persons, "vendor_party_id", "left_semi"), natural=F.lit(True))
     rows = _counts(
-        c, filings=("documents", F.col("doc_type").isin("modelo_111", "modelo_190", "modelo_347")), asked=("document_requests", F.col("status").isin("requested", "refused", "overdue") & F.col("class").contains("tax")),
+        c, filings=("documents", F.col("doc_type").isin("modelo_111", "modelo_190", "modelo_347")), asked=("document_requests", F.col("status").isin("requested", "partial", "refused", "inspected_only") & (F.col("class") == "modelo_347")),
         withheld=("invoices", F.col("retention_amount") > 0),
     ).join(natural, "community_id")
     me = F.col("community_id")
@@ -546,8 +554,8 @@ def lifts(c):
 
 @rule("G6")
 def safety_coordination(c):
-    rows = _counts(c, bills=("invoices", F.col("category_code").isin("HS_COORDINATION", "HS_PLAN")), named=("documents", F.col("doc_type").isin("nomenament_coordinador_ss", "acta_aprovacio_pss")))
-    crews = c["contracts"].where("works_package_id IS NOT NULL").groupBy("community_id").agg(F.count_distinct("vendor_party_id").alias("crews"))
+    rows = _counts(c, bills=("invoices", F.col("category_code").isin("CAE_PRL", "HS_COORD")), named=("documents", F.col("doc_type") == "full_encarrec"))
+    crews = c["invoices"].where("works_package_id IS NOT NULL").groupBy("community_id").agg(F.count_distinct("vendor_party_id").alias("crews"))
     rows = rows.where("bills > 0 AND named = 0").join(crews, "community_id", "left")
     me = F.col("community_id")
     return [hit(rows, "G6", F.when(F.col("crews") > 1, 2).otherwise(1), text("community:", me, ":hs_coordination_documents"), [me, "coordination"], ("community", me), RECORD)]
@@ -555,7 +563,7 @@ def safety_coordination(c):
 
 @rule("G7")
 def building_inspection(c):
-    rows = _counts(c, ite=("documents", F.col("doc_type").isin("ite", "certificat_aptitud")), filed=("permits", F.col("kind") == "ite")).where("ite = 0 AND filed = 0")
+    rows = _counts(c, ite=("documents", F.col("doc_type") == "ite"), filed=("permits", F.col("kind") == "ite")).where("ite = 0 AND filed = 0")
     rows = views.parameter(rows, c.tables, "building_year", F.lit(c.today)).where("building_year IS NULL OR building_year < 1965")
     me = F.col("community_id")
     return [hit(rows, "G7", 1, text("community:", me, ":ite"), [me, "ite"], ("community", me), RECORD)]

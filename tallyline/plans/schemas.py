@@ -19,7 +19,7 @@ SCHEMAS = {
     "liquidations": f"id string, community_id string, ejercicio int, basis string, periodo_hasta date, saldo_inicial {M}, saldo_final {M}, fondo_reserva_final {M}, saldo_en_poder_administrador {M}, acreedores_pendientes {M}, retenciones_pendientes {M}",
     "liquidation_lines": f"id string, community_id string, liquidation_id string, side string, concepto string, proveedor_text string, party_id string, importe {M}",
     "meetings": f"id string, community_id string, tipo string, fecha date, fecha_notificacion date, notice_days int, signed_within_5d boolean, sent_within_10d boolean, presupuesto_aprobado {M}, cuentas_aprobadas boolean, attendees array<struct<unit:string,quota:double>>",
-    "resolutions": f"id string, community_id string, meeting_id string, punto string, kind string, resultado string, works_package_id string, vendor_party_id string, importe_aprobado {M}, votes_for int, owners_total int, quotas_for double, double_majority boolean",
+    "resolutions": f"id string, community_id string, meeting_id string, punto string, kind string, resultado string, works_package_id string, vendor_party_id string, importe_aprobado {M}, votes_for int, owners_total int, quotas_for double",
     "request_clock": "id string, community_id string, request_date date, convocation_date date, notice_days int",
     "document_requests": "id string, community_id string, class string, fiscal_year int, status string, requested_on date, received_on date, received_file_ids array<string>",
     "derramas": f"id string, community_id string, works_package_id string, total {M}, starts_on date, months int",

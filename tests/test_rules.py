@@ -40,7 +40,7 @@ def tables(spark):
         ],
         meetings=[{**c, "id": "m", "tipo": "extraordinaria", "fecha": date(2024, 3, 20), "notice_days": 5, "attendees": [("1A", 60.0), ("9Z", 41.0)]}],
         units=[{**c, "id": "u", "label": "1a", "quota": D("60.0000")}],
-        resolutions=[{**c, "id": "r", "meeting_id": "m", "kind": "works_approval", "resultado": "approved", "double_majority": True, "votes_for": 3, "owners_total": 10, "quotas_for": 55.0}],
+        resolutions=[{**c, "id": "r", "meeting_id": "m", "kind": "works_approval", "resultado": "aprobado", "votes_for": 3, "owners_total": 10, "quotas_for": 55.0}],
         works_packages=[{**c, "id": "w", "code": "ELEVATOR", "contract_price": D("48000.00"), "suspension_date": date(2024, 3, 15)}],
         works_events=[{**c, "works_package_id": "w", "event_type": "acta_approval", "event_date": date(2024, 3, 20), "ref_id": "r"}, {**c, "works_package_id": "w", "event_type": "payment", "event_date": date(2024, 3, 12), "ref_id": "t1"}],
         liquidations=[{**c, "id": "l", "ejercicio": 2024, "periodo_hasta": date(2024, 3, 31), "saldo_inicial": D("100.00"), "saldo_final": D("700.00"), "fondo_reserva_final": D("100.00"), "acreedores_pendientes": D("50.00")}],
@@ -70,8 +70,8 @@ def test_rules(tables):
         ("D0", "community:c:funding"): 3, ("D1", "tx:t3:unmatched"): 4, ("D1", "tx:t4:unmatched"): 3, ("D1", "liquidation_line:x:unsupported"): 3, ("D2", "tx:t4:instrument"): 3,
         ("D4", "resolution:r:payment_before:t1"): 3, ("D4", "payment:t2:before_invoice:i2"): 2, ("D6", "liquidation:l:reserve"): 1, ("D6", "community:c:reserve_account"): 2,
         ("D7", "liquidation:l:closing_vs_bank"): 3, ("D7", "year:2024:control_totals"): 3, ("D8", "subsidy:z:destination"): 4, ("E1", "invoice:i1:authority"): 2,
-        ("E2", "works_package:w:payment_before_approval"): 3, ("E3", "meeting:m:quotas"): 2, ("E3", "meeting:m:unit_labels"): 2, ("E5", "bank_account:a:statements"): 2,
-        ("E6", "meeting:m:notice"): 2, ("E8", "resolution:r:majority"): 3, ("B1", "party:v:company_age"): 3, ("B2", "party:v:address_building"): 3, ("G5", "community:c:lift_ce_declaration"): 1,
+        ("E2", "resolution:r:payment_before:t1"): 3, ("E3", "meeting:m:quotas"): 2, ("E3", "meeting:m:unit_labels"): 2, ("E5", "bank_account:a:statements"): 2,
+        ("E6", "meeting:m:notice"): 2, ("E8", "resolution:r:majority"): 2, ("B1", "party:v:company_age"): 3, ("B2", "party:v:address_building"): 3, ("G5", "community:c:lift_ce_declaration"): 1,
         ("G7", "community:c:ite"): 1, ("B8", "community:c:vendor_concentration_ordinary"): 1,
     }
     for key, severity in expected.items():
