@@ -6,7 +6,7 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,35 @@ def by_bytes(texts: list, limit: int):
         yield start, len(texts)
 
 
+def row_keys(text: Column) -> list[Column]:
+    """h and k: together 128 bits that, beside the id, name a row by its text."""
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("k")]
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs(doc_id, text, ...) of each class in found(id, h, k, root): the smallest by id (none is last) and text.
+
+    Rows are named by id and text, so a repeated id takes no other text along; of rows equal in both, the smallest stays.
+    """
+    rows = found.groupBy("root", "id", "h", "k").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "k")).alias("first"))
+    rows = rows.join(first, "root")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("k") == F.col("first.k"))
+    rows = materialise(rows.select("id", "h", "k", "n", stays.alias("stays")).where("n > 1 OR NOT stays"), "gone")
+    again = rows.where("stays").select("id", "h", "k")
+    names = docs.columns
+    keyed = docs.withColumns(dict(zip(("_h", "_k"), row_keys(docs["text"]))))
+
+    def same(other):
+        return keyed["doc_id"].cast("bigint").eqNullSafe(other["id"]) & (keyed["_h"] == other["h"]) & (keyed["_k"] == other["k"])
+
+    kept = keyed.join(rows, same(rows), "left_anti").select(names)
+    if again.isEmpty():
+        return kept
+    copies = keyed.join(again, same(again), "left_semi").groupBy("doc_id", "_h", "_k").agg(F.min(F.struct(*names)).alias("row"))
+    return kept.unionByName(copies.select("row.*"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node that it reaches.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import connected_components, materialise
+from tallyline.llm.common import connected_components, keep_one, materialise, row_keys
 
 RADIUS = 3
 #: Table rows of a key that are held at once; a key with more is dealt to blocks.
@@ -170,10 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their class's smallest; one row of a repeated id stays, and rows without an id stay.
-
-    Only ids are joined against the documents.
-    """
-    found = classes(fingerprints(docs))
-    gone = found.where("id <> component_id").select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One document of each class, a whole row: of those with the smallest doc_id."""
+    keyed = materialise(docs.select(docs["doc_id"].cast("bigint").alias("id"), *row_keys(docs["text"]), F.monotonically_increasing_id().alias("row"), "text"), "rows")
+    found = classes(fingerprints(keyed, "row"))
+    return keep_one(docs, keyed.join(found.select(F.col("id").alias("row"), F.col("component_id").alias("root")), "row").select("id", "h", "k", "root"))
