@@ -1,0 +1,111 @@
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+A text is the set of its 5-word shingles (64-bit hashes); two texts are linked if their sets have a similarity of
+at least 0.8, verified on the whole sets. Candidates come from MinHash: BANDS keys of ROWS minima each, of which
+two texts of similarity s share one with probability 1 - (1 - s**ROWS) ** BANDS: 0.99997 at 0.8, more above.
+
+Equal sets are one node from the start. Nodes of a key are first verified against the key's smallest node
+only, so a large group of near copies costs one pair a member. Within keys that then still hold several
+classes every pair that crosses classes is verified, so no link between candidates is missed.
+
+Words are folded as in simhash. Null texts have no words; texts without words are one class. A text of
+fewer than 5 words is one shingle.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyline.llm.common import by_bytes, connected_components, keep_one, materialise, row_keys
+from tallyline.llm.simhash import _LOWER
+
+WORDS, BANDS, ROWS = 5, 20, 4
+_MULTIPLY, _ADD = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
+_MULTIPLY |= np.uint64(1)
+
+
+def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles."""
+    parts = (text or "").encode().translate(_LOWER).split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(size + 1) - 1
+    starts, ends = (ends - size)[: max(1, len(parts) - words + 1)], ends[min(words, len(parts)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """The keys of a set; an empty set has none."""
+    if not len(found):
+        return []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 2048):
+        np.minimum(low, (found[i : i + 2048] * _MULTIPLY + _ADD).min(axis=1), out=low)
+    return [xxhash.xxh64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
+
+
+def _lists(found: list) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.uint64), *(np.asarray(x, np.uint64) for x in found)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
+def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, k, node, keys, hashes): the row's key, its set's hash, keys and members. No shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            for a, b in by_bytes(texts, 1 << 22):
+                sets = [shingles(x) for x in texts[a:b]]
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                rows = [batch.column(i).slice(a, b - a) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows, pa.array(node), _lists([bands(x) for x in sets]), _lists(sets)], names=["id", "h", "k", "node", "keys", "hashes"]
+                )
+
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), *row_keys(docs[text_col]), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, "id bigint, h bigint, k bigint, node bigint, keys array<bigint>, hashes array<bigint>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of at least 0.8."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_set")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    shared, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    return both.where(5 * shared >= 4 * (total - shared)).select("a", "b")
+
+
+def classes(found: DataFrame) -> DataFrame:
+    """(id, h, k, root) from marks: root is the smallest node that the row's links reach."""
+    found = materialise(found, "shingles")
+    rows = found.select("node", F.explode("keys").alias("key"))
+    least = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
+    met = materialise(rows.join(least, "key").distinct(), "met")
+    wanted = met.select("node").distinct()
+    sets = materialise(found.select("node", "hashes").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    links = materialise(_verified(met.where("node <> a").select("a", F.col("node").alias("b")).distinct(), sets), "links")
+    roots = materialise(connected_components(links), "roots")
+
+    # what the smallest nodes did not join: all pairs across the classes of a key, the largest class against the others
+    named = met.join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("root"))
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    several = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    open_ = materialise(named.join(several.select("key", "main"), "key"), "open")
+    asks = open_.where("root <> main").select("key", F.col("node").alias("b"), F.col("root").alias("b_root"))
+    cross = open_.join(asks, "key").where("root <> b_root AND (root = main OR node < b) AND node <> a AND b <> a")
+    more = _verified(cross.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), sets)
+    roots = connected_components(links.unionByName(materialise(more, "links")))
+    return found.join(roots, "node", "left").select("id", "h", "k", F.coalesce("root", "node").alias("root"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each class, a whole row: of those with the smallest doc_id."""
+    return keep_one(docs, classes(marks(docs)))

@@ -1,0 +1,49 @@
+import random
+
+import corpus_pipeline
+from tallyline.llm import shingles
+from tallyline.llm.common import table
+
+from test_simhash import roots_of
+
+
+def slow_set(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def check_left(spark, sf_dir, rows, got):
+    sets = [slow_set(t) for _, t in rows]
+    roots = roots_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])])
+    least = {}
+    for (k, _), root in zip(rows, roots):
+        least[root] = min(least.get(root, k), k)
+    assert got == sorted(least.values())
+
+
+def test_near_copies_of_the_task_go(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check_left(spark, sf_dir, rows, sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()))
+
+
+def test_chains_and_common_passages(spark, sf_dir):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(9000)}" for _ in range(220)]
+    texts = []
+    for _ in range(12):  # each is near the one before, the ends are far apart
+        at = rng.randrange(0, 190)
+        words = words[:at] + [f"x{rng.randrange(9000)}" for _ in range(14)] + words[at + 14 :]
+        texts.append(" ".join(words))
+    common = " ".join(f"c{i}" for i in range(60))
+    texts += [common + " " + " ".join(f"y{rng.randrange(9000)}" for _ in range(rng.randrange(0, 60))) for _ in range(30)]
+    texts += ["", None, "one two", "One  two", "one two three"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_left(spark, sf_dir, rows, sorted(r.doc_id for r in shingles.representatives(docs).collect()))
+    assert shingles.representatives(docs.limit(0)).count() == 0

@@ -104,9 +104,12 @@ def test_near_duplicates(spark):
 def test_one_row_stays_whatever_the_ids(spark):
     from collections import Counter
 
+    from tallyline.llm import shingles
+
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a, "en"), (1, a, "en"), (1, a, "es"), (2, a, "en"), (2, b, "en"), (None, c, "en"), (None, c, "en"), (3, None, "en"), (4, "", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
-    assert Counter(map(tuple, kept.collect())) == Counter([(1, a, "en"), (2, b, "en"), (None, c, "en"), (3, None, "en")])
+    for module in (simhash, shingles):
+        kept = module.representatives(docs)
+        assert kept.columns == docs.columns
+        assert Counter(map(tuple, kept.collect())) == Counter([(1, a, "en"), (2, b, "en"), (None, c, "en"), (3, None, "en")])
