@@ -5,8 +5,8 @@ patterns) and entropy, which the method adds. A candidate is a run of at least M
 the token alphabet; it is judged in the class of its characters (hexadecimal, letters and digits,
 full token alphabet), each with its own threshold. A window of WINDOW characters slides over it;
 the sum of c * log2(c) over its character counts is carried from window to window and changed only by
-the counts of the character that leaves and the one that enters. The largest entropy decides. An
-entropy span that meets a base span, or that the allow-list knows, is left out.
+the counts of the character that leaves and the one that enters. The largest entropy decides; a part between
+slashes that is long enough is judged in its own class too. An entropy span that meets a base span, or that the allow-list knows, is left out.
 
 Offsets are code points, ends exclusive. Null texts count as empty and have no spans; repeated rows
 each get theirs; ids may be null.
@@ -28,16 +28,19 @@ MIN_LEN, WINDOW = 20, 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits a character in the richest window from which a candidate of a class counts as a secret.
 THRESHOLD = {"hex": 3.0, "alnum": 3.6, "token": 3.7}
-#: Candidates that are known to be harmless: words and identifiers without digits or without letters,
-#: UUIDs, dates, paths and repeated groups.
+#: Parts of a path that read as words: one case or capitalised words, at most four digits after them.
+_PART = r"(?:[A-Z]+|[a-z]*(?:[A-Z][a-z]+)*)[0-9]{0,4}"
+_STAND_IN = r"(?:your|my|this|is|not|real|an|example|sample|dummy|placeholder|changeme|test|secret|token|api|key|password|value|x++|0++|123456789?0?)"
+#: Candidates that are known to be harmless, each as a whole: words and identifiers without digits or without
+#: letters, UUIDs, dates, stand-ins, paths of words and repeated groups; and rulers of equals signs.
 ALLOW = (
     r"^[^0-9]+$",
     r"^[^A-Za-z]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)(example|sample|dummy|placeholder|changeme|test|xxxx|0000|1234567)",
-    r"^(/?[A-Za-z_-]+/)+",
+    rf"(?i)^{_STAND_IN}(?:[-_/+=]?{_STAND_IN})*$",
+    rf"^(?=[^/]*/){_PART}(?:[-_/]{_PART})*$",
     r"^(.{1,8})\1+$",
-    r"^-+|-+$|=={2,}",
+    r"=={2,}",
 )
 
 
@@ -116,15 +119,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = F.concat(*(_of_kind(k, F.col(k)) for k in KINDS[:3]))
     rows = rows.select("id", base.alias("base"), "candidates")
 
-    def known(m):
+    def known(word):
         harmless = F.lit(False)
         for pattern in ALLOW:
-            harmless = harmless | m["text"].rlike(pattern)
+            harmless = harmless | word.rlike(pattern)
         return harmless
 
+    def rich(word):
+        return F.when(~known(word), max_entropy(word) >= threshold(word)).otherwise(F.lit(False))
+
+    def any_rich(word):
+        parts = F.filter(F.split(word, "/"), lambda part: F.length(part) >= MIN_LEN)
+        return rich(word) | F.when(word.contains("/"), F.exists(parts, rich)).otherwise(F.lit(False))
+
     def kept(m):
         apart = ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return F.when(apart & ~known(m), max_entropy(m["text"]) >= threshold(m["text"])).otherwise(F.lit(False))
+        return F.when(apart, any_rich(m["text"])).otherwise(F.lit(False))
 
     rank = F.array(*map(F.lit, KINDS))
 

@@ -54,3 +54,16 @@ def test_added_spans_and_allow_list(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find(docs).collect()}
     assert got == {0: ["entropy"], 1: [], 2: [], 3: []}
+
+
+def test_random_keys_are_found_whatever_they_hold(spark):
+    rng = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters + more) for _ in range(n)) for more in ("+/", "-_") for n in (40, 64) for _ in range(300)]
+    keys += ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzK3vQ8mT2n", "/services/T0A1B2C3D/B9Z8Y7X6W/q8Zr2LmX0vTn4KsYb7Pd1WcE", "-aB3dE5gH7jK9mN1pQ4sT6vX8zC2", "Qx7testZk29vBn40000LmPw83RtY", "files/3f786850e387550fdab836ed7e6dc881"]
+    keys = [k for k in keys if re.search("[0-9]", k)]
+    harmless = ["usr/share/annual-reports/2023/summary-of-costs", "your-api-key-example-1234567890", "XXXXXXXXXXXXXXXXXXXXXXXX0000", "docs/projectPlans/versionTwo2/readMe"]
+    docs = spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys + harmless)], "doc_id int, text string")
+    found = {r.doc_id for r in secrets.find(docs).collect() if r.spans}
+    assert [k for i, k in enumerate(keys) if i not in found] == []
+    assert found == set(range(len(keys)))
