@@ -416,6 +416,18 @@ def surname_rarity(spark, d):
     return f.where("n <= 20 AND n > 1").select("token", "n", "docs", F.sqrt(F.col("n").cast("double") * F.col("docs")).cast("decimal(20,3)").alias("rarity"))
 
 
+@bound("""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{3,}')) AS token FROM documents), f AS (SELECT token, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM w GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS total FROM f)
+SELECT token, n, docs, sqrt(n::DOUBLE * docs)::DECIMAL(20,3) AS rarity, CASE WHEN n * 10000 < total THEN 1.3 WHEN n * 1000 <= total THEN 1.0 WHEN n * 100 <= total THEN 0.6 ELSE 0.3 END AS weight FROM f, t""", double="rarity weight")
+def surname_weight(spark, d):
+    """Every token with its statistic and the weight of its frequency per mille; surname_rarity shows a band of counts only."""
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
+    f = w.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
+    f = f.crossJoin(F.broadcast(w.agg(F.count(F.lit(1)).alias("total"))))
+    weight = F.when(F.expr("n * 10000 < total"), 1.3).when(F.expr("n * 1000 <= total"), 1.0).when(F.expr("n * 100 <= total"), 0.6).otherwise(0.3)
+    return f.select("token", "n", "docs", F.sqrt(F.col("n").cast("double") * F.col("docs")).cast("decimal(20,3)").alias("rarity"), weight.alias("weight"))
+
+
 @bound("""
 WITH s AS (SELECT user_id, CASE WHEN event_type = 'click' THEN 'S8' ELSE upper(event_type) END AS signal, (event_id % 40)::BIGINT AS points FROM events), e AS (SELECT user_id, signal, CASE WHEN signal = 'S8' THEN sum(points) ELSE max(points) END AS p FROM s GROUP BY 1, 2)
 SELECT user_id, sum(p)::BIGINT AS points, string_agg(signal, ',' ORDER BY signal) AS signals, CASE WHEN sum(p) >= 80 THEN 'high' WHEN sum(p) >= 40 THEN 'medium' ELSE 'low' END AS band FROM e GROUP BY 1""")

@@ -54,3 +54,10 @@ def test_entry_without_the_corpus_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'control_totals_by_year' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_every_token_has_a_weight(spark, duck, sf_dir):
+    want = dict(duck.sql("SELECT token, count(*) FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS token FROM documents) GROUP BY 1").fetchall())
+    got = QUERIES["surname_weight"](spark, sf_dir).collect()
+    assert {r.token: r.n for r in got} == want and min(want.values()) == 1 and max(want.values()) > 20
+    assert len({r.weight for r in got}) > 1
