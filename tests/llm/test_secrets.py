@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -67,3 +68,85 @@ def test_random_keys_are_found_whatever_they_hold(spark):
     found = {r.doc_id for r in secrets.find(docs).collect() if r.spans}
     assert [k for i, k in enumerate(keys) if i not in found] == []
     assert found == set(range(len(keys)))
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    rng = random.Random(11)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    n = 1_000_000
+    texts = [
+        "a/" * (n // 2) + "1",
+        "Aa" * (n // 2) + "1/",
+        "test" * (n // 4) + "1",
+        "a-" * (n // 2) + "/9",
+        "0" * n,
+        "0" * (n - 1) + "z",
+        "9é" * (n // 2),
+        "".join(rng.choices(base64, k=n)),
+        "A" * (n // 2) + "".join(rng.choices(base64, k=40)) + "A" * (n // 2) + "1",
+        " ".join("".join(rng.choices("0123456789abcdef", k=24)) for _ in range(n // 25)),
+        " ".join("".join(rng.choices(base64, k=22)) for _ in range(n // 23)),
+        "password" + " " * n + "= abcdef1",
+        "AKIA" * (n // 4),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(len(texts))
+    started = time.monotonic()
+    got = {r.doc_id: r.spans for r in secrets.find(docs).collect()}
+    assert time.monotonic() - started < 120
+    for i, text in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in got[i] if s.kind != "entropy"] == brute(text), i
+        assert [(s.start, s.end) for s in got[i] if s.kind == "entropy"] == brute_entropy(text), i
+
+
+def brute_entropy(text):
+    """Entropy spans by a plain reading: recounts each window; the allow-list in other words."""
+    base, out = brute(text), []
+    stand_ins = "your my this is not real an example sample dummy placeholder changeme test secret token api key password value x+ 0+ 123456789?0?"
+    stand_in = f"(?:{'|'.join(stand_ins.split())})"
+    ends = [m for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)]
+    taken = bytearray(len(text))
+    for _, a, b in base:
+        taken[a:b] = b"\1" * (b - a)
+
+    def word_like(part):
+        return bool(re.fullmatch("(?:[A-Z]++|[a-z]*+(?:[A-Z][a-z]++)*+)[0-9]{0,4}", part))
+
+    def stands_in(w):
+        left = re.sub(f"(?i)[-_/+=]?{stand_in}", "\0", w)
+        return not left.strip("\0") and re.match(f"(?i){stand_in}", w)
+
+    def known(w):
+        return bool(
+            not re.search("[0-9]", w) or not re.search("[A-Za-z]", w) or re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", w) or stands_in(w)
+            or ("/" in w and all(map(word_like, re.split("[-_/]", w)))) or any(len(w) % k == 0 and len(w) > k and w == w[:k] * (len(w) // k) for k in range(1, 9)) or "===" in w
+        )
+
+    def entropy(w):
+        best = 0
+        for i in range(len(w) - 19):
+            best = max(best, -sum(c / 20 * math.log2(c / 20) for c in Counter(w[i : i + 20]).values()))
+            if best > 3.8:
+                break  # above each threshold
+        return best
+
+    def rich(w):
+        limit = 3.0 if re.fullmatch("[0-9a-fA-F]+", w) else 3.6 if re.fullmatch("[A-Za-z0-9]+", w) else 3.7
+        return not known(w) and entropy(w) >= limit
+
+    for m in ends:
+        if not any(taken[m.start() : m.end()]):
+            if rich(m[0]) or ("/" in m[0] and any(len(p) >= 20 and rich(p) for p in m[0].split("/"))):
+                out.append(m.span())
+    return out
+
+
+def test_entropy_spans_match_brute_force(spark, sf_dir):
+    rng = random.Random(12)
+    bits = ["test", "KEY", "your", "Abc", "XYZ", "abc", "x", "0", "00", "12345", "123456789", "/", "-", "_", "+", "=", "==", "dGhpc0lz", "9f3A", "Qx7", "deadbeef0123", "é", " ", "secret="]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(40)))) for i in range(1500)]
+    rows += [(10_000 + r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "entropy"] for r in secrets.find(docs).collect()}
+    for i, text in rows:
+        assert got[i] == brute_entropy(text), text
+    assert sum(map(len, got.values())) > 50
