@@ -3,8 +3,11 @@
 Kinds, in their fixed order: email, ip, card (Luhn), phone, and two that the method adds: iban
 (mod-97) and national (an eight-digit identity number with its check letter). Spans of a kind never
 overlap and are found leftmost first; one that fails its check is dropped and its text is not
-tried again. Offsets are code points, ends exclusive. Null texts count as empty and have no spans;
-repeated rows each get their own; ids may be null.
+tried again. Spans that start together come in the order of kinds. Offsets are code points, ends exclusive.
+
+Null texts count as empty and have no spans, and stay null when masked; repeated rows each get their own; ids may be
+null; an empty table gives no rows; columns beside id and text are not looked at by detect() and kept as they are by mask(). Whole texts
+are read, one pass a kind: runs of digits or of local-part characters are not tried again from each of their positions.
 """
 
 from __future__ import annotations
@@ -91,7 +94,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         add("email", start, end)
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
                 add("ip", *m.span())
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
