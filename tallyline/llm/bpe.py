@@ -134,7 +134,7 @@ class Codec:
         self.ranks = ranks
         self.narrow, self.full = splitters(pattern)
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": False})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": False, "temp_directory": ""})
         self.con.register("given", merge_table(ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.register("given", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "s": [t.decode("latin-1") for t in ranks]}))

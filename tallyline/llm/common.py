@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where that is one machine, an own one if it is unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = getattr(shared_dir, "own", None)
         if path is None:
             path = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="spark-")

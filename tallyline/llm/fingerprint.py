@@ -12,15 +12,19 @@ fingerprints and a likeness of 1.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 7
 LENGTH = 64
+#: Bytes that are hashed at a time; a longer text takes time, not memory.
+PIECE = 1 << 20
 #: Signatures with no common run of so many characters count as unlike; shorter signatures need all of it.
 COMMON = 5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -49,30 +53,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _rolled(data: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """The rolling hash that ends at each byte from start to stop."""
+    padded = np.zeros(stop - start + WINDOW - 1, np.uint32)
+    held = data[max(0, start - WINDOW + 1) : stop]
+    padded[len(padded) - len(held) :] = held
+    roll = padded[WINDOW - 1 :].copy()
+    for k in range(1, WINDOW):
+        roll = roll + padded[WINDOW - 1 - k : len(padded) - k] * np.uint32(pow(0x01000193, k, 1 << 32))
+    roll = (roll ^ (roll >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return roll ^ (roll >> np.uint32(13))
+
+
 def fingerprint(raw: bytes) -> str:
-    """The fingerprint of some bytes; all of them count."""
+    """The fingerprint of some bytes; all of them count, PIECE of them are hashed at a time."""
     n = len(raw)
     if not n:
         return "3::"
     data = np.frombuffer(raw, np.uint8)
-    padded = np.zeros(n + WINDOW - 1, np.uint32)
-    padded[WINDOW - 1 :] = data
-    roll = padded[WINDOW - 1 :].copy()
-    for k in range(1, WINDOW):
-        roll = roll + padded[WINDOW - 1 - k : n + WINDOW - 1 - k] * np.uint32(pow(0x01000193, k, 1 << 32))
-    roll = (roll ^ (roll >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    roll ^= roll >> np.uint32(13)
-    powers, inverse = _tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+    powers, inverse = _tables(min(n, PIECE) + 1)
 
     def signature(size: int) -> str:
-        ends = np.flatnonzero(roll % np.uint32(size) == size - 1) + 1
-        if not len(ends) or ends[-1] != n:
-            ends = np.append(ends, n)
-        starts = np.concatenate([[0], ends[:-1]])
-        chunk = (sums[ends] - sums[starts]) * inverse[starts]
-        return "".join(map(ALPHABET.__getitem__, (_mix(chunk) >> np.uint64(58)).tolist()))
+        out, carried = [], 0  # carried: the hash of the chunk that the last piece left open, and its length
+        length = 0
+        for start in range(0, n, PIECE):
+            stop = min(n, start + PIECE)
+            m = stop - start
+            ends = np.flatnonzero(_rolled(data, start, stop) % np.uint32(size) == size - 1) + 1
+            sums = np.zeros(m + 1, np.uint64)
+            np.cumsum((data[start:stop].astype(np.uint64) + np.uint64(1)) * powers[:m], out=sums[1:])
+            bounds = np.unique(np.concatenate([[0], ends, [m]]))
+            chunk = (sums[bounds[1:]] - sums[bounds[:-1]]) * inverse[bounds[:-1]]
+            chunk[0] = np.uint64((carried + int(chunk[0]) * pow(_ODD, length, 1 << 64)) % (1 << 64))
+            open_ = stop < n and not (len(ends) and ends[-1] == m)
+            length, carried = (int(bounds[-1] - bounds[-2]) + (length if len(chunk) == 1 else 0), int(chunk[-1])) if open_ else (0, 0)
+            out += map(ALPHABET.__getitem__, (_mix(chunk[: len(chunk) - open_]) >> np.uint64(58)).tolist())
+        return "".join(out)
 
     size = 3
     while size * LENGTH < n:
@@ -138,37 +154,40 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text ends with the next text's beginning in place of its own last third. Returns
     id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
-    Ids are cut into ranges at their approximate quantiles; texts are shuffled once, and the
-    largest id of each range also goes to the range before it, so every range can be worked
-    through on its own in a sorted stream. Only the quantiles and one id a range pass through
-    the driver. Rows without an id come last; rows with one id follow each other by text, and a
-    single row is followed by itself.
+    Rows are cut into ranges of (id, text hash), whose bounds range partitioning samples; texts are shuffled once, and
+    the first row of each range also goes to the range before it, so every range is worked
+    through on its own in a sorted stream, however many rows share an id or lack one. Only one key a range passes through
+    the driver. Rows without an id come last; rows of one id follow each other by the hash of their text, equal rows one
+    after the other (they are one range); a single row is followed by itself. Null texts count as empty, very long ones are taken whole.
+    An empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    lowest = -(1 << 63)
-    rows = rows.withColumn("key", F.coalesce("id", F.lit(lowest)))
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-
-    def range_of(key):
-        return F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda acc, cut: acc + (key < cut).cast("int")) if cuts else F.lit(0)
-
-    ranged = rows.withColumn("part", range_of(F.col("key")))
-    ends = {r.part: r.key for r in ranged.groupBy("part").agg(F.max("key").alias("key")).collect()}
-    order = sorted(ends)
-    before = {part: order[i - 1] for i, part in enumerate(order)}
-    firsts = spark.createDataFrame([(p, ends[p], before[p]) for p in order] or [(0, 0, 0)], "part int, key long, into int").where(F.lit(bool(order)))
+    # ascending: rows with an id first, the largest id first (~id falls as id grows), then the text's hash
+    order = ["none", "turned", "h"]
+    rows = rows.withColumns({"none": F.col("id").isNull().cast("int"), "turned": F.bitwise_not(F.coalesce("id", F.lit(0))), "h": F.xxhash64("text")})
+    keys = rows.select(*order).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    firsts = [tuple(r.first) for r in keys.groupBy("part").agg(F.min(F.struct(*order)).alias("first")).orderBy("part").collect()]  # at most n
+    shared = spark.sparkContext.broadcast(firsts)
+
+    @F.pandas_udf("int")
+    def range_of(none: pd.Series, turned: pd.Series, h: pd.Series) -> pd.Series:
+        found = (bisect.bisect_right(shared.value, key) - 1 for key in zip(none.tolist(), turned.tolist(), h.tolist()))
+        return pd.Series(found, dtype="int32")
+
+    ranged = rows.withColumn("part", range_of(*order))
+    into = [(*first, (i or len(firsts)) - 1) for i, first in enumerate(firsts)]
+    starts = spark.createDataFrame(into, "none int, turned long, h long, into int")
     guests = (
-        ranged.join(F.broadcast(firsts), ["part", "key"])  # at most n rows
-        .select("id", "text", "key", F.col("into").alias("part"), F.lit(1).alias("guest"))
+        rows.join(F.broadcast(starts), order)  # at most n rows
+        .select("id", "text", *order, F.col("into").alias("part"), F.lit(1).alias("guest"))
     )
     sent = (
-        ranged.select("id", "text", "key", "part", F.lit(0).alias("guest"))
+        ranged.select("id", "text", *order, "part", F.lit(0).alias("guest"))
         .unionByName(guests)
         .repartitionById(n, F.col("part"))
-        .sortWithinPartitions(F.col("part"), F.col("guest"), F.col("key").desc(), F.col("text"))
+        .sortWithinPartitions("part", "guest", *order, "text")
         .select("part", "guest", "id", "text")
     )
 
