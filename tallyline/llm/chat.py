@@ -55,23 +55,35 @@ def from_turns(turns: DataFrame) -> DataFrame:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, message, role, text): the final messages of each conversation."""
+    """(conv_id, message, role, text): the final messages of each conversation. Events without a message number form one message."""
     rows = events.select("conv_id", "seq", "kind", "message", *(F.coalesce(events[c], F.lit("")).alias(c) for c in ("role", "text")))
-    # a regeneration undoes what earlier events wrote at its message and after it
-    cuts = rows.where("kind = 'regenerate'").select(F.col("conv_id").alias("cut_conv"), F.col("seq").alias("cut_seq"), F.col("message").alias("cut_message"))
-    undone = (F.col("conv_id").eqNullSafe(F.col("cut_conv"))) & (F.col("seq") < F.col("cut_seq")) & (F.col("message") >= F.col("cut_message"))
-    alive = rows.where("kind <> 'regenerate'").join(cuts, undone, "left_anti")
+    # a regeneration undoes what earlier events wrote at its message and after it: a message's events count from the
+    # latest regeneration up to it, a running maximum over the (few, narrow) messages of conversations that have one
+    cuts = rows.where("kind = 'regenerate'").groupBy("conv_id", "message").agg(F.max("seq").alias("cut"))
+    cuts = cuts.where("message IS NOT NULL")
+    met = rows.where("message IS NOT NULL").select("conv_id", "message").distinct()
+    convs = cuts.select(F.col("conv_id").alias("cut_conv")).distinct()
+    met = met.join(convs, F.col("conv_id").eqNullSafe(F.col("cut_conv")), "left_semi")
+    met = met.select("conv_id", "message", F.lit(None).cast("bigint").alias("cut")).unionByName(cuts.withColumn("cut", F.col("cut").cast("bigint")))
+    met = met.groupBy("conv_id", "message").agg(F.max("cut").alias("cut"))
+    order = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, 0)
+    since = met.select(F.col("conv_id").alias("cut_conv"), F.col("message").alias("cut_message"), F.max("cut").over(order).alias("since")).where("since IS NOT NULL")
+    same = F.col("conv_id").eqNullSafe(F.col("cut_conv")) & (F.col("message") == F.col("cut_message"))
+    alive = rows.where("kind <> 'regenerate'").join(since, same, "left").where(F.coalesce(F.col("seq") >= F.col("since"), F.lit(True)))
     event = F.struct("seq", "kind", "role", "text")
     folded = alive.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    empty = F.struct(F.lit(False).alias("there"), F.lit("").alias("role"), F.lit("").alias("text"))
 
-    def apply(state, e):
-        role = F.when(e["role"] == "", state["role"]).otherwise(e["role"])
-        text = F.when(e["kind"] == "delta", F.concat(state["text"], e["text"])).otherwise(e["text"])
-        return F.when(e["kind"] == "delete", empty).otherwise(F.struct(F.lit(True).alias("there"), role.alias("role"), text.alias("text")))
-
-    state = F.aggregate("log", empty, apply)
-    return folded.select("conv_id", "message", state.alias("state")).where("state.there").select("conv_id", "message", "state.role", "state.text")
+    def last(log: str, test):
+        """Place of the last event of which test holds, counted from 1, or 0."""
+        return F.coalesce(F.array_max(F.transform(log, lambda e, i: F.when(test(e), i + 1).otherwise(0))), F.lit(0))
+
+    # what counts follows the last deletion; its text begins where it was set last, and deltas are joined once
+    after = folded.withColumn("gone", last("log", lambda e: e["kind"] == "delete"))
+    after = after.select("conv_id", "message", F.slice("log", F.col("gone") + 1, F.size("log")).alias("log")).where(F.size("log") > 0)
+    after = after.withColumn("begin", F.greatest(last("log", lambda e: e["kind"] != "delta"), F.lit(1)))
+    roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r != "")
+    texts = F.transform(F.slice("log", F.col("begin"), F.size("log")), lambda e: e["text"])
+    return after.select("conv_id", "message", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), F.array_join(texts, "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -51,3 +51,34 @@ def test_fold(spark):
     events = spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, text string")
     got = sorted(tuple(r) for r in chat.fold(events).collect())
     assert got == [(1, 0, "user", "hey"), (1, 1, "assistant", "good day"), (2, 1, "user", "b")]
+
+
+def replay(log):
+    """Event by event."""
+    found = {}
+    events = sorted(log, key=lambda e: (e[0] is not None, e[0] or 0, e[1] is not None, e[1] or 0, e[2], e[4] or "", e[5] or ""))
+    cuts = [e for e in log if e[2] == "regenerate"]
+    for conv, seq, kind, message, role, text in events:
+        if kind == "regenerate" or any(c[0] == conv and None not in (seq, message, c[1], c[3]) and seq < c[1] and message >= c[3] for c in cuts):
+            continue
+        key = (conv, message)
+        if kind == "delete":
+            found.pop(key, None)
+            continue
+        was = found.get(key, ("", ""))
+        found[key] = (role or was[0], was[1] + (text or "") if kind == "delta" else text or "")
+    return Counter((*k, *v) for k, v in found.items())
+
+
+def test_fold_against_replay(spark):
+    rng = random.Random(32)
+    kinds = ["message", "delta", "delta", "delta", "edit", "regenerate", "delete"]
+    log = []
+    for conv in [*range(60), None]:
+        for seq in range(rng.randrange(25)):
+            log.append((conv, rng.choice([seq, seq, seq, seq // 2, None]), rng.choice(kinds), rng.choice([0, 1, 2, 3, 3, None]), rng.choice([None, "", "user", "assistant"]), rng.choice([None, "", "a", "bc", "é "])))
+    log += [log[3], log[3]]
+    log += [(500, i, "delta", 1, "assistant", "word ") for i in range(20_000)]
+    events = spark.createDataFrame([(*e, "x") for e in log], "conv_id long, seq long, kind string, message long, role string, text string, cut string")
+    assert Counter(tuple(r) for r in chat.fold(events).collect()) == replay(log)
+    assert chat.fold(events.limit(0)).count() == 0

@@ -9,7 +9,7 @@ from tallyline.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_duckdb(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df, theirs = QUERIES[name](spark, sf_dir), con.sql(ORACLE_SQL[name])
     columns = sorted(df.columns)
