@@ -1,15 +1,22 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame functions.
 
-The training side's index holds postings (term, document, position). A test item's windows are its
-runs of N = 10 consecutive words (an item of fewer words is one window). Lists are intersected from
-the rarest term: term counts over the whole corpus give each window an anchor, the term with the
-fewest postings; a window with a term that no document holds is dropped unread. Only postings of
-anchors are fetched; each is shifted by the anchor's offset in its windows and the other terms are
-met at their own offsets from there, as one sequence, so a hit is an exact phrase.
+The training side is read once into a stored index: a posting (term, doc, at) for every place of a term that some test
+item has. A test item's windows are its runs of N = 10 consecutive words (an item of fewer words is one window). Term
+counts come from the index and order each window's terms from the rarest on; a window with a term that no document
+holds is dropped unread. Lists are intersected in that order: the postings of a window's rarest term, shifted by its
+offset, are the starts at which the window may stand; those go on that the second rarest term's postings meet, shifted by
+its own offset, and then those that the postings of all further terms meet. With slop, a term may stand
+that many words off its place: proximity matches. Without, matches are exact phrases.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. Null texts have no
-words, items without words no window. Ids may be null or repeat: postings carry a row's own id
-and text hash. The test side is small by nature; it is broadcast only under BROADCAST_ROWS rows.
+words, items without words no window; null item ids count in no digest, but their windows are looked for. Ids may be null
+or repeat: a document is named by its id and its text's hash, so equal rows share one outcome, and two texts of one id
+don't. Among equally rare terms of a window the first one counts as rarer. An empty table of documents gives no rows, an empty
+benchmark no hits. Columns beside id and text are not looked at; clean() keeps them. A very long text is many postings, no long row.
+
+What is shuffled are postings and starts, never texts. The test side is small by nature; it is broadcast only under
+BROADCAST_ROWS rows and joined otherwise. A frequent term is met by broadcast, or as a skewed key that adaptive execution
+splits; from the second list on the document is part of the key.
 """
 
 from __future__ import annotations
@@ -53,73 +60,89 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode("words").alias("raw")).select(lowered(F.col("raw")).alias("term"))
+def index(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored postings (term, id, h, at) of the terms of wins in docs; at counts words from 1, h is the text's hash."""
+    terms = materialise(wins.select(F.explode("words").alias("term")).distinct(), "terms")
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), raw_words(docs[text_col]).alias("words"))
+    rows = rows.withColumn("lead", (F.element_at("words", 1) == "").cast("int"))  # split leaves an empty word before a first break
+    rows = rows.select("id", "h", "lead", F.posexplode("words").alias("pos", "raw")).where("raw <> ''")
+    found = rows.select(lowered(F.col("raw")).alias("term"), "id", "h", (F.col("pos") + 1 - F.col("lead")).alias("at"))
+    return materialise(found.join(_small(terms, terms.count()), "term", "left_semi"), "index")
 
 
-def anchored(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """(item, words, term, offset): each window that can occur, with its rarest term and that term's first offset from 0.
-
-    docs(words) is the training side. Counts cover all of it; they are summed per task before they are shuffled.
-    """
-    each = wins.select("item", "words", F.posexplode("words").alias("offset", "term"))
-    terms = materialise(each.select("term").distinct(), "terms")
-    counts = _tokens(docs).join(_small(terms, terms.count()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(counts, "counts")
-    best = each.join(counts, "term", "left").groupBy("item", "words").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term")).alias("rarest")
+def ordered(postings: DataFrame, wins: DataFrame) -> DataFrame:
+    """(win, item, length, step, term, offset): the terms of each window that can occur, rarest first (step 0)."""
+    each = wins.select("win", "item", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"))
+    counts = materialise(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")  # summed per task before they are shuffled
+    ranked = each.join(counts, "term", "left").groupBy("win", "item", "length").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("terms")  # at most N terms
     )
-    return best.where("rarest.n > 0").select("item", "words", "rarest.term", "rarest.offset")
-
-
-def hits(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(key, start, length, item): every place at which a window occurs in docs(key, words); start counts from 1 in words."""
-    anchors = materialise(anchors.withColumn("phrase", F.array_join("words", " ")).withColumn("length", F.size("words")), "anchors")
-    shifts = anchors.select("term", "offset", "length").distinct()
-    shifts = shifts.groupBy("term").agg(F.collect_set(F.struct("offset", "length")).alias("shifts"))
-    phrases = anchors.select("phrase", "item").distinct()
-    postings = docs.select("key", "words", F.posexplode("words").alias("at", "raw")).withColumn("term", lowered(F.col("raw")))
-    found = postings.join(_small(shifts, anchors.count()), "term").select(
-        "key",
-        F.explode(
-            F.transform(
-                F.filter("shifts", lambda s: (F.col("at") >= s["offset"]) & (F.col("at") - s["offset"] + s["length"] <= F.size("words"))),
-                lambda s: F.struct(
-                    (F.col("at") - s["offset"] + 1).alias("start"),
-                    s["length"].alias("length"),
-                    F.slice("words", F.col("at") - s["offset"] + 1, s["length"]).alias("own"),
-                ),
-            )
-        ).alias("c"),
-    )
-    found = found.select("key", "c.start", "c.length", F.array_join(F.transform("c.own", lowered), " ").alias("phrase"))
-    return found.join(_small(phrases, anchors.count()), "phrase").select("key", "start", "length", "item")
+    ranked = ranked.where("terms[0].n > 0").select("win", "item", "length", F.posexplode("terms").alias("step", "t"))
+    return materialise(ranked.select("win", "item", "length", "step", "t.term", "t.offset"), "plan")
+
+
+def intersect(postings: DataFrame, plan: DataFrame, slop: int = 0) -> DataFrame:
+    """(id, h, win, start): where windows occur; start counts words from 1 and may be off by slop where slop is over 0."""
+    size = plan.count()
+
+    def of(steps: str) -> DataFrame:
+        return plan.where(steps)
+
+    def shifted(rows: DataFrame, at: Column) -> DataFrame:
+        """A row for each place within slop of at."""
+        if not slop:
+            return rows.withColumn("due", at)
+        return rows.withColumn("due", F.explode(F.array(*(at + F.lit(d) for d in range(-slop, slop + 1)))))
+
+    rarest = of("step = 0").select("term", "win", "offset", "length")
+    starts = shifted(postings.join(_small(rarest, size), "term"), F.col("at") - F.col("offset"))
+    # a window begins within the text, if its words keep their places
+    starts = starts.select("id", "h", "win", "length", F.col("due").cast("int").alias("start")).where(F.col("start") >= 1 - slop)
+    starts = materialise(starts.distinct() if slop else starts, "starts")
+
+    def met(starts: DataFrame, steps: str) -> DataFrame:
+        """(id, h, win, length, start, step): the steps' terms that stand where a start needs them."""
+        terms = of(steps).select("win", "step", F.col("term").alias("need"), "offset")
+        asks = starts.join(_small(terms, size), "win")
+        asks = shifted(asks, F.col("start") + F.col("offset")).drop("offset")
+        n = starts.count() * (2 * slop + 1) * N
+        asks = F.broadcast(asks) if n <= BROADCAST_ROWS else asks
+        same = F.col("p.id").eqNullSafe(F.col("a.id")) & (F.col("p.h") == F.col("a.h")) & (F.col("p.term") == F.col("a.need")) & (F.col("p.at") == F.col("a.due"))
+        return postings.alias("p").join(asks.alias("a"), same).select("a.id", "a.h", "a.win", "a.length", "a.start", "a.step")
+
+    one = starts.where("length = 1").select("id", "h", "win", "start")
+    second = met(starts.where("length > 1"), "step = 1")
+    second = materialise((second.distinct() if slop else second).select("id", "h", "win", "length", "start"), "second")
+    two = second.where("length = 2").select("id", "h", "win", "start")
+    rest = met(second.where("length > 2"), "step > 1")
+    steps = F.count_distinct("step") if slop else F.count(F.lit(1))  # without slop a place holds one term, so steps are met once
+    rest = rest.groupBy("id", "h", "win", "length", "start").agg(steps.alias("n")).where("n = length - 2").select("id", "h", "win", "start")
+    return one.unionByName(two).unionByName(rest)
+
+
+def numbered(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """windows() with a number win each."""
+    return materialise(windows(items, id_col, text_col, n).withColumn("win", F.monotonically_increasing_id()), "windows")
+
+
+def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N) -> DataFrame:
+    """(id, h, start, length, item): every place at which a window occurs."""
+    wins = numbered(items, item_col, item_text, n)
+    postings = index(docs, wins, id_col, text_col)
+    plan = ordered(postings, wins)
+    found = intersect(postings, plan)
+    named = plan.where("step = 0").select("win", "item", "length")
+    return found.join(_small(named, named.count()), "win").select("id", "h", "start", "length", "item")
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N) -> DataFrame:
-    """(id_col, item_col): documents in which a window's two rarest terms stand within slop words of their distance in it.
-
-    The postings of both lists are fetched, and met by document and coarse position, never all with all.
-    """
-    wins = materialise(windows(items, item_col, item_text, n), "windows")
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], docs[text_col]).alias("key"), raw_words(docs[text_col]).alias("words"))
-    each = wins.select("item", "words", F.posexplode("words").alias("offset", "term"))
-    terms = each.select("term").distinct()
-    counts = materialise(_tokens(rows).join(_small(terms, terms.count()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
-    ranked = each.join(counts, "term", "left").groupBy("item", "words").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("t")
-    )
-    ranked = ranked.where("t[0].n > 0").select("item", F.col("t")[0].alias("a"), F.coalesce(F.get("t", F.lit(1)), F.col("t")[0]).alias("b")).where("b.n > 0").distinct()
-    pairs = materialise(ranked.select("item", F.col("a.term").alias("one"), F.col("b.term").alias("two"), (F.col("b.offset") - F.col("a.offset")).alias("gap")), "pairs")
-    wanted = pairs.select(F.col("one").alias("term")).union(pairs.select("two")).distinct()
-    index = rows.select("id", "key", F.posexplode("words").alias("at", "raw")).withColumn("term", lowered(F.col("raw"))).drop("raw")
-    index = materialise(index.join(_small(wanted, wanted.count()), "term", "left_semi"), "index")
-    width = slop + 1
-    left = index.join(pairs, index["term"] == pairs["one"]).select("id", "key", "item", "two", (F.col("at") + F.col("gap")).alias("due"))
-    left = left.withColumn("bin", F.explode(F.sequence(F.floor((F.col("due") - slop) / width), F.floor((F.col("due") + slop) / width))))
-    right = index.select(F.col("key").alias("key"), F.col("term").alias("two"), "at", F.floor(F.col("at") / width).alias("bin")).distinct()
-    met = left.join(right, ["key", "two", "bin"]).where(F.abs(F.col("at") - F.col("due")) <= slop)
-    return met.select(F.col("id").alias(id_col), F.col("item").alias(item_col)).distinct()
+    """(id_col, item_col): documents in which all words of a window stand within slop words of their places, around some start."""
+    wins = numbered(items, item_col, item_text, n)
+    postings = index(docs, wins, id_col, text_col)
+    plan = ordered(postings, wins)
+    found = intersect(postings, plan, slop).select("id", "win").distinct()
+    named = plan.where("step = 0").select("win", "item")
+    return found.join(_small(named, named.count()), "win").select(F.col("id").alias(id_col), F.col("item").alias(item_col)).distinct()
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N) -> DataFrame:
@@ -128,22 +151,18 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     A word is hit if an occurrence of a window covers it. items_sha256 digests the ids of the items
     with occurring windows, sorted as strings and joined by commas.
     """
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    key = F.xxhash64("id", "text")
-    indexed = rows.select(key.alias("key"), raw_words(F.col("text")).alias("words"))
-    wins = materialise(windows(items, item_col, item_text, n), "windows")
-    found = materialise(hits(indexed, anchored(indexed, wins)).distinct(), "hits")
-    by_start = Window.partitionBy("key").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    spans = found.groupBy("key", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), raw_words(docs[text_col]).alias("words"))
+    found = materialise(hits(docs, items, id_col, text_col, item_col, item_text, n).distinct(), "hits")
+    by_start = Window.partitionBy("id", "h").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.groupBy("id", "h", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     spans = spans.withColumn("before", F.max("end").over(by_start))
-    covered = spans.groupBy("key").agg(F.sum(F.greatest(F.col("end") - F.greatest("start", F.coalesce("before", "start")), F.lit(0))).alias("n_hit"))
-    met = found.select("key", F.col("item").cast("string").alias("item")).distinct()
-    met = met.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    per_doc = materialise(covered.join(met, "key"), "per_doc")
-    counted = rows.select("id", key.alias("key"), raw_words(F.col("text")).alias("words")).select("id", "key", n_words(F.col("words")).cast("bigint").alias("n_words"))
-    out = counted.join(per_doc, "key", "left")
-    return out.select(
-        F.col("id").alias(id_col),
+    covered = spans.groupBy("id", "h").agg(F.sum(F.greatest(F.col("end") - F.greatest("start", F.coalesce("before", "start")), F.lit(0))).alias("n_hit"))
+    met = found.select("id", "h", F.col("item").cast("string").alias("item")).distinct()
+    met = met.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    per_doc = materialise(_null_safe(covered, met, "inner").select("l.id", "l.h", "n_hit", "n_items", "items_sha256"), "per_doc")
+    counted = rows.select("id", "h", n_words(F.col("words")).cast("bigint").alias("n_words"))
+    return _null_safe(counted, per_doc, "left").select(
+        F.col("l.id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
@@ -152,13 +171,15 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
+def _null_safe(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    return left.alias("l").join(right.alias("r"), F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.h") == F.col("r.h")), how)
+
+
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """documents without any occurrence of a window of items; ids are not needed to tell rows apart."""
-    indexed = docs.select(F.xxhash64("doc_id", "text").alias("key"), raw_words(docs["text"]).alias("words"))
-    wins = materialise(windows(items), "windows")
-    gone = materialise(hits(indexed, anchored(indexed, wins)).select("key").distinct(), "hits")
-    small = _small(gone.withColumnRenamed("key", "gone_key"), gone.count())
-    return docs.join(small, F.xxhash64(docs["doc_id"], docs["text"]) == small["gone_key"], "left_anti")
+    """documents without any occurrence of a window of items, with all their columns; no ids and no rows are lost beside."""
+    gone = materialise(hits(docs, items).select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h")).distinct(), "hits")
+    small = _small(gone, gone.count())
+    return docs.join(small, docs["doc_id"].eqNullSafe(small["_gone_id"]) & (F.xxhash64(docs["text"]) == small["_gone_h"]), "left_anti")
 
 
 #: The same result in DuckDB.

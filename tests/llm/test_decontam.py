@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from tallyline.llm import decontam
 
 
@@ -28,7 +30,9 @@ def brute(docs, items):
         yield k, len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [400_000, -1])
+def test_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
     rng = random.Random(21)
     vocab = ["The", "cat", "É", "été", "ünd", "x1", "2", "rare%d"]
 
@@ -53,9 +57,43 @@ def test_against_brute_force(spark):
     assert decontam.report(d, b.limit(0)).where("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a red fox x jumps over"), (2, "red one two three four five six seven jumps"), (3, "jumps red")], "doc_id long, text string")
-    b = spark.createDataFrame([(5, "red fox jumps")], "item_id long, text string")
-    assert {r.doc_id for r in decontam.proximity(d, b, slop=1, n=3).collect()} <= {1}
-    b = spark.createDataFrame([(5, "red jumps")], "item_id long, text string")
-    assert {r.doc_id for r in decontam.proximity(d, b, slop=2, n=3).collect()} == {1, 3}
+def near(docs, items, slop, n):
+    """(doc, item): for some start, each of a window's words stands within slop of its place."""
+    for k, t in docs:
+        at = {}
+        w = words(t)
+        for i, x in enumerate(w):
+            at.setdefault(x, set()).add(i)
+        for item, u in items:
+            v = words(u)
+            for i in range(max(1, len(v) - n + 1) if v else 0):
+                win = v[i : i + n]
+                if any(all(any(s + j + d in at.get(x, ()) for d in range(-slop, slop + 1)) for j, x in enumerate(win)) for s in range(-n, len(w) + n)):
+                    yield k, item
+
+
+@pytest.mark.parametrize("limit", [400_000, -1])
+def test_proximity_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    rng = random.Random(22)
+    vocab = ["a", "b", "c", "d", "e", "f%d"]
+
+    def text(k):
+        return " ".join(v % rng.randrange(4) if "%" in v else v for v in rng.choices(vocab, k=k))
+
+    items = [(i, text(rng.choice([1, 2, 3, 4, 6]))) for i in range(12)] + [(50, None), (51, "nowhere at all")]
+    docs = [(i, text(rng.randrange(12))) for i in range(40)] + [(None, "a b c d"), (60, None), (60, "a b"), (60, "a b")]
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, term int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 1, 2):
+        got = {tuple(r) for r in decontam.proximity(d, b, slop=slop, n=4).collect()}
+        assert got == set(near(docs, items, slop, 4))
+
+
+def test_long_text(spark):
+    rng = random.Random(23)
+    long = " ".join(f"w{rng.randrange(50)}" for _ in range(200_000))
+    item = " ".join(long.split()[100_000:100_012])
+    d = spark.createDataFrame([(1, long), (2, "w1 w2")], "doc_id long, text string")
+    b = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert sorted(map(tuple, decontam.report(d, b).collect()), key=str) == sorted(brute([(1, long), (2, "w1 w2")], [(5, item)]), key=str)
