@@ -6,11 +6,11 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyline.llm import bpe, pii, quality, simhash
+from tallyline.llm import bpe, pii, quality
 from tallyline.llm.common import table
 
 from test_decontam import brute as leaks
-from test_simhash import roots_of
+from test_simhash import smallest_of_classes
 
 
 def test_pipeline_matches_plain_version(spark, sf_dir):
@@ -19,12 +19,8 @@ def test_pipeline_matches_plain_version(spark, sf_dir):
     model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     good = [r for r, s in zip(rows, quality._scores([t for _, t in rows], *model)) if s >= 0.5]
-    fps = [simhash.fingerprint(t) for _, t in good]
-    roots = roots_of(len(good), [(i, j) for i in range(len(good)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
-    least = {}
-    for (k, _), root in zip(good, roots):
-        least[root] = min(least.get(root, k), k)
-    single = [r for r, root in zip(good, roots) if r[0] == least[root]]
+    least = set(smallest_of_classes(good))
+    single = [r for r in good if r[0] in least]
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
     hit = {r[0] for r in leaks(single, items) if r[5]}
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))

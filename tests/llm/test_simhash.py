@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -96,20 +97,72 @@ def test_near_duplicates(spark):
     want = roots_of(len(keys), [(i, j) for i in range(len(keys)) for j in range(i) if (fps[keys[i]] ^ fps[keys[j]]).bit_count() <= 3])
     assert [out[k].component_id for k in keys] == [keys[w] for w in want]
     assert out[None].component_id == 15
-    kept = sorted(r.doc_id for r in simhash.representatives(docs).collect() if r.doc_id is not None)
-    assert kept == sorted({keys[w] for w in want})
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_one_row_stays_whatever_the_ids(spark):
-    from collections import Counter
-
-    from tallyline.llm import shingles
-
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a, "en"), (1, a, "en"), (1, a, "es"), (2, a, "en"), (2, b, "en"), (None, c, "en"), (None, c, "en"), (3, None, "en"), (4, "", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for module in (simhash, shingles):
-        kept = module.representatives(docs)
-        assert kept.columns == docs.columns
-        assert Counter(map(tuple, kept.collect())) == Counter([(1, a, "en"), (2, b, "en"), (None, c, "en"), (3, None, "en")])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a, "en"), (2, b, "en"), (None, c, "en"), (3, None, "en")])
+
+
+def slow_set(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def smallest_of_classes(rows):
+    """The smallest id of each class of rows (id, text), by comparing all pairs."""
+    sets = [slow_set(t) for _, t in rows]
+    roots = roots_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
+    least = {}
+    for (k, _), root in zip(rows, roots):
+        least[root] = min(least.get(root, k), k)
+    return sorted(least.values())
+
+
+def test_near_copies_of_the_given_table_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == smallest_of_classes(rows)
+
+
+def test_chains_and_common_passages(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(9000)}" for _ in range(220)]
+    texts = []
+    for _ in range(12):  # each is near the one before, the ends are far apart
+        at = rng.randrange(0, 190)
+        words = words[:at] + [f"x{rng.randrange(9000)}" for _ in range(14)] + words[at + 14 :]
+        texts.append(" ".join(words))
+    common = " ".join(f"c{i}" for i in range(60))
+    texts += [common + " " + " ".join(f"y{rng.randrange(9000)}" for _ in range(rng.randrange(0, 60))) for _ in range(30)]
+    texts += ["", None, "one two", "One  two", "one two three"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == smallest_of_classes(rows)
+    assert simhash.representatives(docs.limit(0)).count() == 0
+
+
+def test_wide_fingerprints_of_similar_sets_are_near():
+    rng = np.random.default_rng(5)
+    apart = []
+    for _ in range(300):
+        shared, own = rng.integers(0, 2**63, 320, np.uint64), rng.integers(0, 2**63, (2, 40), np.uint64)  # similarity 0.8
+        a, b = (simhash.wide_fingerprint(np.unique(np.concatenate([shared, x]))) for x in own)
+        apart.append(int(np.bitwise_count(a ^ b).sum()))
+    assert abs(np.mean(apart) / 384 - 0.1515) < 0.01 and np.mean(np.array(apart) <= simhash.WIDE_RADIUS) > 0.99
+
+
+def test_very_long_text():
+    text = " ".join(f"w{i % 977}" for i in range(300_000))
+    assert simhash.fingerprint(text) == slow_fp(text)
+    assert len(simhash.shingle_set(text, 5)) == 977
