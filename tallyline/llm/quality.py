@@ -1,17 +1,21 @@
 """Quality classifier: a linear hinge-loss model over n-gram indicators scaled by naive Bayes log-count ratios.
 
-Features of a text are indicators of the n-grams (1 to 3) of its token shapes, hashed to BITS bits. A shape
-keeps a token's classes of characters (lower and upper letters, digits) and its punctuation, runs
-shortened; a token that repeats the one before it and a line seen before have marks of their own, so
-the features carry over to words never seen. Each indicator is scaled by the log ratio of its
-smoothed relative counts in the two classes, each text's vector has length one, and
+Features of a text are indicators, hashed to BITS bits, of
+* the n-grams (1 to 3) of its token shapes, which carry over to words never seen: a shape keeps a token's classes of characters
+  (lower and upper letters, digits) and its punctuation, runs shortened;
+* its words and pairs of words, A-Z in lower case, and the three-character grams of its words with their borders;
+* two marks: a token that repeats the one before it, and a line seen before.
+Each indicator is scaled by the log ratio of its smoothed relative counts in the two classes (0 if fewer than LEAST
+training texts have it), each text's vector has length one, and
 a support vector machine is fitted by dual coordinate descent, classes weighted to equal sums. A
 logistic curve fitted on rows kept out of the descent turns margins into scores.
 
-The fit reads at most TRAIN_ROWS labelled rows, those with the smallest hashes of their ids; features are
+The fit reads at most TRAIN_ROWS labelled documents, those with the smallest hashes of their ids; features are
 made by many tasks, the descent is one task over that bounded sample. Scoring reads whole texts in
-parallel. Null and empty texts have the one feature "empty". Labels other than 0 and 1 are left out,
-a document with both counts as 0. Without labels every score is 0.5; with one class, all scores are that class's.
+parallel. Null and empty texts have the one feature "empty". Labels other than 0 and 1 and labels without an id are left out;
+a document with both counts as 0, and of several texts of one labelled id the one with the smallest hash is learned from. Without
+labels every score is 0.5; with one class, all scores are that class's. Repeated rows and rows without an id are scored each on
+its own text; empty tables give no rows. Columns beside id and text are not looked at by score() and kept by keep_good().
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from tallyline.llm.common import materialise
 
 TRAIN_ROWS = 12_000
-BITS, GRAMS = 18, 3
+BITS, GRAMS, LEAST = 20, 3, 3
 COST, EPOCHS, SEED = 0.3, 12, 7
 
 
@@ -56,47 +60,72 @@ class _Shapes(dict):
                 out.append(c)
         if len(self) > 200_000:
             self.clear()
-        shape = self[token] = bytes(out)[:48]
+        shape = self[token] = bytes(out)
         return shape
 
 
+def _number(gram: bytes) -> int:
+    return zlib.crc32(gram) & ((1 << BITS) - 1)
+
+
 class _Numbers(dict):
+    """Number of a gram of shapes; forgets when it gets large."""
+
     def __missing__(self, gram: tuple) -> int:
         if len(self) > 400_000:
             self.clear()
-        n = self[gram] = zlib.crc32(b"\x00".join((b"%d" % len(gram), *gram))) & ((1 << BITS) - 1)
+        n = self[gram] = _number(b"\x00".join((b"%d" % len(gram), *gram)))
         return n
 
 
-_shapes, _numbers = _Shapes(), _Numbers()
+class _Words(dict):
+    """Numbers of a word and of its three-character grams; forgets when it gets large."""
 
+    def __missing__(self, word: bytes) -> tuple:
+        if len(self) > 200_000:
+            self.clear()
+        chars = f" {word.decode()} "
+        grams = {chars[i : i + 3].encode() for i in range(len(chars) - 2)}
+        found = self[word] = (_number(b"w\x00" + word), *(_number(b"c\x00" + g) for g in grams))
+        return found
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted numbers of the indicators that are on."""
+
+_shapes, _numbers, _words = _Shapes(), _Numbers(), _Words()
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def features(text: str | None, marks: bool = True) -> np.ndarray:
+    """Sorted numbers of the indicators that are on; marks: with those of repetition."""
     raw = (text or "").encode()
-    words = raw.split()
+    words = raw.translate(_LOWER).split()
     if not words:
         return np.array([_numbers[(b"empty",)]], np.int64)
     shapes = list(map(_shapes.__getitem__, raw.translate(_CLASSES).split()))
-    for i in range(1, len(words)):
-        if words[i] == words[i - 1]:
-            shapes[i] = b"=" + shapes[i]
+    on: set = set()
+    if marks:
+        own = raw.split()
+        for i in range(1, len(own)):
+            if own[i] == own[i - 1]:
+                shapes[i] = b"=" + shapes[i]
+        lines = [x for x in raw.split(b"\n") if len(x) > 20]
+        if len(set(lines)) < len(lines):
+            on.add(_numbers[(b"line again",)])
     grams: set = set()
     for n in range(1, GRAMS + 1):
         grams.update(zip(*(shapes[k:] for k in range(n))))
-    lines = [x for x in raw.split(b"\n") if len(x) > 20]
-    if len(set(lines)) < len(lines):
-        grams.add((b"line again",))
-    return np.unique(np.fromiter(map(_numbers.__getitem__, grams), np.int64, len(grams)))
+    on.update(map(_numbers.__getitem__, grams))
+    on.update(*map(_words.__getitem__, set(words)))
+    on.update(_number(b"p\x00" + a + b" " + b) for a, b in set(zip(words, words[1:])))
+    return np.sort(np.fromiter(on, np.int64, len(on)))
 
 
 def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Log-count ratio of each indicator."""
+    """Log-count ratio of each indicator; those that fewer than LEAST rows have say nothing."""
     counts = np.ones((2, 1 << BITS))
     for x, c in zip(rows, y):
         counts[int(c > 0), x] += 1
     share = counts / counts.sum(axis=1, keepdims=True)
-    return np.log(share[1]) - np.log(share[0])
+    return np.where(counts.sum(axis=0) >= LEAST + 2, np.log(share[1]) - np.log(share[0]), 0.0)
 
 
 def scaled(x: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -163,19 +192,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS):
-    """The model as three arrays on the driver: a fixed 2 MB. labels: (doc_id, quality)."""
+    """The model as three arrays on the driver: a fixed 8 MB. labels: (doc_id, quality)."""
     known = labels.select(labels["doc_id"].alias("label_id"), labels["quality"].alias("quality")).where("quality IN (0, 1) AND label_id IS NOT NULL")
     known = known.groupBy("label_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(train_rows)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = rows.join(F.broadcast(materialise(chosen, "labelled")), F.col("id") == F.col("label_id"))  # at most train_rows rows
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(materialise(chosen, "labelled")), F.col("id") == F.col("label_id")).withColumn("h", F.xxhash64("text"))  # at most train_rows ids
 
     def marks(batches):
         for batch in batches:
-            found = [features(x).astype(np.int32) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "quality", "x"])
+            found = [features(x).astype(np.int32) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=["id", "quality", "h", "x"])
 
-    made = materialise(rows.select("id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(marks, f"id {docs.schema[id_col].dataType.simpleString()}, quality int, x array<int>"), "marks")
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = materialise(rows.select("id", F.col("quality").cast("int").alias("quality"), "h", "text").mapInArrow(marks, f"id {kind}, quality int, h bigint, x array<int>"), "marks")
 
     def fitted(batches):
         xs, y = [], []
@@ -185,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = fit(xs, np.where(np.array(y) == 1, 1, -1)) if xs else fit([], np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()) for m in model], names=["r", "w", "c"])
 
-    sample = made.dropDuplicates(["id"]).repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("quality", "x")
+    once = made.groupBy("id").agg(F.min_by(F.struct("quality", "x"), "h").alias("row")).select("id", "row.*")  # one text an id, whatever the order
+    sample = once.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("quality", "x")
     row = sample.mapInArrow(fitted, "r binary, w binary, c binary").first()
     if row is None:
         return fit([], np.zeros(0))
