@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, decontam, pii, quality, shingles
+from tallyline.llm import bpe, decontam, pii, quality, simhash
 from tallyline.llm.common import materialise, table
 
 
@@ -22,8 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (5-word shingles, similarity >= 0.8) stays: the one with the smallest doc_id."""
-    return shingles.representatives(docs)
+    """One document of each class of near-duplicates stays, the one with the smallest doc_id: SimHash candidates, 5-word shingles, similarity >= 0.8."""
+    return simhash.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
