@@ -12,16 +12,16 @@ from tallyline.functions.text import fold
 #: Words of bank texts by kind, in the order in which kinds are tried; side: debit, credit or both.
 KINDS = (
     ("bizum", "both", r"\bBIZUM\b"),
-    ("cash", "both", r"\bREINTEGR|\bEFECTIU\b|\bEFECTIVO\b|\bDISP\.? ?EFECTIVO|\bCAJERO\b|\bCAIXER\b|\bRETIRADA\b|\bINGRES(O)? (EN )?EFECTI[UV]"),
+    ("cash", "both", r"\bREINTEGR|\bEFECTIU\b|\bEFECTIVO\b|\bDISP\.? ?EFECTIVO|\bCAJERO\b|\bCAIXER\b|\bRETIRADA\b|\bINGRESO (EN )?EFECTIVO|\bINGRES (EN )?EFECTIU"),
     ("cheque", "both", r"\bCHEQUE|\bTALON\b|\bXEC\b|\bPAGARE\b"),
     ("fee", "both", r"\bCOMISION|\bCOMISSIO|\bGASTOS DE (MANTENIMIENTO|ADMINISTRACION)|\bCUOTA (DE )?MANTENIMIENTO|\bQUOTA (DE )?MANTENIMENT|\bLIQ\.? ?COMISION|\bSERVICIO DE CUENTA"),
     ("interest", "both", r"\bINTERES(ES)?\b|\bINTERESSOS\b|\bLIQ(UIDACION)? ?INT(ERESES)?\b"),
     ("tax", "both", r"\bIMPUEST|\bIMPOST|\bAEAT\b|\bHACIENDA\b|\bAGENCIA TRIBUTARIA|\bAJUNTAMENT\b|\bAYUNTAMIENTO\b|\bIBI\b|\bTRIBUT|\bTGSS\b|\bSEGURIDAD SOCIAL|\bSEGURETAT SOCIAL|\bMODELO \d{3}\b|\bTAXA\b|\bTASA\b"),
-    ("loan", "both", r"\bPRESTAMO|\bPRESTEC\b|\bAMORTIZACION|\bAMORTITZACIO|\bHIPOTECA"),
+    ("loan", "both", r"\bPRESTAMO|\bPRESTEC\b|\bAMORTIZACION|\bAMORTITZACIO|\bHIPOTECA|\bCUOTA PRESTAMO|\bQUOTA PRESTEC"),
     ("subsidy", "credit", r"\bSUBVENCIO|\bCONSORCI\b|\bGENERALITAT\b|\bAJUT\b|\bAYUDA\b|\bINSTITUT MUNICIPAL|\bFONDOS NEXT|\bNEXT GENERATION"),
     ("returned", "debit", r"\bDEVOL|\bIMPAGAD|\bRETORN|\bDEVUELT|\bRECHAZ|\bREBUT RETORNAT|\bRECIBO DEVUELTO"),
     ("refund", "credit", r"\bDEVOL|\bRETROCES|\bREEMBOLS|\bREINTEGRO DE\b"),
-    ("card", "both", r"\bTARJETA|\bTARGETA|\bCARD\b|\bTPV\b|\bCOMPRA (EN|A)\b|\bVISA\b|\bMASTERCARD\b"),
+    ("card", "both", r"\bTARJETA|\bTARGETA|\bCARD\b|\bTPV\b|\bCOMPRA (EN|A)\b|\bPAGO CON TARJETA|\bVISA\b|\bMASTERCARD\b"),
     ("internal", "both", r"\bTRASPAS|\bTRANSFERENCIA INTERNA|\bCUENTA PROPIA|\bENTRE CUENTAS|\bCOMPTE PROPI|\bENTRE COMPTES"),
     ("quota_in", "credit", r"\bCUOTA|\bQUOTA|\bCOMUNIDAD|\bCOMUNITAT|\bDERRAMA|\bREMESA|\bPROPIETARI|\bVECINO|\bVEI\b"),
     ("transfer", "both", r"\bTRANSF|\bORDEN DE PAGO|\bORDRE DE PAGAMENT|\bSEPA CREDIT|\bABONO POR TRANSF|\bEMITIDA\b"),
@@ -34,7 +34,7 @@ CODES = {
 }
 PERSON_KINDS = ("transfer_out", "direct_debit", "bizum", "card", "cheque", "other", "loan", "returned")
 #: Legal forms and words that name no person.
-LEGAL_FORM = r"\b(S\.?L\.?[ULP]?\.?|S\.?A\.?U?\.?|S\.?C\.?P\.?|S\.?C\.?C\.?L\.?P?\.?|C\.?B\.?|S\.?COOP\.?|COOP|AIE|UTE|SRL|LTD|GMBH|INC|PLC|BV|NV|SARL)\b"
+LEGAL_FORM = r"\b(S\.?L\.?U?\.?|S\.?A\.?U?\.?|S\.?C\.?P\.?|S\.?C\.?C\.?L\.?P?\.?|C\.?B\.?|S\.?L\.?L\.?|S\.?COOP\.?|COOP|AIE|UTE|SRL|LTD|GMBH|INC|PLC|BV|NV|SARL)\b"
 ORGANISATION = (
     "BANCO BANK BANCA CAIXA CAJA AJUNTAMENT AYUNTAMIENTO AEAT AGENCIA GENERALITAT CONSORCI DIPUTACIO MINISTERIO SEGUROS ASSEGURANCES MUTUA COMPANYIA COMPANIA COMUNIDAD COMUNITAT "
     "ASCENSOR ASCENSORS ASCENSORES INSTALACION INSTALLACIONS INSTALACIONES SERVICIOS SERVEIS FUNDACIO FUNDACION ASSOCIACIO ASOCIACION COOPERATIVA ENERGIA ELECTRICA GAS AIGUES AGUAS "
@@ -49,7 +49,7 @@ def person_name(text: Column) -> Column:
     def looks(t):
         words = F.split(t, " ")
         named = F.size(words).between(2, 6) & F.forall(words, lambda w: w.rlike("^[A-Z][A-Z'-]*$"))
-        return named & ~t.rlike(LEGAL_FORM) & ~F.arrays_overlap(words, F.array(*map(F.lit, ORGANISATION)))
+        return named & ~t.rlike(LEGAL_FORM) & ~t.rlike(rf"\b({'|'.join(ORGANISATION)})\b")
 
     return let(fold(F.coalesce(text, F.lit(""))), looks)
 

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,11 +51,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def keyed_digest(c: Column, secret: str) -> Column:
-    """HMAC-SHA-256 in hex; no built-in function has it, so it runs over Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        key = secret.encode()
-        return values.map(lambda v: None if v is None else hmac.new(key, unicodedata.normalize("NFKC", v).encode(), hashlib.sha256).hexdigest())
-
-    return run(c)
+    """HMAC-SHA-256 in hex of canonical account or tax numbers: two hashes around the padded key."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in key) for pad in (0x36, 0x5C))
+    first = F.sha2(F.concat(F.lit(bytearray(inner)), F.encode(c, "UTF-8")), 256)
+    return F.sha2(F.concat(F.lit(bytearray(outer)), F.unhex(first)), 256)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -110,16 +112,30 @@ def recurring(rows: DataFrame, key: str, amount: str, least: int = 3, band: floa
 def group_pages(pages: DataFrame, batch: str, order: str, kind: str, link: str, cap: int = 30) -> DataFrame:
     """pages with group: a page opens a new group unless it continues the one before, at most cap pages each.
 
-    link says of a page whether it continues (true), begins (false) or leaves it open (null); an open page continues if it
-    is of the kind before it. Runs are found by windows, and a run beyond the cap is cut at its multiples.
+    link says of a page whether it continues (true), begins (false) or leaves it open (null); an open page continues if it is of
+    the commonest kind of its group so far, the first seen of equally common ones. That kind depends on where the group began, so a
+    batch is one sorted stream; a task holds the counts of one group.
     """
-    by = Window.partitionBy(batch).orderBy(order)
-    starts = ~F.coalesce(F.col(link), F.col(kind) == F.lag(kind).over(by), F.lit(False)) | F.lag(order).over(by).isNull()
-    run = F.sum(F.col("_starts").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    runs = pages.withColumn("_starts", starts).withColumn("_run", run)
-    place = F.row_number().over(Window.partitionBy(batch, "_run").orderBy(order)) - 1
-    runs = runs.withColumn("_part", F.floor(place / cap))
-    return runs.withColumn("group", F.dense_rank().over(Window.partitionBy(batch).orderBy("_run", "_part"))).drop("_starts", "_run", "_part")
+    sent = pages.repartition(batch).sortWithinPartitions(batch, order)
+    at = [pages.columns.index(c) for c in (batch, kind, link)]
+
+    def run(batches):
+        key, n, size, counts = None, 0, 0, {}
+        for rows in batches:
+            groups = []
+            for k, what, linked in zip(*(rows.column(i).to_pylist() for i in at)):
+                if not groups and not n or k != key:
+                    key, n, size = k, 0, 0
+                main = max(counts, key=counts.get) if size else None  # dicts keep the order of first sight
+                joins = size > 0 and (linked if linked is not None else what is not None and what == main)
+                if not joins or size >= cap:
+                    n, size, counts = n + 1, 0, {}
+                size += 1
+                counts[what] = counts.get(what, 0) + 1
+                groups.append(n)
+            yield rows.append_column("group", pa.array(groups, pa.int32()))
+
+    return sent.mapInArrow(run, StructType([*pages.schema.fields, StructField("group", IntegerType())]))
 
 
 def context(rows: DataFrame, key: str, order: str, value: str, before: int = 2, after: int = 1) -> DataFrame:

@@ -213,7 +213,13 @@ def link_candidates_range_join(spark, d):
     return _candidates(spark, d).select("o_orderkey", "l_orderkey", "l_linenumber", ((F.col("o_cents") - F.col("l_cents")) / 100).cast(MONEY).alias("off"))
 
 
-@bound()
+@bound("""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY gap, days, o_orderkey, line) AS n FROM (SELECT o_orderkey, l_orderkey || '-' || l_linenumber AS line, (abs(o_totalprice::DECIMAL(18,2) - l_extendedprice::DECIMAL(18,2)) * 100)::BIGINT AS gap, abs(l_shipdate::DATE - o_orderdate::DATE)::INTEGER AS days
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_nationkey = c_nationkey JOIN lineitem ON l_suppkey = s_suppkey
+ WHERE abs(o_totalprice::DECIMAL(18,2) - l_extendedprice::DECIMAL(18,2)) <= 5 AND l_shipdate::DATE - o_orderdate::DATE BETWEEN -5 AND 120)),
+f AS (SELECT 0::BIGINT AS n, false AS took, []::BIGINT[] AS l, []::VARCHAR[] AS r UNION ALL
+ SELECT n, took, CASE WHEN took THEN list_append(l, o_orderkey) ELSE l END, CASE WHEN took THEN list_append(r, line) ELSE r END FROM (SELECT c.n, c.o_orderkey, c.line, f.l, f.r, NOT list_contains(f.l, c.o_orderkey) AND NOT list_contains(f.r, c.line) AS took FROM f JOIN c ON c.n = f.n + 1))
+SELECT o_orderkey, line, gap, days FROM c JOIN f USING (n) WHERE took""")
 def payment_assignment(spark, d):
     c = _candidates(spark, d).withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber")).withColumn("gap", F.abs(F.col("o_cents") - F.col("l_cents")))
     c = c.withColumn("days", F.abs(F.datediff("l_day", "o_day"))).select("o_orderkey", "line", "gap", "days")
@@ -253,7 +259,14 @@ def nearest_expected(spark, d):
     return joins.nearest(c, s, ["nation"], "v", "w", "s_suppkey").select("c_custkey", F.col("near_s_suppkey").alias("near_supplier"))
 
 
-@bound()
+@bound("""
+WITH RECURSIVE e AS (SELECT user_id AS u, event_id AS id, epoch(ts)::BIGINT AS t, event_type FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY t, id) AS n FROM e WHERE event_type = 'purchase'),
+k AS (SELECT u, list(struct_pack(t := t, id := id) ORDER BY t, id) AS closers FROM e WHERE event_type = 'error' GROUP BY 1),
+f AS (SELECT u, 0::BIGINT AS n, NULL::BIGINT AS bought, NULL::BIGINT AS failed, []::BIGINT[] AS used FROM k UNION ALL
+ SELECT u, n, id, hit, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END FROM (
+  SELECT o.u, o.n, o.id, f.used, list_filter(k.closers, lambda x: x.t > o.t AND x.t - o.t <= 324000 AND NOT list_contains(f.used, x.id))[1].id AS hit FROM f JOIN o ON o.u = f.u AND o.n = f.n + 1 JOIN k ON k.u = o.u))
+SELECT bought, failed FROM f WHERE failed IS NOT NULL""")
 def refund_interval_firstfit(spark, d):
     e = events(spark, d)
     bought = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), "sec")
@@ -467,15 +480,25 @@ def quota_schedule(spark, d):
 # ---- folds and groups
 
 
-@bound()
+@bound("""
+WITH e AS (SELECT user_id, event_id, ts, sum(value::DECIMAL(18,2)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events),
+p AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END END AS off FROM e),
+l AS (SELECT *, coalesce(last_value(off IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+SELECT user_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE off <> before)::BIGINT AS breaks FROM l GROUP BY 1""")
 def running_balance_reanchor(spark, d):
     e = table(spark, d, "events").withColumns({"amount": F.col("value").cast(MONEY), "open": F.lit(0)})
     by = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    printed = F.sum("amount").over(by) + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)
+    printed = F.when(F.col("event_id") % 7 != 0, F.sum("amount").over(by) + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0))
     return ordered.running_balance(e.withColumn("balance", printed.cast(MONEY)), "user_id", ["ts", "event_id"], "amount", "balance", "open")
 
 
-@bound()
+@bound("""
+WITH RECURSIVE p AS (SELECT conv_id, turn, role, CASE length(text) % 5 WHEN 0 THEN false WHEN 1 THEN true END AS link, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (SELECT conv_id, turn, n, 1 AS grp, [role] AS kinds FROM p WHERE n = 1 UNION ALL
+ SELECT conv_id, turn, n, CASE WHEN j THEN grp ELSE grp + 1 END, CASE WHEN j THEN list_append(kinds, role) ELSE [role] END FROM (
+  SELECT p.*, f.grp, f.kinds, len(f.kinds) < 3 AND coalesce(p.link, p.role = f.kinds[list_position(list_transform(f.kinds, lambda k: len(list_filter(f.kinds, lambda x: x = k))), list_max(list_transform(f.kinds, lambda k: len(list_filter(f.kinds, lambda x: x = k)))))]) AS j
+  FROM f JOIN p ON p.conv_id = f.conv_id AND p.n = f.n + 1))
+SELECT conv_id, turn, grp::INTEGER AS "group" FROM f""")
 def page_grouping(spark, d):
     c = table(spark, d, "conversations").withColumn("link", F.when(F.length("text") % 5 == 0, False).when(F.length("text") % 5 == 1, True))
     return ordered.group_pages(c.select("conv_id", "turn", "role", "link"), "conv_id", "turn", "role", "link", cap=3).select("conv_id", "turn", "group")
@@ -555,38 +578,6 @@ def iban_masking(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.mask_iban(iban).alias("masked"), text.redact(note).alias("cleaned"))
 
 
-@bound("""
-SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'returned' WHEN event_type = 'purchase' THEN 'card' WHEN event_type = 'signup' THEN 'quota_in' ELSE 'other' END AS kind,
- array_to_string(list_filter([CASE WHEN event_type = 'purchase' THEN 'card' END, CASE WHEN value >= 500 AND value % 100 = 0 THEN 'round_amount' END], lambda x: x IS NOT NULL), ',') AS flags FROM events""")
-def tx_classification(spark, d):
-    e = table(spark, d, "events")
-    kind = F.when((F.col("event_type") == "error") & (F.col("value") > 50), "returned").when(F.col("event_type") == "purchase", "card").when(F.col("event_type") == "signup", "quota_in").otherwise("other")
-    flags = F.array_compact(F.array(F.when(F.col("event_type") == "purchase", "card"), F.when((F.col("value") >= 500) & (F.col("value") % 100 == 0), "round_amount")))
-    return e.select("event_id", kind.alias("kind"), F.array_join(flags, ",").alias("flags"))
-
-
-@bound("""
-WITH s AS (SELECT l_orderkey, sum((l_extendedprice * (1 - l_discount) * (1 + l_tax))::DECIMAL(18,2)) AS total, bool_and(l_tax::DECIMAL(4,2) IN (0, 0.02, 0.04, 0.06, 0.08)) AS rates, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT o_orderkey, 'sum_is_total' AS code, abs(total - o_totalprice::DECIMAL(18,2)) <= 0.05 * n AS passed FROM orders JOIN s ON l_orderkey = o_orderkey UNION ALL SELECT l_orderkey, 'rate_allowed', rates FROM s""")
-def validators_long_form(spark, d):
-    x = table(spark, d, "lineitem")
-    gross = (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).cast(MONEY)
-    rates = [F.lit(v).cast("decimal(4,2)") for v in ("0", "0.02", "0.04", "0.06", "0.08")]
-    s = x.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(gross).alias("total"), F.bool_and(F.col("l_tax").cast("decimal(4,2)").isin(*rates)).alias("rates"), F.count(F.lit(1)).alias("n"))
-    one = orders(spark, d).join(s, "o_orderkey").select("o_orderkey", F.lit("sum_is_total").alias("code"), (F.abs(F.col("total") - F.col("amount")) <= F.lit("0.05").cast("decimal(4,2)") * F.col("n")).alias("passed"))
-    return one.unionByName(s.select("o_orderkey", F.lit("rate_allowed").alias("code"), F.col("rates").alias("passed")))
-
-
-@bound("""
-WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part), g AS (SELECT p_partkey, unnest(range(1, len(w))) AS i, w FROM p WHERE len(w) >= 2), q AS (SELECT p_partkey, w[i] || ' ' || w[i + 1] AS span FROM g)
-SELECT p_partkey, min(levenshtein(span, 'red bolt'))::INTEGER AS distance FROM q GROUP BY 1""")
-def quote_locate_windows(spark, d):
-    w = F.split(F.lower("p_name"), " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    near = F.array_min(F.transform(pairs, lambda s: F.levenshtein(s, F.lit("red bolt"))))
-    return table(spark, d, "part").withColumn("w", w).where("size(w) >= 2").select("p_partkey", near.alias("distance"))
-
-
 @bound("""
 SELECT o_orderstatus, count(*)::BIGINT AS n, sum(o_totalprice::DECIMAL(18,2)) FILTER (WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N'))::DECIMAL(28,2) AS supported,
  count(*) FILTER (WHERE EXISTS (SELECT 1 FROM events WHERE user_id = o_custkey AND event_type = 'signup'))::BIGINT AS confirmed FROM orders GROUP BY 1""", double="supported")
@@ -633,12 +624,6 @@ def cadastre_two_phase_match(spark, d):
     return joins.two_phase_match(keyed("customer", "c_custkey", "c_nationkey", "c_acctbal"), keyed("supplier", "s_suppkey", "s_nationkey", "s_acctbal"), [("k1", "k1"), ("k2", "k2")], "c_custkey", "s_suppkey")
 
 
-@bound("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
-def json_props_flatten(spark, d):
-    pairs = F.explode(F.map_entries(F.from_json("props", "map<string,string>"))).alias("e")
-    return table(spark, d, "events").select("event_id", pairs).select("event_id", F.col("e.key").alias("path"), F.col("e.value").alias("value")).where("path = 'k'")
-
-
 @bound("""
 WITH f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice > 150000 END AS a, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus = 'O' END AS b, o_orderpriority LIKE '1%' AS c FROM orders),
 n AS (SELECT o_orderkey, coalesce(a::INT, 0) + coalesce(b::INT, 0) + c::INT AS yes, (a IS NULL)::INT + (b IS NULL)::INT AS open FROM f) SELECT o_orderkey, CASE WHEN yes * 2 > 3 THEN true WHEN (yes + open) * 2 <= 3 THEN false END AS passed FROM n""", text="passed")
@@ -648,16 +633,6 @@ def three_valued_majority(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.majority([a, b, F.col("o_orderpriority").like("1%")]).alias("passed"))
 
 
-@bound("""
-WITH k(code, word) AS (VALUES ('works', 'ring'), ('works', 'bolt'), ('metal', 'gear'), ('metal', 'ring'), ('soft', 'small'), ('soft', 'red')), s AS (SELECT p_partkey, code, count(*) AS score FROM part JOIN k ON contains(' ' || lower(p_name || ' ' || p_type) || ' ', ' ' || word || ' ') GROUP BY 1, 2)
-SELECT p_partkey, code, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, code) AS n FROM s) WHERE n = 1""")
-def line_classification(spark, d):
-    words = spark.createDataFrame([("works", "ring"), ("works", "bolt"), ("metal", "gear"), ("metal", "ring"), ("soft", "small"), ("soft", "red")], "code string, word string")
-    p = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("word"))
-    s = p.join(F.broadcast(words), "word").groupBy("p_partkey", "code").agg(F.count(F.lit(1)).alias("score"))  # six keywords
-    return s.groupBy("p_partkey").agg(F.min(F.struct((-F.col("score")).alias("m"), "code")).alias("b")).select("p_partkey", F.col("b.code").alias("code"), (-F.col("b.m")).alias("score"))
-
-
 # ---- distribution tests
 
 

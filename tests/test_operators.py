@@ -119,3 +119,47 @@ def test_scores(spark):
     assert abs(low - 0.5958) < 1e-3
     points = spark.createDataFrame([("p", "r", "S8", 25), ("p", "r", "S8", 10), ("p", "r", "S3", 45), ("p", "r", "S3", 30)], "party string, role string, signal string, points int")
     assert scoring.link_points(points, "party", "role").first().points == 80
+
+
+def one_by_one(targets, parts):
+    """The pass over targets in order, each searching what is left."""
+    from itertools import combinations
+
+    free = sorted(parts, key=lambda p: (p[1], p[0]))
+    for t, day, due in sorted(targets, key=lambda x: (x[1], x[0])):
+        seen = [p for p in free if -5 <= p[1] - day <= 120][:12]
+        for n in (2, 3):
+            found = next((c for c in combinations(seen, n) if c[-1][1] - c[0][1] <= 120 and any(abs(d - sum(p[2] for p in c)) <= n for d in due)), None)
+            if found:
+                free = [p for p in free if p not in found]
+                yield t, tuple(p[0] for p in found), sum(p[2] for p in found)
+                break
+
+
+def test_partial_stream_is_the_pass_in_order(spark):
+    import random
+    from datetime import date, timedelta
+
+    rng = random.Random(3)
+    start = date(2024, 1, 1)
+    want, left, right = set(), [], []
+    for c in range(12):
+        targets = [(f"{c}-{i:02d}", rng.randrange(300), [rng.choice([30, 50, 70, 90]) for _ in range(rng.choice([1, 1, 2]))]) for i in range(rng.randrange(1, 20))]
+        parts = [(f"{c}-{i:02d}", rng.randrange(400), rng.choice([10, 20, 25, 40, 7])) for i in range(rng.randrange(1, 60))]
+        want |= set(one_by_one(targets, parts))
+        left += [(f"k{c}", t, start + timedelta(d), due) for t, d, due in targets]
+        right += [(f"k{c}", p, start + timedelta(d), v) for p, d, v in parts]
+    a = spark.createDataFrame(left + [("k1", None, start, [1]), ("k1", "z", None, [1])], "c string, t string, day date, due array<long>")
+    b = spark.createDataFrame(right + [("k1", "z", start, None)], "c string, p string, at date, v long")
+    got = {(r.t, tuple(r.parts), r.total) for r in assign.partial_stream(a, b, ["c"], "t", "day", "due", "p", "at", "v").collect()}
+    assert got == want and len(want) > 20
+    assert assign.partial_stream(a.limit(0), b, ["c"], "t", "day", "due", "p", "at", "v").count() == 0
+
+
+def test_two_invoices_of_one_amount_take_different_sets(spark):
+    from datetime import date
+
+    a = spark.createDataFrame([("c", x, date(2024, 1, 1), [3000]) for x in "AB"], "c string, t string, day date, due array<long>")
+    b = spark.createDataFrame([("c", f"d{i}", date(2024, 1, 2 + i), v) for i, v in enumerate((1000, 2000, 1000, 2000))], "c string, p string, at date, v long")
+    got = {r.t: r.parts for r in assign.partial_stream(a, b, ["c"], "t", "day", "due", "p", "at", "v").collect()}
+    assert got == {"A": ["d0", "d1"], "B": ["d2", "d3"]}
