@@ -56,8 +56,8 @@ def reference_in_text(serie: Column, number: Column, text: Column) -> Column:
 
 
 #: Words dropped from person names, and articles that go together with DE.
-PARTICLES = ("DE", "DEL", "D", "I", "Y", "VAN", "VON")
-ARTICLES = ("LA", "LAS", "LOS", "LES", "EL", "ELS")
+PARTICLES = ("DE", "DEL", "DELS", "D", "I", "Y", "VAN", "VON", "DA", "DO", "DOS", "DAS")
+ARTICLES = ("LA", "LAS", "LOS", "LES", "EL", "L")
 
 
 def norm_name(c: Column) -> Column:

@@ -5,7 +5,7 @@ item has. A test item's windows are its runs of N = 10 consecutive words (an ite
 counts come from the index and order each window's terms from the rarest on; a window with a term that no document
 holds is dropped unread. Lists are intersected in that order: the postings of a window's rarest term, shifted by its
 offset, are the starts at which the window may stand; those go on that the second rarest term's postings meet, shifted by
-its own offset, and then those that the postings of all further terms meet. With slop, a term may stand
+its own offset, then the third rarest's, and then those that the postings of all further terms meet, in the documents that are left. With slop, a term may stand
 that many words off its place: proximity matches. Without, matches are exact phrases.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. Null texts have no
@@ -29,6 +29,8 @@ from tallyline.llm.common import materialise
 N = 10
 #: Rows of the test side up to which it is broadcast; a row is a term and two numbers.
 BROADCAST_ROWS = 400_000
+#: Documents with starts left after three lists up to which they are broadcast; a row is two longs. Beyond it the index is shuffled once.
+DOCUMENT_ROWS = 1_000_000
 #: What stands between words, before and after A-Z is lowered.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,24 +102,34 @@ def intersect(postings: DataFrame, plan: DataFrame, slop: int = 0) -> DataFrame:
     starts = starts.select("id", "h", "win", "length", F.col("due").cast("int").alias("start")).where(F.col("start") >= 1 - slop)
     starts = materialise(starts.distinct() if slop else starts, "starts")
 
-    def met(starts: DataFrame, steps: str) -> DataFrame:
+    def met(starts: DataFrame, steps: str, postings: DataFrame) -> DataFrame:
         """(id, h, win, length, start, step): the steps' terms that stand where a start needs them."""
         terms = of(steps).select("win", "step", F.col("term").alias("need"), "offset")
         asks = starts.join(_small(terms, size), "win")
         asks = shifted(asks, F.col("start") + F.col("offset")).drop("offset")
-        n = starts.count() * (2 * slop + 1) * N
+        n = starts.count() * (2 * slop + 1) * (N if ">" in steps else 1)
         asks = F.broadcast(asks) if n <= BROADCAST_ROWS else asks
         same = F.col("p.id").eqNullSafe(F.col("a.id")) & (F.col("p.h") == F.col("a.h")) & (F.col("p.term") == F.col("a.need")) & (F.col("p.at") == F.col("a.due"))
         return postings.alias("p").join(asks.alias("a"), same).select("a.id", "a.h", "a.win", "a.length", "a.start", "a.step")
 
-    one = starts.where("length = 1").select("id", "h", "win", "start")
-    second = met(starts.where("length > 1"), "step = 1")
-    second = materialise((second.distinct() if slop else second).select("id", "h", "win", "length", "start"), "second")
-    two = second.where("length = 2").select("id", "h", "win", "start")
-    rest = met(second.where("length > 2"), "step > 1")
+    def lists(steps: str) -> DataFrame:
+        """The postings of the steps' terms alone: frequent terms are no window's second or third rarest."""
+        return postings.join(_small(of(steps).select("term").distinct(), size), "term", "left_semi")
+
+    for step in (1, 2):
+        left = starts.where(f"length > {step}")
+        left = met(left, f"step = {step}", lists(f"step = {step}"))
+        left = (left.distinct() if slop else left).select("id", "h", "win", "length", "start")
+        starts = materialise(starts.where(f"length <= {step}").unionByName(left), "starts")
+    done = starts.where("length <= 3").select("id", "h", "win", "start")
+    left = starts.where("length > 3")
+    places = materialise(left.select(F.col("id").alias("d_id"), F.col("h").alias("d_h")).distinct(), "places")
+    few = F.broadcast(places) if places.count() <= DOCUMENT_ROWS else places
+    near = postings.join(few, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("h") == F.col("d_h")), "left_semi")
+    rest = met(left, "step > 2", near)
     steps = F.count_distinct("step") if slop else F.count(F.lit(1))  # without slop a place holds one term, so steps are met once
-    rest = rest.groupBy("id", "h", "win", "length", "start").agg(steps.alias("n")).where("n = length - 2").select("id", "h", "win", "start")
-    return one.unionByName(two).unionByName(rest)
+    rest = rest.groupBy("id", "h", "win", "length", "start").agg(steps.alias("n")).where("n = length - 3").select("id", "h", "win", "start")
+    return done.unionByName(rest)
 
 
 def numbered(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:

@@ -33,6 +33,7 @@ def brute(docs, items):
 @pytest.mark.parametrize("limit", [400_000, -1])
 def test_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontam, "DOCUMENT_ROWS", limit)
     rng = random.Random(21)
     vocab = ["The", "cat", "É", "été", "ünd", "x1", "2", "rare%d"]
 
@@ -75,6 +76,7 @@ def near(docs, items, slop, n):
 @pytest.mark.parametrize("limit", [400_000, -1])
 def test_proximity_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontam, "DOCUMENT_ROWS", limit)
     rng = random.Random(22)
     vocab = ["a", "b", "c", "d", "e", "f%d"]
 
