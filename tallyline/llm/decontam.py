@@ -107,10 +107,9 @@ def intersect(postings: DataFrame, plan: DataFrame, slop: int = 0) -> DataFrame:
         terms = of(steps).select("win", "step", F.col("term").alias("need"), "offset")
         asks = starts.join(_small(terms, size), "win")
         asks = shifted(asks, F.col("start") + F.col("offset")).drop("offset")
-        n = starts.count() * (2 * slop + 1) * (N if ">" in steps else 1)
-        asks = F.broadcast(asks) if n <= BROADCAST_ROWS else asks
         same = F.col("p.id").eqNullSafe(F.col("a.id")) & (F.col("p.h") == F.col("a.h")) & (F.col("p.term") == F.col("a.need")) & (F.col("p.at") == F.col("a.due"))
-        return postings.alias("p").join(asks.alias("a"), same).select("a.id", "a.h", "a.win", "a.length", "a.start", "a.step")
+        # starts grow with the documents: both sides are shuffled at every size
+        return postings.alias("p").hint("merge").join(asks.alias("a"), same).select("a.id", "a.h", "a.win", "a.length", "a.start", "a.step")
 
     def lists(steps: str) -> DataFrame:
         """The postings of the steps' terms alone: frequent terms are no window's second or third rarest."""
