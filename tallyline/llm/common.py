@@ -48,7 +48,7 @@ def by_bytes(texts: list, limit: int):
     """(start, stop) of slices of texts with about limit characters each; a longer text is a slice of its own."""
     start = total = 0
     for i, text in enumerate(texts):
-        size = len(text or "")
+        size = 0 if text is None else len(text)
         if i > start and total + size > limit:
             yield start, i
             start, total = i, 0
@@ -57,8 +57,15 @@ def by_bytes(texts: list, limit: int):
         yield start, len(texts)
 
 
+def partitions_for(df: DataFrame, size: int) -> int:
+    """spark.sql.shuffle.partitions, or one partition for each size bytes of df's files if that is more."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(n, -(-known // size)) if known < 1 << 60 else n  # a table that isn't read from files says no size
+
+
 def row_keys(text: Column) -> list[Column]:
-    """h and k: together 128 bits that, beside the id, name a row by its text."""
+    """h and k: together 128 bits that, beside the id, name a row by its text; of null texts they are those of a null."""
     return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("k")]
 
 
@@ -74,15 +81,16 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = materialise(rows.select("id", "h", "k", "n", stays.alias("stays")).where("n > 1 OR NOT stays"), "gone")
     again = rows.where("stays").select("id", "h", "k")
     names = docs.columns
-    keyed = docs.withColumns(dict(zip(("_h", "_k"), row_keys(docs["text"]))))
+    own = [next(n for n in (c + "_" * i for i in itertools.count()) if n not in names) for c in ("_h", "_k")]  # whatever docs' columns are called
+    keyed = docs.withColumns(dict(zip(own, row_keys(docs["text"]))))
 
     def same(other):
-        return keyed["doc_id"].cast("bigint").eqNullSafe(other["id"]) & (keyed["_h"] == other["h"]) & (keyed["_k"] == other["k"])
+        return keyed["doc_id"].cast("bigint").eqNullSafe(other["id"]) & (keyed[own[0]] == other["h"]) & (keyed[own[1]] == other["k"])
 
     kept = keyed.join(rows, same(rows), "left_anti").select(names)
     if again.isEmpty():
         return kept
-    copies = keyed.join(again, same(again), "left_semi").groupBy("doc_id", "_h", "_k").agg(F.min(F.struct(*names)).alias("row"))
+    copies = keyed.join(again, same(again), "left_semi").groupBy("doc_id", *own).agg(F.min(F.struct(*names)).alias("row"))
     return kept.unionByName(copies.select("row.*"))
 
 

@@ -4,17 +4,20 @@ A window is WINDOW = 35 consecutive words. Two equal windows at positions p and
 which both p + t and q + t fall on positions of the cover {0, 1, 4, 14, 16} modulo 21, since every
 difference modulo 21 is one of two cover members. So only at cover positions anchors of
 WINDOW - PERIOD + 1 = 15 words are hashed, 5 in 21 positions: a window that repeats holds a repeated
-anchor. Around repeated anchors matches are extended: every window that holds one is hashed whole,
-with 128 bits, and those that occur twice are repeats. Windows are judged on the input.
+anchor. Around repeated anchors matches are extended: every window that holds one is hashed whole, with 96 bits,
+and those that occur twice are repeats; two different ones of N windows share a hash with a probability under N**2 / 2**97 (for 10**12
+windows 6e-6). Windows are judged on the input.
 
 Hot passages: a hash that a batch holds more than once is known to repeat, so only one of its places
 goes to the group of that hash, the others are dealt out evenly. What is shuffled is packed: a row
 holds the places (or a compressed text) of one batch for one partition, so a place costs its hash
 and a few bytes. Texts are shuffled twice, to the anchors and to the windows that repeat in them.
-A task holds the places of its partition; spark.sql.shuffle.partitions sizes it.
+A task holds the places of its partition, which are some four times a text's bytes: there is a partition for each PARTITION_BYTES of the
+table, or spark.sql.shuffle.partitions of them if that is more.
 
 Null texts have no words; a text under 35 words has no window. Where ids are null or repeat, rows
-are told apart by id and text, and equal rows count as copies of each other.
+are told apart by id and text, and equal rows count as copies of each other. Ties don't arise: all places of a repeated window are repeats. An
+empty table gives no rows; columns beside id and text are not looked at. A very long text is hashed whole, in memory some forty times its words.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import by_bytes, materialise
+from tallyline.llm.common import by_bytes, materialise, partitions_for
 
 WINDOW = 35
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
+PARTITION_BYTES = 16 << 20
 ANCHOR = WINDOW - PERIOD + 1
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: list = [None, None]
@@ -288,7 +292,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
 
     A word is removed if a window that covers it has a word sequence that also starts anywhere else.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs, PARTITION_BYTES)
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
     plain = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty()
     key = F.col("id") if plain else F.xxhash64("id", "text")
