@@ -66,4 +66,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_chat": op1_chat, "op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_decontam": op5_decontam, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op9_warc": op9_warc, "op10_pii": op10_pii}
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": chat.DIGEST_SQL, "op5_decontam": decontam.REPORT_SQL, "op8_substring": substring.DEDUP_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.DIGEST_SQL, "op5_decontam": decontam.REPORT_SQL, "op6_secrets": secrets.DIGEST_SQL, "op8_substring": substring.DEDUP_SQL, "op9_warc": warc.ROUND_TRIP_SQL}

@@ -209,3 +209,35 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
     return found.select(id_col, *map(count, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """The same result in DuckDB, whose patterns need no possessive quantifiers; entropies are counted anew for each window."""
+    part = "(?:[A-Z]+|[a-z]*(?:[A-Z][a-z]+)*)[0-9]{0,4}"
+    stand_in = _STAND_IN.replace("++", "+")
+    found = ", ".join(
+        f"""{kind} AS (SELECT rid, '{kind}' AS kind, {rank} AS rank, hit, (sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY i))::BIGINT AS fin FROM (
+        SELECT rid, unnest(regexp_extract_all(t, $p${pattern}$p$)) AS hit, unnest(string_split_regex(t, $p${pattern}$p$)[1:len(regexp_extract_all(t, $p${pattern}$p$))]) AS gap, unnest(range(len(regexp_extract_all(t, $p${pattern}$p$)))) AS i FROM d))"""
+        for rank, (kind, pattern) in enumerate(zip(KINDS, (ASSIGN, ACCESS, HEX, CANDIDATE)))
+    )
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), {found},
+    base AS (SELECT rid, kind, rank, fin - length(hit) AS start, fin FROM (
+      SELECT * FROM assign WHERE length(regexp_extract(hit, $p${ASSIGN}$p$, 2)) >= 6 UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex)),
+    parts AS (SELECT DISTINCT hit, unnest(string_split(hit, '/')) AS part FROM entropy WHERE contains(hit, '/')),
+    words AS (SELECT hit AS w FROM entropy UNION SELECT part FROM parts),
+    unknown AS (SELECT w FROM words WHERE length(w) >= {MIN_LEN} AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]') AND NOT regexp_full_match(w, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')
+      AND NOT regexp_full_match(w, '(?i){stand_in}(?:[-_/+=]?{stand_in})*') AND NOT (contains(w, '/') AND regexp_full_match(w, '{part}(?:[-_/]{part})*')) AND NOT contains(w, '===')
+      AND len(list_filter(range(1, 9), lambda k: length(w) % k = 0 AND length(w) > k AND w = repeat(left(w, k), length(w) // k))) = 0),
+    rich AS (SELECT w FROM unknown WHERE log2({WINDOW}) - list_min(list_transform(range(1, length(w) - {WINDOW - 2}), lambda i: list_sum(list_transform(list_distinct(string_split(substr(w, i, {WINDOW}), '')),
+      lambda c: ({WINDOW} - length(replace(substr(w, i, {WINDOW}), c, ''))) * log2({WINDOW} - length(replace(substr(w, i, {WINDOW}), c, ''))))))) / {WINDOW}
+      >= CASE WHEN regexp_full_match(w, '[0-9a-fA-F]+') THEN {THRESHOLD["hex"]} WHEN regexp_full_match(w, '[A-Za-z0-9]+') THEN {THRESHOLD["alnum"]} ELSE {THRESHOLD["token"]} END),
+    apart AS (SELECT rid, kind, rank, fin - length(hit) AS start, fin, hit FROM entropy e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = e.rid AND b.start < e.fin AND e.fin - length(e.hit) < b.fin)),
+    spans AS (SELECT * FROM base UNION ALL SELECT rid, kind, rank, start, fin FROM apart WHERE hit IN (SELECT w FROM rich) OR hit IN (SELECT hit FROM parts WHERE part IN (SELECT w FROM rich))),
+    s AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS[:3])},
+      coalesce(string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) FILTER (WHERE kind <> 'entropy'), '') AS base, string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY rid)
+    SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in KINDS[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (rid)
+    """
+
+
+DIGEST_SQL = _sql()
