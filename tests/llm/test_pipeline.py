@@ -1,9 +1,11 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 import corpus_pipeline
 from tallyline.llm import bpe, pii, quality
@@ -35,11 +37,41 @@ def test_pipeline_matches_plain_version(spark, sf_dir):
 
 
 def test_empty_and_odd_documents(spark, sf_dir):
-    odd = spark.createDataFrame(
-        [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "Aa bb cc.", "en", "s", 9), (2, "Aa bb cc.", "en", "s", 9)],
-        table(spark, sf_dir, "documents").schema,
-    )
-    for docs in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, sf_dir)
-            docs.collect()
+    plain = table(spark, sf_dir, "documents").schema
+    clean = spark.read.parquet(f"{sf_dir}/documents.parquet").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").orderBy("doc_id").limit(40).collect()
+    good = [r for r in clean if r.text and len(r.text) > 200]
+    leak = table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    one, two = good[0], good[-1]
+    rows = [(None, None, None, None, None), (900001, "", "en", "s", 0), (900002, None, "en", "s", 0), tuple(one), tuple(one), (None, two.text, "en", "s", 1), (one.doc_id, two.text, "en", "s", 1), (900003, two.text + " " + leak, "en", "s", 1)]
+    names = "id h k node row key words fp gone _h _k _gone_id part kind spans".split()
+    wide = spark.createDataFrame([(*r, *names) for r in rows], StructType([*plain.fields, *(StructField(n, StringType()) for n in names)]))
+    for docs in (wide, wide.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            got = Counter(map(tuple, out.collect()))
+            if name != "personal_data":
+                assert not got - Counter(map(tuple, docs.collect())), name
+            if docs.isEmpty():
+                assert not got
+            elif name == "near_duplicates":  # no words; the first text; the second one, which stands on three rows, twice alone
+                kept = {(r[0], r[1]) for r in got}
+                assert sum(got.values()) == len(kept) == 4 and (900001, "") in kept and (one.doc_id, one.text) in kept and (one.doc_id, two.text) in kept
+            elif name == "benchmark":
+                assert sum(got.values()) == len(rows) - 1 and 900003 not in {r[0] for r in got}
+            elif name == "personal_data":
+                assert Counter(r[0] for r in got.elements()) == Counter(r[0] for r in rows) and sum(n for r, n in got.items() if r[1] is None) == 2
+        last = corpus_pipeline.tokenize(spark, docs, sf_dir).collect()
+        assert Counter(r.doc_id for r in last) == Counter(r.doc_id for r in docs.collect()) and all(r.n_tokens == len(r.ids) for r in last)
+
+
+def test_very_long_documents(spark, sf_dir):
+    rng = np.random.default_rng(9)
+    leak = table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    long = " ".join(f"w{n}" for n in rng.integers(0, 5000, 150_000).tolist())
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", 1), (3, long[:300_000] + " " + leak, "en", "s", 1)], table(spark, sf_dir, "documents").schema)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == {1, 3}
+    assert {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, sf_dir).collect()} == {1, 2}
+    assert corpus_pipeline.keep_quality(spark, docs, sf_dir).count() <= 3
+    assert [r.n_chars for r in corpus_pipeline.mask_personal_data(spark, docs.where("doc_id = 1"), sf_dir).collect()] == [len(long)]
+    assert corpus_pipeline.tokenize(spark, docs.where("doc_id = 1"), sf_dir).first().decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
