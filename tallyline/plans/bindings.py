@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import amounts, dates, hashing, ids, text
 from tallyline.operators import assign, joins, ordered, scoring
-from tallyline.plans import report
+from tallyline.plans import report, vendor_links
 
 MONEY = "decimal(18,2)"
 QUERIES: dict = {}
@@ -422,22 +422,22 @@ def quote_sequential_numbers(spark, d):
 
 @bound("""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{3,}')) AS token FROM documents), f AS (SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1)
-SELECT token, n::BIGINT AS n, docs::BIGINT AS docs, sqrt(n::DOUBLE * docs)::DECIMAL(20,3) AS rarity FROM f WHERE n <= 20 AND n > 1""", double="rarity")
+SELECT token, n::BIGINT AS n, docs::BIGINT AS docs, sqrt(n::DOUBLE * docs)::DECIMAL(20,3) AS rarity FROM f""", double="rarity")
 def surname_rarity(spark, d):
     w = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
     f = w.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
-    return f.where("n <= 20 AND n > 1").select("token", "n", "docs", F.sqrt(F.col("n").cast("double") * F.col("docs")).cast("decimal(20,3)").alias("rarity"))
+    return f.select("token", "n", "docs", F.sqrt(F.col("n").cast("double") * F.col("docs")).cast("decimal(20,3)").alias("rarity"))
 
 
 @bound("""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{3,}')) AS token FROM documents), f AS (SELECT token, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM w GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS total FROM f)
 SELECT token, n, docs, sqrt(n::DOUBLE * docs)::DECIMAL(20,3) AS rarity, CASE WHEN n * 10000 < total THEN 1.3 WHEN n * 1000 <= total THEN 1.0 WHEN n * 100 <= total THEN 0.6 ELSE 0.3 END AS weight FROM f, t""", double="rarity weight")
 def surname_weight(spark, d):
-    """Every token with its statistic and the weight of its frequency per mille; surname_rarity shows a band of counts only."""
+    """Every token with its statistic and the weight of its frequency per mille."""
     w = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("token"))
     f = w.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs"))
     f = f.crossJoin(F.broadcast(w.agg(F.count(F.lit(1)).alias("total"))))
-    weight = F.when(F.expr("n * 10000 < total"), 1.3).when(F.expr("n * 1000 <= total"), 1.0).when(F.expr("n * 100 <= total"), 0.6).otherwise(0.3)
+    weight = vendor_links.rarity(F.col("n") * 1000 / F.col("total"))
     return f.select("token", "n", "docs", F.sqrt(F.col("n").cast("double") * F.col("docs")).cast("decimal(20,3)").alias("rarity"), weight.alias("weight"))
 
 
@@ -512,18 +512,18 @@ def majority_with_tie(spark, d):
 
 
 @bound("""
-WITH p AS (SELECT lang, doc_id, n_chars AS t, (doc_id * 2654435761) % 4096 AS b FROM documents)
+WITH p AS (SELECT lang, doc_id, n_chars AS t, ('0x' || substr(md5(text), 1, 4))::BIGINT AS b FROM documents)
 SELECT a.doc_id, arg_min(b.doc_id, (b.t, b.doc_id)) AS near FROM p a JOIN p b ON a.lang = b.lang AND (b.t < a.t OR (b.t = a.t AND b.doc_id < a.doc_id)) AND a.t - b.t <= 10 AND bit_count(xor(a.b, b.b)) <= 4 GROUP BY 1""")
 def near_duplicate_pages(spark, d):
-    p = table(spark, d, "documents").select("lang", "doc_id", F.col("n_chars").alias("t"), (F.col("doc_id") * 2654435761 % 4096).alias("b"))
+    p = table(spark, d, "documents").select("lang", "doc_id", F.col("n_chars").alias("t"), F.conv(F.substring(F.md5("text"), 1, 4), 16, 10).cast("bigint").alias("b"))
     return ordered.near_pages(p, "lang", "doc_id", "t", "b")
 
 
 @bound("""
-WITH k AS (SELECT doc_id, md5(lower(trim(text))) AS k FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY k), doc_id) AS twin_of FROM k""", number="twin_of")
+WITH k AS (SELECT doc_id, md5(lower(trim(text))) AS k FROM documents)
+SELECT doc_id, CASE WHEN k IS NOT NULL THEN nullif(min(doc_id) OVER (PARTITION BY k), doc_id) END AS twin_of FROM k""", number="twin_of")
 def doc_dedupe_twins(spark, d):
-    k = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.lower(F.trim("text"))).alias("k"))
+    k = table(spark, d, "documents").select("doc_id", F.md5(F.lower(F.trim("text"))).alias("k"))
     return ordered.twins(k, "k", [], "doc_id").select("doc_id", "twin_of")
 
 
@@ -533,9 +533,9 @@ _PLAIN = [(a, b) for a, b in zip(text.ACCENTED, text.PLAIN)]
 
 
 @bound(f"""
-SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(translate(translate(text, '·', ' '), '{text.ACCENTED}', '{text.PLAIN}'), '[\\u0300-\\u036f]', '', 'g')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS folded FROM documents WHERE text <> ''""".replace("\\u0300-\\u036f", "̀-ͯ"))
+SELECT doc_id, md5(nullif(trim(regexp_replace(lower(regexp_replace(translate(translate(text, '·', ' '), '{text.ACCENTED}', '{text.PLAIN}'), '[\\u0300-\\u036f]', '', 'g')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '')) AS folded FROM documents""".replace("\\u0300-\\u036f", "̀-ͯ"))
 def normalise_text(spark, d):
-    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.md5(text.norm_text(F.col("text"))).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.norm_text(F.col("text"))).alias("folded"))
 
 
 @bound("""

@@ -76,6 +76,7 @@ l AS (SELECT l.*, l.saldo_inicial - p.saldo_final AS opening, l.saldo_final - ba
 """ + _sql(
     "SELECT 'D7' AS rule_code, 3 AS severity, 'liquidation:' || id || ':opening' AS event_key, id || '|opening' AS marks, id AS entity_id, abs(opening) AS amount_at_stake FROM l WHERE abs(opening) > 0.01",
     "SELECT 'D7', 3, 'liquidation:' || id || ':closing_vs_bank', id || '|closing_vs_bank', id, abs(closing) FROM l WHERE abs(closing) > 0.01",
+    "SELECT 'D7', 3, 'liquidation:' || id || ':funds_held', id || '|held', id, saldo_en_poder_administrador FROM l WHERE saldo_en_poder_administrador > 0",
     "SELECT 'D7', 3, 'year:' || y || ':control_totals', 'control_totals|' || y, community_id, abs(gap) FROM w WHERE pm > 0 AND abs(gap) > pm",
 ), double="amount_at_stake")
 def rule_d7_continuity(spark, d):
@@ -151,6 +152,121 @@ def rule_g7_building_inspection(spark, d):
     return _hits(spark, d, "G7")
 
 
+@bound(with_tables("communities", "works_packages", "invoices", "documents", "derramas", "derrama_ledger", "subsidies", "loans", "bank_transactions", "parameters") + _KEPT + """,
+i AS (SELECT works_package_id AS id, sum(total) AS v FROM kept GROUP BY 1), v AS (SELECT works_package_id AS id, sum(paid) AS p, sum(expected) AS e FROM t_derrama_ledger g JOIN t_derramas v ON v.id = g.derrama_id GROUP BY 1),
+s AS (SELECT works_package_id AS id, sum(import_pagat) AS v FROM t_subsidies WHERE paid_to_is_community GROUP BY 1), o AS (SELECT works_package_id AS id, sum(principal) AS v FROM t_loans WHERE paid_to_is_community GROUP BY 1),
+q AS (SELECT DISTINCT community_id FROM t_bank_transactions WHERE tx_kind = 'quota_in'),
+w AS (SELECT w.community_id, greatest(coalesce(contract_price, 0), coalesce(i.v, 0)) AS c, CASE WHEN q.community_id IS NOT NULL THEN coalesce(p, 0) ELSE greatest(coalesce(p, 0), coalesce(e, 0)) END + coalesce(s.v, 0) + coalesce(o.v, 0) AS a
+  FROM t_works_packages w LEFT JOIN i USING (id) LEFT JOIN v USING (id) LEFT JOIN s USING (id) LEFT JOIN o USING (id) LEFT JOIN q ON q.community_id = w.community_id),
+g AS (SELECT community_id, sum(c) AS c, sum(a) AS a FROM w WHERE c > 0 GROUP BY 1)
+""" + _sql("SELECT 'D0' AS rule_code, 3 AS severity, 'community:' || community_id || ':funding' AS event_key, community_id || '|overall' AS marks, community_id AS entity_id, c - a AS amount_at_stake FROM g WHERE c - a > greatest(5000, c * 0.1)"), double="amount_at_stake")
+def rule_d0_funding_gap(spark, d):
+    return _hits(spark, d, "D0")
+
+
+@bound(with_tables("derrama_ledger") + """, g AS (SELECT derrama_id AS v, unit_id AS u, sum(expected) AS e, abs(sum(expected) - sum(paid)) AS off FROM t_derrama_ledger WHERE basis = 'bank' GROUP BY ALL)
+""" + _sql("SELECT 'D5' AS rule_code, 3 AS severity, 'derrama:' || v || ':unit:' || u AS event_key, v || '|' || u AS marks, v AS entity_id, off AS amount_at_stake FROM g WHERE off > greatest(1000, e * 0.05)"), double="amount_at_stake")
+def rule_d5_contributions(spark, d):
+    return _hits(spark, d, "D5")
+
+
+@bound(with_tables("liquidations", "meetings", "communities", "bank_accounts") + """,
+l AS (SELECT l.*, coalesce((SELECT arg_max(presupuesto_aprobado, fecha) FROM t_meetings m WHERE m.community_id = l.community_id AND year(fecha) - 1 = ejercicio AND presupuesto_aprobado IS NOT NULL), ordinary_budget_default) AS b FROM t_liquidations l JOIN t_communities c ON c.id = l.community_id),
+a AS (SELECT community_id AS c FROM t_bank_accounts GROUP BY 1 HAVING count(*) FILTER (WHERE purpose = 'reserve') = 0)
+""" + _sql(
+    "SELECT 'D6' AS rule_code, 1 AS severity, 'liquidation:' || id || ':reserve' AS event_key, id || '|minimum' AS marks, id AS entity_id, b * 0.05 - fondo_reserva_final AS amount_at_stake FROM l WHERE fondo_reserva_final < b * 0.05",
+    "SELECT 'D7', 3, 'liquidation:' || id || ':funds_held', id || '|held', id, saldo_en_poder_administrador FROM l WHERE saldo_en_poder_administrador > 0",
+    "SELECT 'D6', 2, 'community:' || c || ':reserve_account', c || '|no_reserve_account', c, NULL FROM a",
+), double="amount_at_stake")
+def rule_d6_reserve_fund(spark, d):
+    return _hits(spark, d, "D6")
+
+
+@bound(with_tables("meetings", "resolutions") + _sql("""SELECT 'E3' AS rule_code, 2 AS severity, 'meeting:' || id || ':accounts_item' AS event_key, id || '|accounts_item' AS marks, id AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM t_meetings m
+WHERE tipo = 'ordinaria' AND NOT coalesce(cuentas_aprobadas, false) AND NOT EXISTS (SELECT 1 FROM t_resolutions r WHERE r.meeting_id = m.id AND kind = 'accounts')"""), double="amount_at_stake")
+def rule_e3_minutes(spark, d):
+    return _hits(spark, d, "E3")
+
+
+@bound(with_tables("meetings", "request_clock") + _sql(
+    "SELECT 'E6' AS rule_code, 2 AS severity, 'meeting:' || id || ':notice' AS event_key, id || '|notice' AS marks, id AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM t_meetings WHERE notice_days < 8",
+    "SELECT 'E6', 1, 'meeting:' || id || ':signature', id || '|signed', id, NULL FROM t_meetings WHERE NOT signed_within_5d",
+    "SELECT 'E6', 1, 'meeting:' || id || ':notification', id || '|sent', id, NULL FROM t_meetings WHERE NOT sent_within_10d",
+    "SELECT 'E6', 1, 'request_clock:' || id || ':convocation', id || '|not_convened', id, NULL FROM t_request_clock WHERE request_date IS NOT NULL AND convocation_date IS NULL",
+    "SELECT 'E6', 2, 'request_clock:' || id || ':notice', id || '|notice', id, NULL FROM t_request_clock WHERE request_date IS NOT NULL AND convocation_date IS NOT NULL AND notice_days < 8",
+), double="amount_at_stake")
+def rule_e6_formal_deadlines(spark, d):
+    return _hits(spark, d, "E6")
+
+
+@bound(with_tables("resolutions") + _sql("SELECT 'E8' AS rule_code, 2 AS severity, 'resolution:' || id || ':majority' AS event_key, id AS marks, id AS entity_id, importe_aprobado AS amount_at_stake FROM t_resolutions WHERE resultado = 'aprobado' AND kind = 'works_approval' AND (coalesce(votes_for * 2 <= owners_total, false) OR coalesce(quotas_for <= 50, false))"), double="amount_at_stake")
+def rule_e8_double_majority(spark, d):
+    return _hits(spark, d, "E8")
+
+
+@bound(with_tables("parties", "invoices", "documents") + _KEPT + """,
+i AS (SELECT vendor_party_id AS id, min(fecha_expedicion) AS f, sum(total) FILTER (WHERE works_package_id IS NOT NULL) AS w FROM kept GROUP BY 1), v AS (SELECT p.*, f, w, (f - incorporated_on) / 30.4375 AS m FROM t_parties p JOIN i USING (id))
+""" + _sql(
+    "SELECT 'B1' AS rule_code, CASE WHEN m < 6 THEN 3 ELSE 2 END AS severity, 'party:' || id || ':company_age' AS event_key, id || '|age|' || incorporated_on || '|' || f AS marks, id AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM v WHERE m >= 0 AND m < 12",
+    "SELECT 'B1', 2, 'party:' || id || ':capital_vs_works', id || '|capital|' || capital::VARCHAR, id, w FROM v WHERE capital <= 3000 AND w > 20000",
+), double="amount_at_stake")
+def rule_b1_company_age(spark, d):
+    return _hits(spark, d, "B1")
+
+
+@bound(with_tables("party_links", "parties", "communities") + """,
+a AS (SELECT id, community_id, upper(address) AS k, count(*) OVER (PARTITION BY community_id, address) AS n FROM t_parties)
+""" + _sql(
+    "SELECT 'B2' AS rule_code, CASE WHEN points >= 80 THEN 3 WHEN points >= 40 THEN 2 ELSE 1 END AS severity, 'party:' || party_id || ':address_link:' || role AS event_key, party_id || '|' || role || '|' || signal AS marks, party_id AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM t_party_links WHERE status <> 'rejected' AND signal IN ('S5', 'S6')",
+    "SELECT 'B2', CASE WHEN n >= 5 THEN 1 ELSE 2 END, 'party:' || id || ':address_shared', id || '|shared|' || k, id, NULL FROM a WHERE n > 1",
+), double="amount_at_stake")
+def rule_b2_addresses(spark, d):
+    return _hits(spark, d, "B2")
+
+
+@bound(with_tables("party_links") + _sql("""SELECT 'B3' AS rule_code, CASE WHEN signal IN ('S1', 'S2') THEN 4 WHEN signal = 'S4' THEN CASE WHEN points >= 10 THEN 3 ELSE 1 END WHEN points >= 40 THEN 4 WHEN points >= 25 THEN 3 WHEN points >= 10 THEN 2 ELSE 1 END AS severity,
+'party:' || party_id || ':name_link:' || role AS event_key, party_id || '|' || role || '|' || signal AS marks, party_id AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM t_party_links WHERE status <> 'rejected' AND signal IN ('S1', 'S2', 'S3', 'S4')"""), double="amount_at_stake")
+def rule_b3_name_links(spark, d):
+    return _hits(spark, d, "B3")
+
+
+@bound(with_tables("external_checks") + """, c AS (SELECT *, row_number() OVER (PARTITION BY community_id, party_id ORDER BY fetched_at DESC, status DESC) AS n FROM t_external_checks WHERE check_type = 'aeat_census')
+""" + _sql("SELECT 'B10' AS rule_code, 3 AS severity, 'party:' || party_id || ':aeat_identity' AS event_key, party_id || '|aeat_identity' AS marks, party_id AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM c WHERE n = 1 AND status = 'ok' AND NOT matched"), double="amount_at_stake")
+def rule_b10_census(spark, d):
+    return _hits(spark, d, "B10")
+
+
+@bound(with_tables("quotes") + """,
+k AS (SELECT community_id, works_package_id AS w, vendor_party_id AS p, unnest([{'k': 'producer', 'v': producer}, {'k': 'author', 'v': author}, {'k': 'phone', 'v': phone}]) AS x FROM t_quotes),
+s AS (SELECT w, x.k AS kind FROM k WHERE x.v IS NOT NULL GROUP BY w, x.k, lower(x.v) HAVING count(DISTINCT p) > 1),
+n AS (SELECT a.works_package_id AS w, 'sequential_numbers' AS kind FROM t_quotes a JOIN t_quotes b ON a.works_package_id = b.works_package_id AND a.vendor_party_id < b.vendor_party_id AND abs(a.number - b.number) <= 5),
+g AS (SELECT w, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(DISTINCT kind) AS c, bool_or(kind = 'sequential_numbers') AS q FROM (SELECT * FROM s UNION ALL SELECT * FROM n) GROUP BY 1)
+""" + _sql("SELECT 'A10' AS rule_code, CASE WHEN c >= 2 OR q THEN 3 ELSE 2 END AS severity, 'works_package:' || w || ':quote_fingerprints' AS event_key, w || '|' || kinds AS marks, w AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM g"), double="amount_at_stake")
+def rule_a10_quote_fingerprints(spark, d):
+    return _hits(spark, d, "A10")
+
+
+@bound(with_tables("communities", "invoices", "parties") + """, g AS (SELECT i.community_id AS c FROM t_invoices i JOIN t_parties p ON p.id = i.vendor_party_id GROUP BY 1 HAVING bool_or(nif_kind = 'DNI') OR max(coalesce(retention_amount, 0)) > 0)
+""" + _sql("SELECT 'G2' AS rule_code, 1 AS severity, 'community:' || c || ':tax_filings_absent' AS event_key, c || '|filings' AS marks, c AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM g"), double="amount_at_stake")
+def rule_g2_tax_filings(spark, d):
+    return _hits(spark, d, "G2")
+
+
+@bound(with_tables("invoices") + """, g AS (SELECT community_id AS c, bool_or(category_code = 'ELEV_MAINT') AS kept FROM t_invoices WHERE category_code IN ('ELEV_MAINT', 'ELEV_INSTALL') GROUP BY 1)
+""" + _sql(
+    "SELECT 'G5' AS rule_code, 1 AS severity, 'community:' || c || ':lift_ce_declaration' AS event_key, c || '|ce' AS marks, c AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM g",
+    "SELECT 'G5', 1, 'community:' || c || ':lift_oca_inspection', c || '|oca', c, NULL FROM g WHERE kept",
+), double="amount_at_stake")
+def rule_g5_lifts(spark, d):
+    return _hits(spark, d, "G5")
+
+
+@bound(with_tables("invoices") + """, g AS (SELECT community_id AS c, count(DISTINCT vendor_party_id) FILTER (WHERE works_package_id IS NOT NULL) AS n, bool_or(category_code = 'CAE_PRL') AS bill FROM t_invoices GROUP BY 1)
+""" + _sql("SELECT 'G6' AS rule_code, CASE WHEN n > 1 THEN 2 ELSE 1 END AS severity, 'community:' || c || ':hs_coordination_documents' AS event_key, c || '|coordination' AS marks, c AS entity_id, NULL::DECIMAL(14,2) AS amount_at_stake FROM g WHERE bill"), double="amount_at_stake")
+def rule_g6_safety_coordination(spark, d):
+    return _hits(spark, d, "G6")
+
+
 # ---- reconciliation steps
 
 
@@ -184,12 +300,12 @@ _LEDGER = with_tables("bank_transactions", "payer_keys", "derrama_ledger") + """
 c AS (SELECT b.id, k.unit_id AS u, date_trunc('month', fecha_operacion)::DATE AS m, importe FROM t_bank_transactions b JOIN t_payer_keys k ON k.iban_hmac = b.counterparty_iban_hmac WHERE importe > 0),
 n AS (SELECT c.id, c.importe, g.id AS g, row_number() OVER (PARTITION BY c.id ORDER BY abs(g.expected - c.importe), g.id) AS n FROM c JOIN t_derrama_ledger g ON g.unit_id = c.u AND g.period = c.m),
 p AS (SELECT g, sum(importe) AS paid FROM n WHERE n = 1 GROUP BY 1), k AS (SELECT DISTINCT u FROM c),
-r AS (SELECT l.id, l.unit_id, l.expected, l.paid AS was, l.status AS state, coalesce(p.paid, 0) AS paid, k.u IS NOT NULL AS known FROM t_derrama_ledger l LEFT JOIN p ON p.g = l.id LEFT JOIN k ON k.u = l.unit_id)
+r AS (SELECT l.id, l.basis, l.unit_id, l.expected, l.paid AS was, l.status AS state, coalesce(p.paid, 0) AS paid, k.u IS NOT NULL AS known FROM t_derrama_ledger l LEFT JOIN p ON p.g = l.id LEFT JOIN k ON k.u = l.unit_id)
 """
 
 
 @bound(_LEDGER + """SELECT id, CASE WHEN known THEN paid ELSE was END AS paid, CASE WHEN NOT known THEN state WHEN paid <= 0 THEN CASE WHEN expected > 0 THEN 'missing' ELSE 'paid' END WHEN abs(paid - expected) <= 0.01 THEN 'paid' WHEN paid > expected THEN 'excess' ELSE 'partial' END AS status,
- CASE WHEN known THEN 'bank' END AS basis FROM r""", double="paid")
+ CASE WHEN known THEN 'bank' ELSE basis END AS basis FROM r""", double="paid")
 def match_ledger(spark, d):
     return match.ledger(tables(spark, d)).select("id", "paid", "status", "basis")
 

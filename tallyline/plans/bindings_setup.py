@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tallyline.functions import persons, places
-from tallyline.plans import setup
+from tallyline.plans import evidence, setup
 from tallyline.plans.bindings import MONEY, bound, lines, orders, table
 from tallyline.plans.bindings_functions import _invoices, pick, pick_sql
 from tallyline.plans.domain import tables, with_tables
@@ -140,3 +140,24 @@ def run_metadata(spark, d):
     t = tables(spark, d)
     found = t["documents"].select("community_id", F.when(F.right("id", F.lit(1)) == "1", "T1").otherwise("T2").alias("tier"))
     return setup.run_metadata(t, found, [("E1", "1"), ("D1", "2")], datetime.date(1998, 9, 1))
+
+
+#: (marker, page, of, carry)
+_MARKERS = [("Pàg. 1/3", 1, 3, False), ("2 de 3", 2, 3, False), ("Suma i segueix", None, None, True), ("full 4", 4, None, False), (None, None, None, False)]
+
+
+@bound(f"""
+WITH c AS (SELECT conv_id AS b, turn AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, turn // 4 AS f, turn % 6 = 4 AS first, turn % 7 IN (2, 3) AS cont, CASE WHEN turn % 7 = 2 THEN 0.95 ELSE 0.5 END AS cc, turn % 5 AS m, CASE WHEN turn % 9 < 2 THEN 'a1' ELSE '' END AS h FROM conversations),
+k AS (SELECT *, ([1, 2, NULL, 4, NULL])[m + 1] AS page, ([3, 3, NULL, NULL, NULL])[m + 1] AS tot, m = 2 AS carry FROM c),
+p AS (SELECT *, lag(f) OVER w AS pf, lag(page) OVER w AS pp, lag(tot) OVER w AS pt, lag(carry) OVER w AS pc, lag(h) OVER w AS ph FROM k WINDOW w AS (PARTITION BY b ORDER BY n)),
+s AS (SELECT *, coalesce(pf = f AND b % 2 = 0, false) AS same, cont AND cc >= 0.8 AS told, coalesce(h <> '' AND h = ph, false) AS num, coalesce(page = pp + 1 AND (pt IS NULL OR tot IS NULL OR pt = tot), false) OR coalesce(pc, false) AS chain FROM p)
+SELECT b AS conv_id, n AS turn, CASE WHEN r = 1 THEN 'false' WHEN same AND first THEN 'open' ELSE (same OR told OR num OR chain)::VARCHAR END AS link,
+ CASE WHEN r = 1 THEN 0 ELSE greatest(CASE WHEN same THEN 0.9 ELSE 0 END, CASE WHEN told THEN cc ELSE 0 END, CASE WHEN num THEN 0.85 ELSE 0 END, CASE WHEN chain THEN 0.9 ELSE 0 END) END::DOUBLE AS confidence FROM s""")
+def page_links(spark, d):
+    n = F.col("turn")
+    c = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("batch"), n.alias("page_no"), F.floor(n / 4).alias("file_id"), (F.col("conv_id") % 2 == 0).alias("is_pdf"), F.when(n % 6 == 4, "first").otherwise("inner").alias("role"), (n % 7).isin(2, 3).alias("continues"),
+        F.when(n % 7 == 2, 0.95).otherwise(0.5).alias("continues_confidence"), F.when(n % 9 < 2, "A-1").alias("number_hint"), F.lit("Obres, SL").alias("issuer_hint"), pick("turn", [m[0] for m in _MARKERS]).alias("marker"),
+    )
+    out = evidence.page_links(c)
+    return out.select(F.col("batch").alias("conv_id"), F.col("page_no").alias("turn"), F.coalesce(F.col("link").cast("string"), F.lit("open")).alias("link"), "confidence")

@@ -58,6 +58,45 @@ def locate_quotes(fields: DataFrame, words: DataFrame) -> DataFrame:
     return rows.select("field_id", F.col("hit.text").alias("found"), F.col("hit.score").alias("score"), scope.alias("scope"), status.alias("crop_status"))
 
 
+#: Words that carry a table over to the next page, and what a page number is printed as.
+CARRY = r"\b(suma\s*(y|i)\s*sigue|suma\s*i\s*segueix|continua|continuacion|continuacio|sigue\b|segueix\b|passa\s*full)"
+PAGE_OF, PAGE = r"(\d{1,3})\s*(?:/|de|d'|of)\s*(\d{1,3})", r"(?:pag(?:ina)?|pg|p|hoja|full|foli|folio)\.?\s*(\d{1,3})\b"
+#: From what confidence on a reader's word counts, and how sure each kind of link is.
+CONTINUES, SAME_FILE, CHAINED, SAME_NUMBER = 0.8, 0.9, 0.9, 0.85
+
+
+def page_marker(c: Column) -> Column:
+    """struct(page, of, carry) of a printed page marker; its numbers are null where there are none."""
+
+    def read(t):
+        number, single = F.nullif(F.regexp_extract(t, PAGE_OF, 1), F.lit("")), F.nullif(F.regexp_extract(t, PAGE, 1), F.lit(""))
+        return F.struct(F.coalesce(number, single).try_cast("int").alias("page"), F.nullif(F.regexp_extract(t, PAGE_OF, 2), F.lit("")).try_cast("int").alias("of"), t.rlike(CARRY).alias("carry"))
+
+    return let(fold(F.coalesce(c, F.lit("")), "lower"), read)
+
+
+def page_links(pages: DataFrame, batch: str = "batch", order: str = "page_no") -> DataFrame:
+    """pages with link and confidence: whether each continues the one before it, as ordered.group_pages takes it.
+
+    pages has file_id, is_pdf, role, continues, continues_confidence, number_hint, issuer_hint and marker. Pages of one PDF belong together, but one
+    marked as a first page only if it is of its group's kind (link is null). Others need a sign: the reader's word, the same number and
+    issuer, a page number that follows, or a table carried over.
+    """
+    by = Window.partitionBy(batch).orderBy(order)
+    key = {c: fold(F.coalesce(c, F.lit("")), "lower", "a-z0-9", "") for c in ("number_hint", "issuer_hint")}
+    rows = pages.withColumns({"_m": page_marker(F.col("marker")), "_n": key["number_hint"], "_i": key["issuer_hint"]})
+    rows = rows.withColumn("_p", F.lag(F.struct("file_id", "_m", "_n", "_i")).over(by))
+    same_file = F.coalesce((F.col("_p.file_id") == F.col("file_id")) & F.col("is_pdf"), F.lit(False))
+    told = F.coalesce(F.col("continues") & (F.col("continues_confidence") >= CONTINUES), F.lit(False))
+    numbered = F.coalesce((F.col("_n") != "") & (F.col("_i") != "") & (F.col("_n") == F.col("_p._n")) & (F.col("_i") == F.col("_p._i")), F.lit(False))
+    totals = F.col("_p._m.of").isNull() | F.col("_m.of").isNull() | (F.col("_p._m.of") == F.col("_m.of"))
+    chained = F.coalesce((F.col("_m.page") == F.col("_p._m.page") + 1) & totals, F.lit(False)) | F.coalesce(F.col("_p._m.carry"), F.lit(False))
+    first = same_file & F.coalesce(F.col("role") == "first", F.lit(False))
+    link = F.when(F.col("_p").isNull(), False).when(first, F.lit(None)).otherwise(same_file | told | numbered | chained)
+    sure = F.greatest(F.when(same_file, SAME_FILE).otherwise(0.0), F.when(told, F.col("continues_confidence")).otherwise(0.0), F.when(numbered, SAME_NUMBER).otherwise(0.0), F.when(chained, CHAINED).otherwise(0.0))
+    return rows.withColumns({"link": link, "confidence": F.when(F.col("_p").isNotNull(), sure).otherwise(0.0)}).drop("_m", "_n", "_i", "_p")
+
+
 def canonical(kind: Column, raw: Column) -> Column:
     """A field's value in the one form in which two readers are compared."""
     return (

@@ -23,11 +23,12 @@ def csv_lines(df: DataFrame, order: list[str], redacted: list[str] | None = None
     return df.orderBy(*order).select(cells.alias("line"))
 
 
-def export(df: DataFrame, path: str, order: list[str], redacted: list[str] | None = None, files: int = 1) -> None:
-    """Write a table as CSV with a header in every file. One file is right for a data room; use more for large tables."""
+def export(df: DataFrame, path: str, order: list[str], redacted: list[str] | None = None, files: int | None = None) -> None:
+    """Write a table as CSV in order, with a header in every file: by default as many files as there are shuffle partitions with rows; files=1 passes all through one task, which suits a small data room."""
     for name in redacted or []:
         df = df.withColumn(name, redact(F.col(name)))
-    df = df.coalesce(1).sortWithinPartitions(*order) if files == 1 else df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    ranged = df.coalesce(1) if files == 1 else df.repartitionByRange(*([files] if files else []), *order)
+    df = ranged.sortWithinPartitions(*order)
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
