@@ -3,7 +3,7 @@
 Features of a text are indicators, hashed to BITS bits, of
 * the n-grams (1 to 3) of its token shapes, which carry over to words never seen: a shape keeps a token's classes of characters
   (lower and upper letters, digits) and its punctuation, runs shortened;
-* its words and pairs of words, A-Z in lower case, and the three-character grams of its words with their borders;
+* its words, A-Z in lower case, and the grams of three bytes of its words and the blanks between them;
 * two marks: a token that repeats the one before it, and a line seen before.
 Each indicator is scaled by the log ratio of its smoothed relative counts in the two classes (0 if fewer than LEAST
 training texts have it), each text's vector has length one, and
@@ -21,6 +21,7 @@ its own text; empty tables give no rows. Columns beside id and text are not look
 from __future__ import annotations
 
 import zlib
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tallyline.llm.common import materialise
 
 TRAIN_ROWS = 12_000
-BITS, GRAMS, LEAST = 20, 3, 3
+BITS, GRAMS, LEAST = 18, 3, 3
 COST, EPOCHS, SEED = 0.3, 12, 7
 
 
@@ -50,73 +51,59 @@ _CLASSES = _classes()
 
 
 class _Shapes(dict):
-    """Shape of a token whose characters are replaced by their classes; forgets when it gets large."""
+    """Hash of the shape of a token whose characters are replaced by their classes; forgets when it gets large."""
 
-    def __missing__(self, token: bytes) -> bytes:
+    def __missing__(self, token: bytes) -> int:
         out = bytearray()
         for i, c in enumerate(token):
             keep = 1 if c in b"aA0" else 2
             if i < keep or any(token[i - k] != c for k in range(1, keep + 1)):
                 out.append(c)
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
-        shape = self[token] = bytes(out)
+        shape = self[token] = zlib.crc32(out)
         return shape
 
 
-def _number(gram: bytes) -> int:
-    return zlib.crc32(gram) & ((1 << BITS) - 1)
-
-
-class _Numbers(dict):
-    """Number of a gram of shapes; forgets when it gets large."""
-
-    def __missing__(self, gram: tuple) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        n = self[gram] = _number(b"\x00".join((b"%d" % len(gram), *gram)))
-        return n
-
+_shapes = _Shapes()
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_MULTIPLY = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, (8, GRAMS), np.uint64) * np.uint64(2) + np.uint64(1)
+EMPTY, LINE_AGAIN, AGAIN = 0, 1, np.uint64(0x5851F42D)
 
-class _Words(dict):
-    """Numbers of a word and of its three-character grams; forgets when it gets large."""
 
-    def __missing__(self, word: bytes) -> tuple:
-        if len(self) > 200_000:
-            self.clear()
-        chars = f" {word.decode()} "
-        grams = {chars[i : i + 3].encode() for i in range(len(chars) - 2)}
-        found = self[word] = (_number(b"w\x00" + word), *(_number(b"c\x00" + g) for g in grams))
-        return found
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
 
 
-_shapes, _numbers, _words = _Shapes(), _Numbers(), _Words()
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+def _grams(hashes: np.ndarray, n: int, family: int) -> np.ndarray:
+    """Numbers of the n-grams of a sequence; families (kinds of grams) are numbered apart."""
+    total = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for k in range(n):
+        total += (hashes[k : k + len(total)] + np.uint64(family)) * _MULTIPLY[family, k]
+    total ^= total >> np.uint64(29)
+    return ((total * _MULTIPLY[7, 0]) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def features(text: str | None, marks: bool = True) -> np.ndarray:
     """Sorted numbers of the indicators that are on; marks: with those of repetition."""
     raw = (text or "").encode()
-    words = raw.translate(_LOWER).split()
-    if not words:
-        return np.array([_numbers[(b"empty",)]], np.int64)
-    shapes = list(map(_shapes.__getitem__, raw.translate(_CLASSES).split()))
-    on: set = set()
+    own = raw.split()
+    if not own:
+        return np.array([EMPTY], np.int32)
+    shapes = np.fromiter(map(_shapes.__getitem__, raw.translate(_CLASSES).split()), np.uint64, len(own))
+    joined = b" ".join(own).translate(_LOWER)
+    words = _hashes(joined.split(b" "))
+    found = []
     if marks:
-        own = raw.split()
-        for i in range(1, len(own)):
-            if own[i] == own[i - 1]:
-                shapes[i] = b"=" + shapes[i]
+        shapes[1:][np.fromiter(map(eq, own[1:], own), bool, len(own) - 1)] += AGAIN
         lines = [x for x in raw.split(b"\n") if len(x) > 20]
         if len(set(lines)) < len(lines):
-            on.add(_numbers[(b"line again",)])
-    grams: set = set()
-    for n in range(1, GRAMS + 1):
-        grams.update(zip(*(shapes[k:] for k in range(n))))
-    on.update(map(_numbers.__getitem__, grams))
-    on.update(*map(_words.__getitem__, set(words)))
-    on.update(_number(b"p\x00" + a + b" " + b) for a, b in set(zip(words, words[1:])))
-    return np.sort(np.fromiter(on, np.int64, len(on)))
+            found.append(np.array([LINE_AGAIN], np.int32))
+    found += [_grams(shapes, n, n - 1) for n in range(1, GRAMS + 1)]
+    found.append(_grams(words, 1, 3))
+    found.append(_grams(np.frombuffer(b" " + joined + b" ", np.uint8).astype(np.uint64), 3, 5))
+    ranked = np.sort(np.concatenate(found))
+    return ranked[np.concatenate([[True], ranked[1:] != ranked[:-1]])]
 
 
 def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -136,7 +123,7 @@ def scaled(x: np.ndarray, r: np.ndarray) -> np.ndarray:
 def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model by dual coordinate descent."""
     w, b, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
-    values = [scaled(x, r) for x in rows]
+    values = [scaled(x, r).astype(np.float32) for x in rows]
     square = np.array([v @ v + 1.0 for v in values])
     share = {c: max(1, int((y == c).sum())) for c in (1, -1)}
     cost = {c: COST * max(share.values()) / share[c] for c in share}
@@ -175,16 +162,17 @@ def calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ratios, weights, [bias, a, b]) of the model."""
+    """(ratios, weights, [bias, a, b]) of the model. Takes rows over: they are cut to what has weight."""
     none = np.zeros(1 << BITS, np.float32)
     if not len(rows) or len(set(y.tolist())) < 2:
         return none, none, np.array([0.0, 0.0, 0.0 if not len(rows) else 20.0 * y[0]])
     apart = np.arange(len(rows)) % 5 == 4
     if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
         apart = np.zeros(len(rows), bool)
-    known = [x for x, z in zip(rows, apart) if not z]
-    r = ratios(known, y[~apart])
-    w, bias = descend(known, y[~apart], r)
+    r = ratios([x for x, z in zip(rows, apart) if not z], y[~apart])
+    for i, x in enumerate(rows):
+        rows[i] = x[r[x] != 0]  # the others have no weight, and are let go
+    w, bias = descend([x for x, z in zip(rows, apart) if not z], y[~apart], r)
     use = apart if apart.any() else ~apart
     margins = np.array([w[x] @ scaled(x, r) + bias for x, z in zip(rows, use) if z])
     a, b = calibrate(margins, y[use])
@@ -192,7 +180,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS):
-    """The model as three arrays on the driver: a fixed 8 MB. labels: (doc_id, quality)."""
+    """The model as three arrays on the driver: a fixed 2 MB. labels: (doc_id, quality)."""
     known = labels.select(labels["doc_id"].alias("label_id"), labels["quality"].alias("quality")).where("quality IN (0, 1) AND label_id IS NOT NULL")
     known = known.groupBy("label_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(train_rows)
@@ -201,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def marks(batches):
         for batch in batches:
-            found = [features(x).astype(np.int32) for x in batch.column(3).to_pylist()]
+            found = [features(x) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=["id", "quality", "h", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -211,7 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         xs, y = [], []
         for batch in batches:
             y += batch.column(0).to_pylist()
-            xs += [np.array(x, np.int64) for x in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            xs += [flat[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         model = fit(xs, np.where(np.array(y) == 1, 1, -1)) if xs else fit([], np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()) for m in model], names=["r", "w", "c"])
 
