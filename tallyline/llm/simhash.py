@@ -267,7 +267,8 @@ def _met(nodes: DataFrame) -> DataFrame:
     left = table.select("key", F.col("node").alias("a"), F.col("group").alias("a_group"), *(F.col(c).alias(f"a_{c}") for c in carried))
     right = asks.select("key", "bit", F.col("node").alias("b"), F.col("group").alias("b_group"), *(F.col(c).alias(f"b_{c}") for c in carried))
     near = (F.col("a_group") != F.col("b_group")) & ((F.col("bit") != 0) | (F.col("a") < F.col("b"))) & (_distance("a_c", "b_c", range(CHECK)) <= CHECK_RADIUS)
-    return left.join(right, (left["key"] == right["key"]) & near).select("a", "b")
+    # both sides grow with the texts: they are shuffled at every size
+    return left.hint("merge").join(right, (left["key"] == right["key"]) & near).select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
