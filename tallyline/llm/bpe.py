@@ -3,10 +3,15 @@
 A text is split by the pre-tokenizer's pattern. The distinct pieces of a batch become
 token-position rows (piece, start, end, token, next token); a recursive query joins them with the
 merge table and contracts, round by round, each piece's leftmost pair of minimum rank until no
-pair is left; an ordered aggregation returns the ids, a second one the bytes that the ids stand for.
+pair is left; an ordered aggregation returns a piece's ids. Decoding joins the ids of whole documents with the vocabulary and
+returns their bytes by an ordered aggregation, so it sees nothing of the text but its ids.
 Spark partitions the documents; a worker keeps only a bounded table of pieces that it has seen.
 
-Null texts count as empty and have no tokens. Repeated rows are encoded each on its own.
+A piece of over LONG bytes (a run without a border) would make the recursive query hold a row a byte and round; its rounds run
+one by one as a query of their own that contracts all separate occurrences of the minimum-rank pair at once, with the same result.
+
+Null texts count as empty and have no tokens. Repeated rows are encoded each on its own; ids may be null; an empty table gives no rows;
+columns beside id and text are not looked at. Of equal pairs in a piece the leftmost is contracted first. Very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -23,13 +28,13 @@ from pyspark.sql import DataFrame
 from tallyline.llm.common import by_bytes
 
 #: Pieces that a worker remembers at most; when more are met, it starts afresh.
-MAX_PIECES = 250_000
+MAX_PIECES = 150_000
 #: Token-position rows per recursive query, and the rows that its rounds may add up to.
-ROWS, ROUND_ROWS = 150_000, 3_000_000
+ROWS, ROUND_ROWS = 100_000, 2_000_000
 #: Bytes from which a piece is contracted on its own, by rounds that hold no earlier rounds.
 LONG = 1500
-#: Characters handled at once.
-BATCH_CHARS = 3_000_000
+#: Characters encoded and ids decoded at once.
+BATCH_CHARS, TOKENS = 2_000_000, 300_000
 
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\\t-\\r \x85\xa0"
@@ -134,7 +139,7 @@ class Codec:
         self.ranks = ranks
         self.narrow, self.full = splitters(pattern)
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "preserve_insertion_order": False, "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False, "temp_directory": ""})
         self.con.register("given", merge_table(ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.register("given", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "s": [t.decode("latin-1") for t in ranks]}))
@@ -144,7 +149,7 @@ class Codec:
 
     def forget(self) -> None:
         self.index = Numbered()
-        self.count, self.ids, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int32), []
+        self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def split(self, text: str) -> list[str]:
         try:
@@ -154,7 +159,7 @@ class Codec:
         return self.narrow.findall(text)
 
     def learn(self, pieces: list[str]) -> None:
-        """Append ids and decoded bytes of new pieces."""
+        """Append the ids of new pieces."""
         raw = [p.encode() for p in pieces]
         ids: list = [None] * len(raw)
         todo = []
@@ -177,7 +182,6 @@ class Codec:
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, flat])
-        self.bytes += self.decode(count, flat)
 
     def contract(self, raw: list[bytes], todo: list[int], ids: list) -> None:
         lens = np.fromiter((len(raw[i]) for i in todo), np.int64, len(todo))
@@ -215,14 +219,14 @@ class Codec:
             self.con.execute("CREATE OR REPLACE TEMP TABLE long AS SELECT * FROM long_next")
         return self.con.sql("SELECT tok FROM long ORDER BY p").to_arrow_table()["tok"].to_numpy().astype(np.int32)
 
-    def decode(self, count: np.ndarray, flat: np.ndarray) -> list[bytes]:
-        """The bytes of each run of ids: run i has count[i] of them."""
-        out = [b""] * len(count)
-        ends = np.cumsum(count)
-        for start in range(0, len(count), 50_000):
-            part = count[start : start + 50_000]
-            a, b = int(ends[start] - count[start]), int(ends[start + len(part) - 1])
-            self.con.register("runs", pa.table({"w": np.repeat(np.arange(start, start + len(part)), part), "p": np.arange(b - a), "tok": flat[a:b]}))
+    def decode(self, runs: list[np.ndarray]) -> list[bytes]:
+        """The bytes that each run of ids stands for."""
+        out = [b""] * len(runs)
+        for start, stop in by_bytes(runs, TOKENS):
+            part = runs[start:stop]
+            count = np.fromiter(map(len, part), np.int64, len(part))
+            flat = np.concatenate(part)
+            self.con.register("runs", pa.table({"w": np.repeat(np.arange(start, stop), count), "p": np.arange(len(flat)), "tok": flat}))
             got = self.con.sql("SELECT w, string_agg(s, '' ORDER BY p) AS s FROM runs JOIN vocab USING (tok) GROUP BY w").to_arrow_table()
             self.con.unregister("runs")
             for w, s in zip(got["w"].to_pylist(), got["s"].to_pylist(), strict=True):
@@ -236,9 +240,8 @@ class Codec:
         index, rows = self.index, []
         for text in texts:
             rows.append(list(map(index.__getitem__, self.split(text))))
-        if len(index) > len(self.bytes):
-            new = list(index)[len(self.bytes) :]
-            self.learn(new)
+        if len(index) > len(self.count):
+            self.learn(list(index)[len(self.count) :])
         starts = np.cumsum(self.count) - self.count
         out = []
         for row in rows:
@@ -246,8 +249,8 @@ class Codec:
             n = self.count[at]
             ends = np.cumsum(n)
             take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[at], n)
-            out.append((self.ids[take], b"".join(map(self.bytes.__getitem__, row))))
-        return out
+            out.append(self.ids[take])
+        return list(zip(out, self.decode(out)))
 
 
 @lru_cache(maxsize=2)
