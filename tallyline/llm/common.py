@@ -60,7 +60,7 @@ def by_bytes(texts: list, limit: int):
 def partitions_for(df: DataFrame, size: int) -> int:
     """spark.sql.shuffle.partitions, or one partition for each size bytes of df's files if that is more."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(n, -(-known // size)) if known < 1 << 60 else n  # a table that isn't read from files says no size
 
 
