@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, decontam, fingerprint, pii, quality, secrets, simhash, substring, warc
+from tallyline.llm import bpe, chat, codes, decontam, fingerprint, merkle, packing, pii, quality, secrets, simhash, substring, warc
 from tallyline.llm.common import table
 
 
@@ -64,6 +64,31 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_fingerprint": op2_fingerprint, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_decontam": op5_decontam, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_substring": op8_substring, "op9_warc": op9_warc, "op10_pii": op10_pii}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": chat.DIGEST_SQL, "op5_decontam": decontam.REPORT_SQL, "op6_secrets": secrets.DIGEST_SQL, "op8_substring": substring.DEDUP_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (op1_chat, op2_fingerprint, op3_simhash, op4_quality, op5_decontam, op6_secrets, op7_bpe, op8_substring, op9_warc, op10_pii, op11_merkle, op12_codes, op13_packing)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat": chat.DIGEST_SQL,
+    "op5_decontam": decontam.REPORT_SQL,
+    "op6_secrets": secrets.DIGEST_SQL,
+    "op8_substring": substring.DEDUP_SQL,
+    "op9_warc": warc.ROUND_TRIP_SQL,
+    "op11_merkle": merkle.AUDIT_SQL,
+    "op12_codes": codes.REPORT_SQL,
+}
