@@ -8,33 +8,200 @@ from pyspark.sql import functions as F
 from tallyline.functions.bind import let
 from tallyline.functions.text import norm_name, norm_text, strip_diacritics
 
-#: Variants of given names, the canonical one first.
+# The variants of given names, a group a line, the canonical one first.
 GIVEN_NAMES = (
-    "JOSE,JOSEP,PEP", "JUAN,JOAN", "JORGE,JORDI", "FRANCISCO,FRANCESC,CESC,PACO", "JAVIER,XAVIER,XAVI", "MIGUEL,MIQUEL", "PEDRO,PERE", "LUIS,LLUIS", "ENRIQUE,ENRIC", "ANTONIO,ANTONI,TONI", "MARIA", "ANGEL", "RAMON",
-    "MONTSERRAT,MONTSE", "NURIA", "CARLOS,CARLES", "MARCOS,MARC", "ANA,ANNA", "JAIME,JAUME", "JOAQUIN,JOAQUIM,QUIM", "FERNANDO,FERRAN", "VICENTE,VICENC", "ANDRES,ANDREU", "ESTEBAN,ESTEVE", "GUILLERMO,GUILLEM",
-    "MANUEL,MANEL", "RICARDO,RICARD", "RAFAEL,RAFEL", "IGNACIO,IGNASI,NACHO", "ALEJANDRO,ALEX", "PABLO,PAU", "GERARDO,GERARD", "ROSA", "ISABEL,ELISABET", "ELENA,HELENA", "CRISTINA", "SILVIA", "EVA", "PILAR",
-    "DOLORES,DOLORS,LOLA", "MERCEDES,MERCE", "TERESA", "ROSARIO,ROSER", "NIEVES,NEUS", "INMACULADA,IMMACULADA,IMMA", "ANGELES,ANGELS", "CARMEN,CARME", "CARLA", "CLARA", "JULIA", "PAULA", "SARA", "MARTA", "LAURA",
-    "MIREIA", "GEMMA", "MERITXELL", "LAIA", "AINA", "ALBA", "JUDIT,JUDITH", "RAQUEL", "SONIA", "SUSANA", "MONICA", "VERONICA", "LOURDES", "ESTHER,ESTER", "BEATRIZ,BEATRIU", "PATRICIA", "LIDIA", "OLGA", "IRENE",
-    "DAVID", "DANIEL,DANI", "ORIOL", "ROGER", "ARNAU", "MARTI", "POL", "BIEL", "NIL", "VICTOR", "AGUSTIN,AGUSTI", "DOMINGO,DOMENEC", "ALBERTO,ALBERT", "SERGIO,SERGI", "MARIO", "RUBEN", "ADRIAN,ADRIA", "OSCAR", "RAUL", "SALVADOR", "SANTIAGO,SANTI", "TOMAS", "GABRIEL", "MATEO,MATEU",
-    "LORENZO,LLORENC", "BERNARDO,BERNAT", "ROSA MARIA",
-)
-#: Words and endings that only a business's name has; * stands for any ending.
-BUSINESS_FORMS = r"s\.?\s?l\.?\s?u?\.?|s\.?\s?a\.?\s?u?\.?|s\.?\s?c\.?\s?p\.?|s\.?\s?c\.?\s?c\.?\s?l\.?|s\.?\s?l\.?\s?n\.?\s?e\.?|c\.?\s?b\.?|b\.?v\.?|s\.?a\.?r\.?l\.?|a\.?g\.?|ltd|limited|gmbh|inc|plc"
-BUSINESS_WORDS = (
-    "sociedad societat cooperativ* coop asociaci* associaci* fundaci* comunidad comunitat ajuntament ayuntamiento generalitat diputaci* consorci* agencia tesorer* hisenda hacienda banc banco bank caixa caja "
-    "seguros assegurances insurance holding group grup serveis servicios reformes reformas construccion* constructor* ascensor* elevator* instalacion* manteniment* administraci* gestor* assessor* asesor* "
-    "arquitect* enginyer* ingenier* electric* fontaner* pintur* obras obres energ* telecom* movil endesa naturgy iberdrola aigues aguas"
-).split()
+    ("JOSE", "JOSEP", "PEP"),
+    ("JUAN", "JOAN"),
+    ("JORGE", "JORDI"),
+    ("FRANCISCO", "FRANCESC", "CESC", "PACO"),
+    ("JAVIER", "XAVIER", "XAVI"),
+    ("MIGUEL", "MIQUEL"),
+    ("PEDRO", "PERE"),
+    ("LUIS", "LLUIS"),
+    ("ENRIQUE", "ENRIC"),
+    ("ANTONIO", "ANTONI", "TONI"),
+    ("MARIA",),
+    ("ANGEL",),
+    ("RAMON",),
+    ("MONTSERRAT", "MONTSE"),
+    ("NURIA",),
+    ("CARLOS", "CARLES"),
+    ("MARCOS", "MARC"),
+    ("ANA", "ANNA"),
+    ("JAIME", "JAUME"),
+    ("JOAQUIN", "JOAQUIM", "QUIM"),
+    ("FERNANDO", "FERRAN"),
+    ("VICENTE", "VICENC"),
+    ("ANDRES", "ANDREU"),
+    ("ESTEBAN", "ESTEVE"),
+    ("GUILLERMO", "GUILLEM"),
+    ("MANUEL", "MANEL"),
+    ("AGUSTIN", "AGUSTI"),
+    ("DOMINGO", "DOMENEC"),
+    ("ALBERTO", "ALBERT"),
+    ("SERGIO", "SERGI"),
+    ("EDUARDO", "EDUARD"),
+    ("RICARDO", "RICARD"),
+    ("RAFAEL", "RAFEL"),
+    ("IGNACIO", "IGNASI", "NACHO"),
+    ("ALEJANDRO", "ALEX"),
+    ("PABLO", "PAU"),
+    ("GERARDO", "GERARD"),
+    ("ROSA",),
+    ("ISABEL", "ELISABET"),
+    ("ELENA", "HELENA"),
+    ("CRISTINA",),
+    ("SILVIA",),
+    ("EVA",),
+    ("PILAR",),
+    ("DOLORES", "DOLORS", "LOLA"),
+    ("MERCEDES", "MERCE"),
+    ("TERESA",),
+    ("ROSARIO", "ROSER"),
+    ("NIEVES", "NEUS"),
+    ("INMACULADA", "IMMACULADA", "IMMA"),
+    ("ANGELES", "ANGELS"),
+    ("CARMEN", "CARME"),
+    ("CARLA",),
+    ("CLARA",),
+    ("JULIA",),
+    ("PAULA",),
+    ("SARA",),
+    ("MARTA",),
+    ("LAURA",),
+    ("MIREIA",),
+    ("GEMMA",),
+    ("MERITXELL",),
+    ("LAIA",),
+    ("AINA",),
+    ("ALBA",),
+    ("JUDIT", "JUDITH"),
+    ("RAQUEL",),
+    ("SONIA",),
+    ("SUSANA",),
+    ("MONICA",),
+    ("VERONICA",),
+    ("LOURDES",),
+    ("ESTHER", "ESTER"),
+    ("BEATRIZ", "BEATRIU"),
+    ("PATRICIA",),
+    ("LIDIA",),
+    ("OLGA",),
+    ("IRENE",),
+    ("DAVID",),
+    ("DANIEL", "DANI"),
+    ("ORIOL",),
+    ("ROGER",),
+    ("ARNAU",),
+    ("MARTI",),
+    ("POL",),
+    ("BIEL",),
+    ("NIL",),
+    ("VICTOR",),
+    ("HUGO",),
+    ("MARIO",),
+    ("RUBEN",),
+    ("ADRIAN", "ADRIA"),
+    ("OSCAR",),
+    ("RAUL",),
+    ("SALVADOR",),
+    ("SANTIAGO", "SANTI"),
+    ("TOMAS",),
+    ("GABRIEL",),
+    ("MATEO", "MATEU"),
+    ("LORENZO", "LLORENC"),
+    ("BERNARDO", "BERNAT"),
+    ("ROSA MARIA",),
+)
+
+# What only a business's name has, as patterns on text in lower case without accents.
+BUSINESS_PATTERNS = (
+    r"s\.?\s?l\.?\s?u?\.?",
+    r"s\.?\s?a\.?\s?u?\.?",
+    r"s\.?\s?c\.?\s?p\.?",
+    r"s\.?\s?c\.?\s?c\.?\s?l\.?",
+    r"s\.?\s?l\.?\s?n\.?\s?e\.?",
+    r"c\.?\s?b\.?",
+    r"sociedad",
+    r"societat",
+    r"cooperativ\w*",
+    r"coop",
+    r"asociaci\w*",
+    r"associaci\w*",
+    r"fundaci\w*",
+    r"comunidad",
+    r"comunitat",
+    r"ajuntament",
+    r"ayuntamiento",
+    r"generalitat",
+    r"diputaci\w*",
+    r"consorci\w*",
+    r"agencia",
+    r"tesorer\w*",
+    r"hisenda",
+    r"hacienda",
+    r"banc",
+    r"banco",
+    r"bank",
+    r"caixa",
+    r"caja",
+    r"seguros",
+    r"assegurances",
+    r"insurance",
+    r"ltd",
+    r"limited",
+    r"gmbh",
+    r"b\.?v\.?",
+    r"s\.?a\.?r\.?l\.?",
+    r"a\.?g\.?",
+    r"inc",
+    r"plc",
+    r"holding",
+    r"group",
+    r"grup",
+    r"serveis",
+    r"servicios",
+    r"reformes",
+    r"reformas",
+    r"construccion\w*",
+    r"constructor\w*",
+    r"ascensor\w*",
+    r"elevator\w*",
+    r"instal·?lacion\w*",
+    r"instalacion\w*",
+    r"manteniment\w*",
+    r"mantenimiento\w*",
+    r"administraci\w*",
+    r"gestor\w*",
+    r"assessor\w*",
+    r"asesor\w*",
+    r"arquitect\w*",
+    r"enginyer\w*",
+    r"ingenier\w*",
+    r"electric\w*",
+    r"fontaner\w*",
+    r"pintur\w*",
+    r"obras",
+    r"obres",
+    r"energ\w*",
+    r"telecom\w*",
+    r"movil",
+    r"endesa",
+    r"naturgy",
+    r"iberdrola",
+    r"aigues",
+    r"aguas",
+)
 BUSINESS_KINDS = ("vendor", "administrator", "bank", "public_body", "insurer", "architect")
 
 
 def _canonical() -> Column:
-    pairs = [(name, group.split(",")[0]) for group in GIVEN_NAMES for name in group.split(",")]
+    pairs = [(name, group[0]) for group in GIVEN_NAMES for name in group]
     return F.create_map(*(F.lit(x) for p in pairs for x in p))
 
 
 def known_given(token: Column) -> Column:
-    return token.isin(*(name for group in GIVEN_NAMES for name in group.split(",")))
+    return token.isin(*(name for group in GIVEN_NAMES for name in group))
 
 
 def canonical_given(name: Column) -> Column:
@@ -76,8 +243,7 @@ def split_name(c: Column) -> Column:
 
 
 def looks_like_business(name: Column) -> Column:
-    words = "|".join(w.replace("*", r"\w*") for w in BUSINESS_WORDS)
-    return F.coalesce(F.lower(strip_diacritics(name)).rlike(rf"(^|[^a-z0-9])({BUSINESS_FORMS}|{words})([^a-z0-9]|$)"), F.lit(False))
+    return F.coalesce(F.lower(strip_diacritics(name)).rlike(rf"(^|[^a-z0-9])({'|'.join(BUSINESS_PATTERNS)})([^a-z0-9]|$)"), F.lit(False))
 
 
 def is_person(name: Column, kind: Column, flags: Column, known_business: Column | None = None) -> Column:
