@@ -2,9 +2,9 @@
 
 A document is its token ids and an end id. What fills whole windows is cut off as windows of its own; what remains is
 shorter than a window and waits. While a window's worth waits, the multiset of waiting lengths whose sum comes closest to the window is
-found by subset-sum dynamic programming on a bitset (bit s: a sum of s can be reached), longest first, each length as often as it
+found by subset-sum dynamic programming on a bitset (bit s: a sum of s can be reached), length by length from the longest, each as often as it
 waits (in powers of two), until the window's own bit is set; the bitsets kept on the way give back how often each length was used.
-That multiset fills as many windows as the counts allow. If none fills a window wholly, the longest waiting rest is cut
+The longest that waits and some shorter ones are tried as members first, which leaves little room to fill; if no multiset with them fills the window wholly, all are open. That multiset fills as many windows as the counts allow. If none fills a window wholly, the longest waiting rest is cut
 for the slack: cuts are free. What waits at the end of a partition, less than a window, becomes sequences of powers of two, which are not padded. So no
 sequence has padding.
 
@@ -19,8 +19,10 @@ own. Very long texts are taken whole. Strings of special tokens in a text are or
 from __future__ import annotations
 
 import zlib
+from bisect import bisect, insort
 from collections import deque
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tallyline.llm.bpe import Numbered, splitters
-from tallyline.llm.common import by_bytes
+from tallyline.llm.common import by_bytes, chunks
 
 #: Token ids that may wait in a task before windows are filled; half of them stay for better fits.
 POOL = 1 << 22
-#: Characters tokenized at once, and the pieces that a task remembers.
-BATCH_CHARS, MAX_PIECES = 2_000_000, 200_000
+#: Lengths, spread over those that fit beside a window's first member, with which the search begins, and first members that are tried, spread from the longest down.
+SPREAD, SEEDS = 8, 32
+#: Characters tokenized at once, the pieces that a task remembers, and new pieces given to the library at once.
+BATCH_CHARS, MAX_PIECES, NEW = 2_000_000, 1_000_000, 20_000
 
 
 class Pieces:
@@ -49,23 +53,31 @@ class Pieces:
 
     def forget(self) -> None:
         self.index = Numbered()
-        self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.count, self.ids, self.start = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Append the ids of new pieces."""
+        counts, ids = [self.count], [self.ids]
+        for part in chunks(pieces, NEW):
+            found = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
+            counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
+            ids.append(np.array(found.ids, np.int32))
+        self.count, self.ids = np.concatenate(counts), np.concatenate(ids)
+        self.start = np.cumsum(self.count) - self.count
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > MAX_PIECES:
             self.forget()
-        rows = [np.fromiter(map(self.index.__getitem__, (self.narrow if _latin(x) else self.full).findall(x)), np.int64) for x in texts]
-        if new := list(self.index)[len(self.count) :]:
-            found = [x.ids for x in self.model.encode_batch(new, add_special_tokens=False)]
-            self.count = np.concatenate([self.count, np.fromiter(map(len, found), np.int64, len(found))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32)])
-        starts = np.cumsum(self.count) - self.count
-        out = []
-        for at in rows:
-            n = self.count[at]
-            ends = np.cumsum(n)
-            out.append(self.ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[at], n)])
-        return out
+        parts = [(self.narrow if _latin(x) else self.full).findall(x) for x in texts]
+        each = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(each.sum()))
+        if len(self.index) > len(self.count):
+            self.learn(list(islice(self.index, len(self.count), None)))
+        n = self.count[at]
+        ends = np.cumsum(n)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - n), n)]
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(each))]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def _latin(text: str) -> bool:
@@ -76,24 +88,24 @@ def _latin(text: str) -> bool:
     return True
 
 
-def fullest(counts: dict[int, int], capacity: int, present: int | None = None) -> dict[int, int]:
+def fullest(counts: dict[int, int], capacity: int, lengths: list[int] | None = None) -> dict[int, int]:
     """How often to use each length, at most counts times, so that the sum comes closest to capacity without passing it.
 
-    present: the bits of the lengths in counts, if they are at hand.
+    lengths: those in counts that are no longer than capacity, in the order in which they are tried, if they are at hand.
     """
-    if present is None:
-        present = sum(1 << length for length, n in counts.items() if n)
+    if lengths is None:
+        lengths = sorted((length for length, n in counts.items() if n and length <= capacity), reverse=True)
     reach, whole, trail = 1, 1 << capacity, []
     below = (whole << 1) - 1
-    while present and not reach & whole:
-        length = present.bit_length() - 1
-        present ^= 1 << length
-        left, some = counts[length], 1
+    for length in lengths:
+        left, some = min(counts[length], capacity // length), 1
         while left and not reach & whole:
             some = min(some, left)
             trail.append((length, some, reach))
             reach |= reach << some * length & below
             left, some = left - some, 2 * some
+        if reach & whole:
+            break
     at, used = reach.bit_length() - 1, {}
     for length, some, before in reversed(trail):
         if not before >> at & 1:
@@ -109,7 +121,8 @@ class Packer:
         self.capacity, self.sequence = capacity, first
         self.waiting: dict[int, deque] = {}
         self.counts: dict[int, int] = {}
-        self.present = self.total = 0
+        self.lengths: list[int] = []  # that wait, ascending
+        self.total = 0
         self.pieces: list[tuple] = []
 
     def add(self, key, ids: np.ndarray) -> None:
@@ -122,7 +135,7 @@ class Packer:
     def fill(self, most: int) -> None:
         """Fill windows until at most `most` ids, or less than a window, wait."""
         while self.total > most and self.total >= self.capacity:
-            used = fullest(self.counts, self.capacity, self.present)
+            used = self._with_a_long_one() or fullest(self.counts, self.capacity, self.lengths[::-1])
             slack = self.capacity - sum(length * n for length, n in used.items())
             times = 1 if slack else min(self.counts[length] // n for length, n in used.items())
             for _ in range(times):
@@ -131,13 +144,28 @@ class Packer:
                     chosen.append(self._cut(slack))
                 self._sequence(chosen)
 
+    def _with_a_long_one(self) -> dict[int, int] | None:
+        """A multiset that fills a window wholly and holds the longest length, or else a somewhat shorter one, if there is one."""
+        for longest in self.lengths[:: -max(1, len(self.lengths) // SEEDS)]:
+            room = self.capacity - longest
+            self.counts[longest] -= 1
+            fits = bisect(self.lengths, room)
+            stride = max(1, fits // SPREAD)
+            short = self.lengths[:fits][::-1]
+            used = fullest(self.counts, room, list(chain.from_iterable(short[k::stride] for k in range(stride))))
+            self.counts[longest] += 1
+            if sum(length * n for length, n in used.items()) == room:
+                used[longest] = used.get(longest, 0) + 1
+                return used
+        return None
+
     def end(self) -> None:
         """What is left, as windows and then sequences of powers of two."""
         self.fill(0)
         while self.total:
             size, chosen = 1 << (self.total.bit_length() - 1), []
             while size:
-                longest = self.present.bit_length() - 1
+                longest = self.lengths[-1]
                 chosen.append(self._take(longest) if longest <= size else self._cut(size))
                 size -= len(chosen[-1][2])
             self._sequence(chosen)
@@ -146,20 +174,21 @@ class Packer:
         length = len(item[2])
         self.waiting.setdefault(length, deque()).append(item)
         self.counts[length] = self.counts.get(length, 0) + 1
-        self.present |= 1 << length
+        if self.counts[length] == 1:
+            insort(self.lengths, length)
         self.total += length
 
     def _take(self, length: int) -> tuple:
         item = self.waiting[length].popleft()
         self.counts[length] -= 1
         if not self.counts[length]:
-            self.present ^= 1 << length
+            del self.lengths[bisect(self.lengths, length) - 1]
         self.total -= length
         return item
 
     def _cut(self, size: int) -> tuple:
         """The first `size` ids of the longest that waits; its rest waits on."""
-        key, start, ids, n = self._take(self.present.bit_length() - 1)
+        key, start, ids, n = self._take(self.lengths[-1])
         if len(ids) > size:
             self._wait((key, start + size, ids[size:], n))
         return key, start, ids[:size], n

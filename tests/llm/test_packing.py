@@ -92,6 +92,6 @@ def test_pool_keeps_a_bounded_number_waiting():
             packer.fill(5_000)
             assert packer.total <= 5_000
     packer.end()
-    assert packer.total == 0 and not packer.present
+    assert packer.total == 0 and not packer.lengths
     cut = [p for p in packer.pieces if len(p[2]) < 64 and p[3] < 64 and len(p[2]) < p[3]]
     assert len(cut) <= 20  # short documents are hardly ever cut: multisets fill windows
