@@ -12,11 +12,16 @@ none that connects is lost. A key with very many fingerprints is dealt to severa
 ask for it go to each; its cost is the square of its distinct fingerprints.
 
 similar(): texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8. At 0.8 the bits of two sets
-differ with probability 0.151, so 3 of 64 bits would miss most: the fingerprint has 384 bits, 256 of them in 16 segments of
-16 bits with balls of radius one, 128 that every index row carries and whose distance is verified at once, all of
-which are verified before the sets themselves are. By the formula 0.994 of the pairs at exactly 0.8 share
-a segment's ball and pass, 0.9990 at 0.85. A random pair meets with probability 0.004 and passes the 128 bits with 1e-8, so the work on random pairs is
-0.4% of all pairs of distinct texts, each a comparison of two longs; SEGMENT_BITS makes it rarer for larger tables.
+differ with probability 0.151, so 3 of 64 bits would miss most. The fingerprint has two words that every index row carries, and segments with balls
+of radius one; how many and how wide follows from the number of texts (shape()): wide enough that a random pair seldom meets, so many that 0.994 of the pairs at
+exactly 0.8 share a segment's ball. Up to 2^19 texts these are 16 segments of 16 bits; for each 4 bits more a
+segment has, 16 times as many texts keep the number of random meetings per text about the same. What meets is verified in steps: sizes and carried
+bits, all bits, then the whole shingle sets.
+
+Near copies meet often, so they are joined first: in each segment's exact buckets every text is linked with the nearest found there, and the verified links
+make groups. After that only members of different groups are compared, and two large groups' members only where a
+bucket has both. Sets are verified in cells: pairs are dealt by the hashes of both ends to a square grid, sized by the sets' bytes, and a
+set goes once to each cell that needs it, not to each pair.
 
 Equal fingerprints (or sets) are one node from the start. Links become classes by distributed connected components.
 
@@ -28,6 +33,10 @@ don't matter, whatever their names. Very long texts are hashed whole, their shin
 
 from __future__ import annotations
 
+import functools
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -75,20 +84,45 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-#: Words of 64 bits of the wide fingerprint; the first CHECK of them are carried with each index row, the others are indexed.
-WIDE, CHECK = 6, 2
-SEGMENT_BITS = 16
-#: Bits in which two similar texts may differ, of the carried and of all bits: 3.2 standard deviations over the mean at a similarity of 0.8.
-CHECK_RADIUS, WIDE_RADIUS = 32, 80
-_SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, (WIDE, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+#: How often a bit differs between sets with a similarity of 0.8, and how many such pairs are to share a segment's ball.
+FLIP, RECALL = 0.1515, 0.994
+#: Words of 64 bits that each index row carries; those of the segments follow.
+CHECK = 2
+#: Bytes of shingle sets that a verifying task holds for a cell, pairs verified at once, members from which a group counts as large, and rows compared at once.
+CELL_BYTES, PAIRS, LARGE, CHUNK = 1 << 26, 1 << 17, 64, 1024
+
+
+class Shape(NamedTuple):
+    bits: int
+    segments: int
+
+    @property
+    def words(self) -> int:
+        return CHECK + -(-self.segments // (64 // self.bits))
+
+
+def shape(texts: int) -> Shape:
+    """Bits of a segment and how many segments, for so many texts."""
+    bits = next(b for b in (16, 20, 24, 28, 32) if texts <= 1 << (b + 3) or b == 32)
+    shared = (1 - FLIP) ** bits + bits * FLIP * (1 - FLIP) ** (bits - 1)
+    return Shape(bits, math.ceil(math.log(1 - RECALL) / math.log(1 - shared)))
+
 
+def allowed(bits: int) -> int:
+    """Bits of so many in which two similar texts may differ: 3.2 standard deviations over the mean at a similarity of 0.8."""
+    return int(FLIP * bits + 3.2 * math.sqrt(bits * FLIP * (1 - FLIP)))
 
-def wide_fingerprint(found: np.ndarray) -> np.ndarray:
-    """WIDE words of fingerprint of a set of shingle hashes; each word's hashes are mixed anew."""
-    ones = np.zeros(64 * WIDE, np.int64)
+
+def _seeds(words: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, (words, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(found: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """As many words of fingerprint of a set of shingle hashes as seeds has rows; each word's hashes are mixed anew."""
+    ones = np.zeros(64 * len(seeds), np.int64)
     for i in range(0, len(found), 8192):
-        mixed = found[i : i + 8192, None] * _SEEDS[:, 0]
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * _SEEDS[:, 1]
+        mixed = found[i : i + 8192, None] * seeds[:, 0]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * seeds[:, 1]
         mixed ^= mixed >> np.uint64(29)
         ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)
@@ -213,8 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _marks(docs: DataFrame, words: int) -> DataFrame:
-    """(id, h, k, node, fp) of every row: node is its shingle set's hash, fp the set's wide fingerprint, null without words. No shuffle."""
+def _marks(docs: DataFrame, words: int, seeds: np.ndarray) -> DataFrame:
+    """(id, h, k, node, n, fp) of every row: node is its shingle set's hash, n its size, fp the set's wide fingerprint, null without words. No shuffle."""
 
     def run(batches):
         for batch in batches:
@@ -222,86 +256,225 @@ def _marks(docs: DataFrame, words: int) -> DataFrame:
             for a, b in by_bytes(texts, 1 << 22):
                 sets = [shingle_set(x, words) for x in texts[a:b]]
                 node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                fps = [wide_fingerprint(x).view(np.int64) if len(x) else None for x in sets]
+                fps = [wide_fingerprint(x, seeds).view(np.int64) if len(x) else None for x in sets]
                 rows = [batch.column(i).slice(a, b - a) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(node), pa.array(fps, pa.list_(pa.int64()))], names=["id", "h", "k", "node", "fp"])
+                made = [pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(fps, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*rows, *made], names=["id", "h", "k", "node", "n", "fp"])
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("id"), *row_keys(docs["text"]), docs["text"].alias("text"))
-    return rows.mapInArrow(run, "id bigint, h bigint, k bigint, node bigint, fp array<bigint>")
+    return rows.mapInArrow(run, "id bigint, h bigint, k bigint, node bigint, n int, fp array<bigint>")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(node, hashes): the shingle sets of rows(node, h, k), from the texts that h and k name."""
+    """(node, hashes): the shingle sets, as bytes, of rows(node, h, k), from the texts that h and k name."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in by_bytes(texts, 1 << 22):
-                sets = [shingle_set(x, words).view(np.int64) for x in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+                sets = [shingle_set(x, words).tobytes() for x in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
     texts = docs.select(*row_keys(docs["text"]), docs["text"].alias("text")).join(rows, ["h", "k"]).select("node", "text")
     # copies of a text give the same set
-    return texts.mapInArrow(run, "node bigint, hashes array<bigint>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    return texts.mapInArrow(run, "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def _keys(form: Shape) -> list[Column]:
+    """Each segment's value beside its number."""
+    per_word, low = 64 // form.bits, (1 << form.bits) - 1
+    return [
+        F.shiftrightunsigned(f"c{CHECK + i // per_word}", form.bits * (i % per_word)).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(i << form.bits)) for i in range(form.segments)
+    ]
+
+
+def _nearest(batches):
+    """(a, b): for each row of (key, node, n, c0, c1), sorted by key, the nearest other row of its key (or of a chunk of it) that can be similar."""
+    held = None
+
+    def compare(node, size, c0, c1, starts, counts):
+        """Rows of small buckets, with all rows of their bucket."""
+        per_row = np.repeat(counts, counts)
+        i = np.repeat(np.arange(len(node)), per_row)
+        first = np.repeat(np.repeat(starts, counts), per_row)
+        j = first + np.arange(len(i)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+        d = (np.bitwise_count(c0[i] ^ c0[j]) + np.bitwise_count(c1[i] ^ c1[j])).astype(np.int64)
+        d[(i == j) | (5 * np.minimum(size[i], size[j]) < 4 * np.maximum(size[i], size[j])) | (d > allowed(64 * CHECK))] = 1 << 20
+        best = np.minimum.reduceat((d << 40) | j, np.cumsum(per_row) - per_row)
+        ok = np.flatnonzero(best >> 40 < 1 << 20)
+        return node[ok], node[best[ok] & ((1 << 40) - 1)]
+
+    def work(cols):
+        key, node, size, c0, c1 = cols
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        counts = np.diff(np.append(starts, len(key)))
+        out = []
+        for a, n in zip(starts[counts > LARGE].tolist(), counts[counts > LARGE].tolist()):  # a chunk at a time
+            for at in range(a, a + n, CHUNK):
+                part = slice(at, min(at + CHUNK, a + n))
+                out.append(compare(node[part], size[part], c0[part], c1[part], np.array([0]), np.array([part.stop - at])))
+        small = np.flatnonzero(np.repeat((counts > 1) & (counts <= LARGE), counts))
+        own = counts[(counts > 1) & (counts <= LARGE)]
+        if len(small):
+            out.append(compare(node[small], size[small], c0[small], c1[small], np.cumsum(own) - own, own))
+        return [np.concatenate(x) for x in zip(*out)] if out else None
+
+    def flush(cols):
+        for at in range(0, len(cols[0]), 1 << 16):
+            if found := work([c[at : at + (1 << 16)] for c in cols]):
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], names=["a", "b"])
+
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cols = [c.view(np.uint64) if i > 2 else c.astype(np.int64) for i, c in enumerate(cols)]
+        cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        whole = int(np.flatnonzero(cols[0] == cols[0][-1])[0])  # the last key's rows may go on
+        whole = whole if len(cols[0]) - whole < CHUNK else len(cols[0])
+        held = [c[whole:] for c in cols]
+        if whole:
+            yield from flush([c[:whole] for c in cols])
+    if held is not None and len(held[0]):
+        yield from flush(held)
+
+
+def _closest(nodes: DataFrame, form: Shape) -> DataFrame:
+    """(a, b): for each segment, each of nodes beside the nearest found of those with its value that can be similar. Dealt by ranges, so a common value is many tasks' work."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select(F.explode(F.array(*_keys(form))).alias("key"), "node", "n", *(f"c{i}" for i in range(CHECK)))
+    rows = rows.repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
+    found = rows.mapInArrow(_nearest, "a bigint, b bigint")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _distance(a: str, b: str, places) -> Column:
     return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in places), F.lit(0))
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """(a, b, ...): pairs of nodes(node, group, c0, ...) of different groups that meet in a segment's ball and agree in the carried bits.
+def _same_size(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    A node stands in a table for each segment and asks for its own value and for those with one more bit set.
-    """
-    per_word = 64 // SEGMENT_BITS
-    low = (1 << SEGMENT_BITS) - 1
-    cuts = [
-        F.shiftrightunsigned(f"c{CHECK + i // per_word}", SEGMENT_BITS * (i % per_word)).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(i << SEGMENT_BITS))
-        for i in range(per_word * (WIDE - CHECK))
-    ]
-    carried = [f"c{i}" for i in range(CHECK)]
-    table = nodes.select("node", "group", *carried, F.explode(F.array(*cuts)).alias("key"))
-    asks = table.select("node", "group", *carried, "key", F.explode(F.array(*(F.lit(b).cast("bigint") for b in (0, *(1 << i for i in range(SEGMENT_BITS)))))).alias("bit"))
-    asks = asks.where("key & bit = 0").withColumn("key", F.col("key").bitwiseOR(F.col("bit")))
-    left = table.select("key", F.col("node").alias("a"), F.col("group").alias("a_group"), *(F.col(c).alias(f"a_{c}") for c in carried))
-    right = asks.select("key", "bit", F.col("node").alias("b"), F.col("group").alias("b_group"), *(F.col(c).alias(f"b_{c}") for c in carried))
-    near = (F.col("a_group") != F.col("b_group")) & ((F.col("bit") != 0) | (F.col("a") < F.col("b"))) & (_distance("a_c", "b_c", range(CHECK)) <= CHECK_RADIUS)
-    # both sides grow with the texts: they are shuffled at every size
-    return left.hint("merge").join(right, (left["key"] == right["key"]) & near).select("a", "b")
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) within WIDE_RADIUS whose sets have a Jaccard similarity of at least percent / 100."""
-    both = pairs
-    for x in "ab":
-        both = both.join(nodes.select(F.col("node").alias(x), *(F.col(f"c{i}").alias(f"{x}_c{i}") for i in range(WIDE))), x)
-    both = both.where(_distance("a_c", "b_c", range(WIDE)) <= WIDE_RADIUS).select("a", "b")
-    for x in "ab":
-        both = both.join(sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_set")), x)
-    shared, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
-    return both.where(100 * shared >= percent * (total - shared)).select("a", "b")
 
+def _met(nodes: DataFrame, form: Shape, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes(node, group, n, c0, ...) of different groups that meet in a segment's ball and agree in size and the carried bits.
 
-def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    A node stands in a table for each segment and asks for its own value and for those with one more bit set. Members of one large group never meet.
+    """
+    carried = ["n", *(f"c{i}" for i in range(CHECK))]
+    large = materialise(nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LARGE).select("group", F.lit(True).alias("large")), "large")
+    any_large = not large.isEmpty()
+    marked = nodes.join(large, "group", "left") if any_large else nodes.withColumn("large", F.lit(None).cast("boolean"))
+    marked = marked.withColumn("large", F.coalesce("large", F.lit(False)))
+    table = marked.select("node", "group", "large", *carried, F.explode(F.array(*_keys(form))).alias("key"))
+    ball = F.array(*(F.lit(b).cast("bigint") for b in (0, *(1 << i for i in range(form.bits)))))
+    asks = table.select("node", "group", "large", *carried, "key", F.explode(ball).alias("bit")).where("key & bit = 0").withColumn("key", F.col("key").bitwiseOR(F.col("bit")))
+    left = table.select("key", "large", *(F.col(c).alias(f"a_{c}") for c in ("node", "group", *carried)))
+    right = asks.select("key", "bit", "large", *(F.col(c).alias(f"b_{c}") for c in ("node", "group", *carried)))
+    near = (F.col("bit") != 0) | (F.col("a_node") < F.col("b_node"))
+    near = near & (F.col("a_group") != F.col("b_group")) & _same_size(F.col("a_n"), F.col("b_n"), percent) & (_distance("a_c", "b_c", range(CHECK)) <= allowed(64 * CHECK))
+
+    def meet(one: DataFrame, other: DataFrame, *more: Column) -> DataFrame:
+        # both sides grow with the texts: they are shuffled at every size
+        on = [one["key"] == other["key"], near, *more]
+        joined = one.hint("merge").join(other, functools.reduce(lambda x, y: x & y, on))
+        return joined.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+    if not any_large:
+        return meet(left, right)
+    few, many = right.where("NOT large"), right.where("large")
+    found = meet(left, few).unionByName(meet(left.where("NOT large"), many))
+    one, other = left.where("large"), many
+    groups = one.select("key", "a_group").distinct().join(other.select("key", "b_group").distinct(), "key").where("a_group <> b_group")
+    one = one.join(groups, ["key", "a_group"]).withColumnRenamed("b_group", "with")
+    return found.unionByName(meet(one, other, F.col("with") == F.col("b_group")))
+
+
+def _overlaps(sets: dict, a: list, b: list) -> np.ndarray:
+    """How many hashes each pair of sets (a[i], b[i]) shares."""
+    if len(a) < 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
+    # a crowded cell: counts of all its pairs at once, over the hashes that more than one of its sets has
+    at = {x: i for i, x in enumerate(sets)}
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets.values()])
+    hashes, column, count = np.unique(np.concatenate(list(sets.values())), return_inverse=True, return_counts=True)
+    several = count[column] > 1
+    column = (np.cumsum(count > 1) - 1)[column[several]]
+    row = row[several]
+    i, j = (np.array([at[x] for x in side]) for side in (a, b))
+    one, other = (np.unique(x, return_inverse=True) for x in (i, j))
+    shared = np.zeros((len(one[0]), len(other[0])), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):  # so many hashes at a time
+        lo, hi = np.searchsorted(column, (first, first + CHUNK))
+        has = np.zeros((len(sets), CHUNK), np.float32)
+        has[row[lo:hi], column[lo:hi] - first] = 1
+        shared += has[one[0]] @ has[other[0]].T
+    return shared[one[1], other[1]].astype(np.int64)
+
+
+def _agree(batches, percent: int = 80):
+    """The pairs (a, b) whose sets are similar, from rows (x, y, a, b, hashes) sorted by cell (x, y), sets (b null) first."""
+    cell, sets, a, b = None, {}, [], []
+
+    def made():
+        shared = _overlaps(sets, a, b)
+        total = np.array([len(sets[x]) + len(sets[y]) for x, y in zip(a, b)])
+        ok = np.flatnonzero(100 * shared >= percent * (total - shared)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([side[i] for i in ok], pa.int64()) for side in (a, b)], names=["a", "b"])
+
+    for batch in batches:
+        for x, y, one, other, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+            if (x, y) != cell:
+                if a:
+                    yield made()
+                cell, sets, a, b = (x, y), {}, [], []
+            if other is None:
+                sets[one] = np.frombuffer(hashes, np.uint64)
+            else:
+                a.append(one)
+                b.append(other)
+                if len(a) == PAIRS:
+                    yield made()
+                    a, b = [], []
+    if a:
+        yield made()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, form: Shape) -> DataFrame:
+    """The distinct pairs (a, b) that agree in size and all bits and whose sets have a Jaccard similarity of at least percent / 100. Written."""
+    both = pairs.distinct()
+    for x in "ab":
+        both = both.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *(F.col(f"c{i}").alias(f"{x}_c{i}") for i in range(form.words))), x)
+    near = _same_size(F.col("a_n"), F.col("b_n"), percent) & (_distance("a_c", "b_c", range(form.words)) <= allowed(64 * form.words))
+    near = materialise(both.where(near).select("a", "b", (8 * (F.col("a_n") + F.col("b_n")).cast("bigint")).alias("bytes")), "near")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = near.agg(F.sum("bytes")).first()[0] or 0
+    side = math.ceil(math.sqrt(max(4 * n, total / CELL_BYTES)))
+    dealt = near.select(F.pmod(F.xxhash64("a"), F.lit(side)).alias("x"), F.pmod(F.xxhash64("b"), F.lit(side)).alias("y"), "a", "b")
+    ends = dealt.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = nodes.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "h", "k")
+    sets = materialise(_sets(docs, texts, words), "sets")
+    given = ends.join(sets, "node").select("x", "y", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "hashes")
+    rows = given.unionByName(dealt.withColumn("hashes", F.lit(None).cast("binary"))).repartition(n, "x", "y").sortWithinPartitions("x", "y", "b")
+    return materialise(rows.mapInArrow(functools.partial(_agree, percent=percent), "a bigint, b bigint"), "links")
+
+
+def similar(docs: DataFrame, words: int = 5, percent: int = 80, form: Shape | None = None) -> DataFrame:
     """(id, h, k, root) of every row of docs(doc_id, text): root is the smallest node that the row's links reach.
 
-    Links join shingle sets whose Jaccard similarity is at least percent / 100. First every node is linked with the smallest node
-    near it, which joins most groups of copies at the cost of a pair a member; then all pairs
-    between the classes so made are verified, so no link between candidates is missed.
+    Links join shingle sets whose Jaccard similarity is at least percent / 100. First every node is linked with the nearest found for each segment; then
+    all pairs between the groups so made that meet are verified, so no link between candidates is missed.
     """
-    found = materialise(_marks(docs, words), "marks")
-    made = found.where("fp IS NOT NULL").groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct("h", "k")).alias("text"))
-    nodes = materialise(made.select("node", "text.h", "text.k", *(F.col("fp")[i].alias(f"c{i}") for i in range(WIDE))), "nodes")
-    met = _met(nodes.withColumn("group", F.col("node")))
-    ends = met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", "b"))).alias("p"))
-    least = materialise(ends.groupBy("p.a").agg(F.min("p.b").alias("b")), "least")  # every node that meets another
-    nodes = materialise(nodes.join(least.select(F.col("a").alias("node")), "node", "left_semi"), "near")
-    sets = materialise(_sets(docs, nodes.select("node", "h", "k"), words), "sets")
-    links = materialise(_verified(least, nodes, sets, percent), "links")
+    form = form or shape(docs.count())
+    found = materialise(_marks(docs, words, _seeds(form.words)), "marks")
+    made = found.where("fp IS NOT NULL").groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("h", "k")).alias("text"))
+    nodes = materialise(made.select("node", "n", "text.h", "text.k", *(F.col("fp")[i].alias(f"c{i}") for i in range(form.words))), "nodes")
+    links = _verified(_closest(nodes, form), nodes, docs, words, percent, form)
     roots = materialise(connected_components(links), "roots")
-    named = nodes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    more = materialise(_verified(_met(named).distinct(), nodes, sets, percent), "links")
+    named = materialise(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), *(c for c in nodes.columns if c != "node")), "groups")
+    more = _verified(_met(named, form, percent), nodes, docs, words, percent, form)
     roots = connected_components(links.unionByName(more))
     return found.join(roots, "node", "left").select("id", "h", "k", F.coalesce("root", "node").alias("root"))
 

@@ -1,8 +1,10 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -154,15 +156,65 @@ def test_chains_and_common_passages(spark):
 
 def test_wide_fingerprints_of_similar_sets_are_near():
     rng = np.random.default_rng(5)
-    apart = []
+    apart, seeds = [], simhash._seeds(6)
     for _ in range(300):
         shared, own = rng.integers(0, 2**63, 320, np.uint64), rng.integers(0, 2**63, (2, 40), np.uint64)  # similarity 0.8
-        a, b = (simhash.wide_fingerprint(np.unique(np.concatenate([shared, x]))) for x in own)
+        a, b = (simhash.wide_fingerprint(np.unique(np.concatenate([shared, x])), seeds) for x in own)
         apart.append(int(np.bitwise_count(a ^ b).sum()))
-    assert abs(np.mean(apart) / 384 - 0.1515) < 0.01 and np.mean(np.array(apart) <= simhash.WIDE_RADIUS) > 0.99
+    assert abs(np.mean(apart) / 384 - 0.1515) < 0.01 and np.mean(np.array(apart) <= simhash.allowed(384)) > 0.99
 
 
 def test_very_long_text():
     text = " ".join(f"w{i % 977}" for i in range(300_000))
     assert simhash.fingerprint(text) == slow_fp(text)
     assert len(simhash.shingle_set(text, 5)) == 977
+
+
+def test_shapes_grow_with_the_texts():
+    assert simhash.shape(1000) == (16, 16) and simhash.shape(1000).words == 6 and simhash.allowed(128) == 32 and simhash.allowed(384) == 80
+    for texts in (1 << 19, 1 << 22, 1 << 26, 1 << 34):
+        form = simhash.shape(texts)
+        meetings = texts * form.segments * (form.bits + 1) / 2**form.bits
+        assert meetings < 40_000 and form.words * 64 >= 128 + form.bits * form.segments
+
+
+def edited(rng, words, most):
+    words = list(words)
+    for _ in range(rng.randrange(1, most + 1)):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**9)}"
+    return words
+
+
+@pytest.mark.parametrize("bits", [16, 20])
+def test_loose_group_against_all_pairs(spark, bits):
+    rng = random.Random(bits)
+    base = [f"w{rng.randrange(9000)}" for _ in range(140)]
+    texts = [" ".join(edited(rng, base, 9)) for _ in range(400)]
+    texts += [" ".join(edited(rng, [f"v{i}" for i in range(100)], 3)) for _ in range(90)] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(80)) for _ in range(100)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.root for r in simhash.similar(docs, form=simhash.shape(1 << (bits + 3))).collect()}
+    sets = [slow_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+    kept = sum(got[i] == got[j] for i, j in pairs)
+    assert kept >= 0.99 * len(pairs) and len(pairs) > 1000
+    want = roots_of(len(rows), pairs)
+    assert all(want[i] == want[j] for i in got for j in got if got[i] == got[j])
+
+
+def test_many_near_copies_in_bounded_time(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, 2) if i % 10 else [f"x{rng.randrange(10**7)}" for _ in range(40)])) for i in range(20_000)]
+    began = time.time()
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert 2000 < kept < 2020 and time.time() - began < 240
+
+
+def test_overlaps_one_by_one_and_all_at_once():
+    rng = np.random.default_rng(3)
+    sets = {k: np.unique(rng.integers(0, 3000, rng.integers(0, 400))).astype(np.uint64) for k in range(30)}
+    pairs = [(i, j) for i in sets for j in sets if i < j]
+    want = [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in pairs]
+    assert simhash._overlaps(sets, *zip(*pairs)).tolist() == want
+    assert simhash._overlaps(sets, *zip(*pairs[:20])).tolist() == want[:20]
