@@ -7,8 +7,10 @@ pair is left; an ordered aggregation returns a piece's ids. Decoding joins the i
 returns their bytes by an ordered aggregation, so it sees nothing of the text but its ids.
 Spark partitions the documents; a worker keeps only a bounded table of pieces that it has seen.
 
-A piece of over LONG bytes (a run without a border) would make the recursive query hold a row a byte and round; its rounds run
-one by one as a query of their own that contracts all separate occurrences of the minimum-rank pair at once, with the same result.
+The recursive query holds a row a byte and round, so a piece of over LONG bytes (a run without a border) is first cut wherever no token of the
+vocabulary can reach across: where the two bytes are no token and neither three bytes around them stand in any. No contraction ever crosses such
+a place, so the parts go through the same query as pieces of their own and their ids follow each other. A part that is still over LONG (the same few tokens again and
+again) has few different pairs; its rounds run one by one and contract all separate occurrences of the minimum-rank pair at once, with the same result.
 
 Null texts count as empty and have no tokens. Repeated rows are encoded each on its own; ids may be null; an empty table gives no rows;
 columns beside id and text are not looked at. Of equal pairs in a piece the leftmost is contracted first. Very long texts are taken whole.
@@ -31,7 +33,7 @@ from tallyline.llm.common import by_bytes
 MAX_PIECES = 150_000
 #: Token-position rows per recursive query, and the rows that its rounds may add up to.
 ROWS, ROUND_ROWS = 100_000, 2_000_000
-#: Bytes from which a piece is contracted on its own, by rounds that hold no earlier rounds.
+#: Bytes from which a piece is cut into parts.
 LONG = 1500
 #: Characters encoded and ids decoded at once.
 BATCH_CHARS, TOKENS = 2_000_000, 300_000
@@ -140,6 +142,14 @@ class Codec:
         self.narrow, self.full = splitters(pattern)
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False, "temp_directory": ""})
+        self.two = np.zeros(1 << 16, bool)  # byte pairs that are tokens
+        self.three = np.zeros(1 << 21, np.uint8)  # a bit for each three bytes that stand in a token
+        for token in ranks:
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = True
+            for i in range(len(token) - 2):
+                code = token[i] << 16 | token[i + 1] << 8 | token[i + 2]
+                self.three[code >> 3] |= 1 << (code & 7)
         self.con.register("given", merge_table(ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.register("given", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "s": [t.decode("latin-1") for t in ranks]}))
@@ -160,7 +170,11 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Append the ids of new pieces."""
-        raw = [p.encode() for p in pieces]
+        raw, spans = [], []
+        for piece in (p.encode() for p in pieces):
+            parts = [piece] if len(piece) <= LONG else self.cut(piece)
+            spans.append((len(raw), len(raw) + len(parts)))
+            raw += parts
         ids: list = [None] * len(raw)
         todo = []
         for i, piece in enumerate(raw):
@@ -179,10 +193,22 @@ class Codec:
             size += len(raw[i])
         if start < len(todo):
             self.contract(raw, todo[start:], ids)
+        ids = [ids[a] if b == a + 1 else np.concatenate(ids[a:b]) for a, b in spans]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, flat])
 
+    def cut(self, piece: bytes) -> list[bytes]:
+        """The piece's parts between places that no token can reach across."""
+        x = np.frombuffer(piece, np.uint8).astype(np.int64)
+        crossed = self.two[x[:-1] << 8 | x[1:]]
+        code = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+        stands = (self.three[code >> 3] >> (code & 7) & 1).astype(bool)
+        crossed[:-1] |= stands
+        crossed[1:] |= stands
+        at = [0, *(np.flatnonzero(~crossed) + 1).tolist(), len(piece)]
+        return [piece[a:b] for a, b in zip(at[:-1], at[1:])]
+
     def contract(self, raw: list[bytes], todo: list[int], ids: list) -> None:
         lens = np.fromiter((len(raw[i]) for i in todo), np.int64, len(todo))
         tok = self.byte[np.frombuffer(b"".join(raw[i] for i in todo), np.uint8)]

@@ -1,6 +1,8 @@
 import random
+import time
 
 import public_tokenizers
+import pytest
 import tiktoken
 
 from tallyline.llm import bpe
@@ -33,3 +35,22 @@ def test_frame(spark):
     ids = ENC.encode_ordinary("hi  there")
     assert got == [("1", ids, len(ids), b"hi  there")] * 2 + [("None", [], 0, b"")]
     assert bpe.encode(docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["letters", "words", "two letters", "same", "han", "bytes"])
+def test_long_runs_without_a_border(kind):
+    rng = random.Random(kind)
+    english = "the of and to in is that for it as was with be by on not he his but at are this have from which one".split()
+    text = {
+        "letters": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)),
+        "words": lambda: "".join(rng.choice(english) for _ in range(20_000)),
+        "two letters": lambda: "".join(rng.choice("ab") for _ in range(5_000)),
+        "same": lambda: "a" * 50_001,
+        "han": lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(20_000)),
+        "bytes": lambda: "".join(rng.choice("!#$%&*+-./:;<=>?@^_|~") for _ in range(20_000)),
+    }[kind]()
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    began = time.time()
+    ids, raw = codec.encode([text])[0]
+    assert time.time() - began < 60
+    assert raw == text.encode() and ids.tolist() == ENC.encode_ordinary(text)
