@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tallyline.plans import bindings, bindings_functions, bindings_registry, bindings_rules, bindings_setup, bindings_views  # noqa: F401  (each registers its own)
+from tallyline.plans import bindings, bindings_functions, bindings_match, bindings_registry, bindings_rules, bindings_setup, bindings_views  # noqa: F401  (each registers its own)
 
 QUERIES, ORACLE_SQL = bindings.QUERIES, bindings.ORACLE_SQL
