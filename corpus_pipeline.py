@@ -30,6 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     All texts without words, null ones too, are one class. A row without an id stays only if none of its class has one; of rows of one id the one whose
     text has the smallest hash stays, of rows equal in id and text the least whole row. An empty table stays empty. All columns are kept.
+    Very long texts are compared by all their shingles.
     """
     return simhash.representatives(docs)
 
@@ -39,6 +40,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts hold none and stay; equal rows share their fate, two texts of one id or rows without an id don't; an item of fewer than
     ten words is one window; items without words are looked for nowhere. An empty table stays empty. All columns are kept.
+    Very long texts are searched whole.
     """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +49,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Personal data in texts is masked; n_chars follows.
 
     Every row stays. Null texts stay null with their n_chars; where spans overlap the first one's kind stands for all. All columns are kept.
+    Very long texts are searched and masked whole.
     """
     return pii.mask(docs)
 
@@ -55,6 +58,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids, and the digest of the text that they decode to.
 
     A row each, repeated rows and rows without an id too; null texts count as empty and have no ids. Other columns are left behind.
+    Very long texts are encoded and decoded whole.
     """
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN, columns=("n_tokens", "ids", "decoded_sha256"))
