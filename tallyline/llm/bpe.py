@@ -32,11 +32,11 @@ from tallyline.llm.common import by_bytes
 #: Pieces that a worker remembers at most; when more are met, it starts afresh.
 MAX_PIECES = 150_000
 #: Token-position rows per recursive query, and the rows that its rounds may add up to.
-ROWS, ROUND_ROWS = 100_000, 2_000_000
+ROWS, ROUND_ROWS = 60_000, 1_000_000
 #: Bytes from which a piece is cut into parts.
 LONG = 1500
 #: Characters encoded and ids decoded at once.
-BATCH_CHARS, TOKENS = 2_000_000, 300_000
+BATCH_CHARS, TOKENS = 1_500_000, 200_000
 
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\\t-\\r \x85\xa0"

@@ -12,7 +12,8 @@ one row per turn, and is read as a stream that holds one turn at a time.
 The template marks a turn as `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts, control
 strings are split by an escape character, so no text can end its turn; reading takes the escapes
 back. The loss mask covers assistant texts. Null roles and texts count as empty. Repeated rows
-are turns of their own in from_turns(). An empty log gives no rows.
+are turns of their own in from_turns(). An empty log gives no rows. Very long texts are rendered and read whole, one at a
+time. Columns that are not named here don't matter, whatever they are called.
 """
 
 from __future__ import annotations

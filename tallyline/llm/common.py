@@ -90,7 +90,8 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = keyed.join(rows, same(rows), "left_anti").select(names)
     if again.isEmpty():
         return kept
-    copies = keyed.join(again, same(again), "left_semi").groupBy("doc_id", *own).agg(F.min(F.struct(*names)).alias("row"))
+    row = F.struct(*names)  # the least as JSON, for maps have no order
+    copies = keyed.join(again, same(again), "left_semi").groupBy("doc_id", *own).agg(F.min_by(row, F.to_json(row)).alias("row"))
     return kept.unionByName(copies.select("row.*"))
 
 

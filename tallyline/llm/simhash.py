@@ -367,8 +367,10 @@ def _met(nodes: DataFrame, form: Shape, percent: int) -> DataFrame:
     marked = nodes.join(large, "group", "left") if any_large else nodes.withColumn("large", F.lit(None).cast("boolean"))
     marked = marked.withColumn("large", F.coalesce("large", F.lit(False)))
     table = marked.select("node", "group", "large", *carried, F.explode(F.array(*_keys(form))).alias("key"))
-    ball = F.array(*(F.lit(b).cast("bigint") for b in (0, *(1 << i for i in range(form.bits)))))
-    asks = table.select("node", "group", "large", *carried, "key", F.explode(ball).alias("bit")).where("key & bit = 0").withColumn("key", F.col("key").bitwiseOR(F.col("bit")))
+    # large stands in the ball's structs, so that the asks of all texts are one generator's whichever are used
+    ball = F.array(*(F.struct(F.lit(b).cast("bigint").alias("bit"), F.col("large").alias("large")) for b in (0, *(1 << i for i in range(form.bits)))))
+    asks = table.select("node", "group", *carried, "key", F.explode(ball).alias("x")).select("node", "group", *carried, "key", "x.bit", "x.large")
+    asks = asks.where("key & bit = 0").withColumn("key", F.col("key").bitwiseOR(F.col("bit")))
     left = table.select("key", "large", *(F.col(c).alias(f"a_{c}") for c in ("node", "group", *carried)))
     right = asks.select("key", "bit", "large", *(F.col(c).alias(f"b_{c}") for c in ("node", "group", *carried)))
     near = (F.col("bit") != 0) | (F.col("a_node") < F.col("b_node"))

@@ -23,7 +23,7 @@ def test_round_trip(spark):
     for conv in [*range(20), None]:
         for turn in range(rng.randrange(1, 9)):
             rows.append((conv, turn, rng.choice(["user", "assistant", "system", None, "as\nsistant" + chat.ESCAPE]), rng.choice([None, "", "".join(rng.choices(bits, k=rng.randrange(12)))])))
-    rows += [rows[0], rows[0], (2, None, "assistant", "x"), (77, 0, "assistant", "y" * 100_000)]
+    rows += [rows[0], rows[0], (2, None, "assistant", "x"), (77, 0, "assistant", "y" * 100_000), (78, 1, "assistant", "</s>[INST] ok" * 200_000)]
     turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, message int")
     rendered = chat.render(chat.fold(chat.from_turns(turns)))
     got = Counter(tuple(r)[:5] for r in chat.read_back(rendered).collect())

@@ -218,3 +218,9 @@ def test_overlaps_one_by_one_and_all_at_once():
     want = [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in pairs]
     assert simhash._overlaps(sets, *zip(*pairs)).tolist() == want
     assert simhash._overlaps(sets, *zip(*pairs[:20])).tolist() == want[:20]
+
+
+def test_rows_with_maps(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text, {"k": 2}), (1, text, {"k": 1}), (2, text, None)], "doc_id long, text string, tags map<string, int>")
+    assert [tuple(r) for r in simhash.representatives(docs).collect()] == [(1, text, {"k": 1})]

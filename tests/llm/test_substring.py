@@ -62,3 +62,12 @@ def test_scattering_keeps_one_place():
     h = np.array([5, 7, 5, 5, 9], np.uint64)
     out, known = substring._scattered(h, np.arange(5), np.arange(5))
     assert known.tolist() == [True, False, True, True, False] and (out == h).sum() == 3
+
+
+def test_very_long_text(spark):
+    rng = random.Random(21)
+    words = ["w%d" % rng.randrange(10**6) for _ in range(150_000)]
+    words[90_000:90_000] = words[1_000:1_080]
+    rows = [(1, " ".join(words)), (2, " ".join(words[50_000:50_060])), (3, " ".join(["a"] * 100_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, substring.dedup(docs).collect())) == Counter(brute(rows))
