@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tallyline.functions import persons, places
-from tallyline.plans import evidence, setup
+from tallyline.plans import custody, evidence, setup
 from tallyline.plans.bindings import MONEY, bound, lines, orders, table
 from tallyline.plans.bindings_functions import _invoices, pick, pick_sql
 from tallyline.plans.domain import tables, with_tables
@@ -161,3 +161,20 @@ def page_links(spark, d):
     )
     out = evidence.page_links(c)
     return out.select(F.col("batch").alias("conv_id"), F.col("page_no").alias("turn"), F.coalesce(F.col("link").cast("string"), F.lit("open")).alias("link"), "confidence")
+
+
+_TREE = "{0}(lvl, i, n, h) AS (SELECT 0, row_number() OVER (ORDER BY place, id NULLS FIRST, h) - 1, count(*) OVER (), h FROM {1} UNION ALL SELECT lvl + 1, i // 2, any_value((n + 1) // 2), sha256(unhex(arg_min(h, i)) || unhex(arg_max(h, i))) FROM {0} WHERE n > 1 GROUP BY lvl, i // 2)"
+
+
+@bound(f"""
+WITH RECURSIVE f AS (SELECT 0 AS place, doc_id::VARCHAR AS id, sha256('files:' || sha256(coalesce(text, ''))) AS h FROM documents), g AS (SELECT 2 AS place, event_id::VARCHAR AS id, sha256('field_revisions:' || sha256(event_type || '|' || coalesce(props, ''))) AS h FROM events),
+{_TREE.format("a", "f")}, l AS (SELECT -1 AS place, NULL AS id, sha256('previous_root:' || h) AS h FROM a WHERE n = 1 UNION ALL SELECT * FROM f UNION ALL SELECT * FROM g), {_TREE.format("b", "l")}
+SELECT 'files' AS source, id, (SELECT h FROM a WHERE n = 1) AS first_root, (SELECT h FROM b WHERE n = 1) AS root, true AS verified FROM f""")
+def custody_chain(spark, d):
+    """Two anchors, the second chained to the first, and the proof of each document in the second, folded again."""
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("row_hash"))
+    revisions = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.sha2(F.concat_ws("|", "event_type", F.coalesce("props", F.lit(""))), 256).alias("row_hash"))
+    first = custody.anchor({"files": files})
+    second = custody.anchor({"files": files, "field_revisions": revisions}, first.root)
+    found = custody.proofs(second, files.select(F.lit("files").alias("source"), "id"))
+    return found.select("source", "id", F.lit(first.root).alias("first_root"), custody.folded(F.col("h"), F.col("path")).alias("root"), (custody.folded(F.col("h"), F.col("path")) == second.root).alias("verified"))
