@@ -178,3 +178,40 @@ def custody_chain(spark, d):
     second = custody.anchor({"files": files, "field_revisions": revisions}, first.root)
     found = custody.proofs(second, files.select(F.lit("files").alias("source"), "id"))
     return found.select("source", "id", F.lit(first.root).alias("first_root"), custody.folded(F.col("h"), F.col("path")).alias("root"), (custody.folded(F.col("h"), F.col("path")) == second.root).alias("verified"))
+
+
+_VARIANTS = [(name, group[0]) for group in persons.GIVEN_NAMES for name in group]
+#: A text for each pattern: its endings left out, its dots and middle dots kept.
+_SAMPLES = [p.replace(r"\w*", "").replace(r"\.?", ".").replace(r"\s?", "").replace("·?", "·") for p in persons.BUSINESS_PATTERNS]
+_WORD = "upper(translate(CAST(c_custkey AS VARCHAR(20)), '0123456789', 'bcfgjkmpqz'))"
+
+
+def _pick(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@bound(f"""
+WITH x AS (SELECT c_custkey, ({_pick(v for v, _ in _VARIANTS)})[c_custkey % {len(_VARIANTS)} + 1] AS given, ({_pick(c for _, c in _VARIANTS)})[c_custkey % {len(_VARIANTS)} + 1] AS canonical, c_mktsegment AS surname1, 'XQ' || {_WORD} AS surname2, c_custkey % 7 % 3 AS f FROM customer)
+SELECT c_custkey, given, surname1, surname2, CASE f WHEN 0 THEN 'given_first' ELSE 'surnames_first' END AS reading, canonical FROM x""")
+def fn_given_names(spark, d):
+    """Every variant of every given name, before and behind two surnames made of a customer's row."""
+    c = table(spark, d, "customer")
+    given = F.initcap(F.get(F.array(*(F.lit(v) for v, _ in _VARIANTS)), (F.col("c_custkey") % len(_VARIANTS)).cast("int")))
+    surnames = F.concat(F.initcap("c_mktsegment"), F.lit("  Xq"), F.lower(F.expr(_WORD)))
+    form = F.col("c_custkey") % 7 % 3
+    name = F.when(form == 0, F.concat(given, F.lit(" "), surnames)).when(form == 1, F.concat(surnames, F.lit(", "), given)).otherwise(F.concat(surnames, F.lit(" de "), given))
+    rows = c.select("c_custkey", persons.split_name(name).alias("n"))
+    return rows.select("c_custkey", "n.given", "n.surname1", "n.surname2", F.col("n.order").alias("reading"), persons.canonical_given(F.col("n.given")).alias("canonical"))
+
+
+@bound(f"""
+WITH x AS (SELECT c_custkey, ({_pick(_SAMPLES)})[c_custkey % {len(_SAMPLES)} + 1] AS s, c_custkey % 3 AS f FROM customer)
+SELECT c_custkey, CASE f WHEN 0 THEN true WHEN 1 THEN true ELSE s NOT SIMILAR TO '[a-z·]*' END AS business FROM x""")
+def fn_business_words(spark, d):
+    """Every pattern that tells a business, first, last, and grown together with letters, which makes a word of it no more."""
+    c = table(spark, d, "customer")
+    s = F.get(F.array(*map(F.lit, _SAMPLES)), (F.col("c_custkey") % len(_SAMPLES)).cast("int"))
+    word = F.lower(F.expr(_WORD))
+    dotted = ~s.rlike("^[a-z·]*$")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Xq"), word, F.lit(" "), F.upper(s))).when(F.col("c_custkey") % 3 == 1, F.concat(F.initcap(s), F.lit(" Xq"), word)).when(dotted, F.concat(word, F.lit(", "), s)).otherwise(F.concat(F.lit("xq"), s, word))
+    return c.select("c_custkey", persons.looks_like_business(name).alias("business"))
