@@ -20,7 +20,8 @@ bits, all bits, then the whole shingle sets.
 
 Near copies meet often, so they are joined first: in each segment's exact buckets every text is linked with the nearest found there, and the verified links
 make groups. After that only members of different groups are compared, and two large groups' members only where a
-bucket has both. Sets are verified in cells: pairs are dealt by the hashes of both ends to a square grid, sized by the sets' bytes, and a
+bucket has both. Of the texts in crowded buckets those of which too much stands in no other of them are not compared with
+the others there: they can't be similar. Sets are verified in cells: pairs are dealt by the hashes of both ends to a square grid, sized by the sets' bytes, and a
 set goes once to each cell that needs it, not to each pair.
 
 Equal fingerprints (or sets) are one node from the start. Links become classes by distributed connected components.
@@ -356,12 +357,39 @@ def _same_size(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _met(nodes: DataFrame, form: Shape, percent: int) -> DataFrame:
+def _crowded(nodes: DataFrame, docs: DataFrame, words: int, percent: int, form: Shape) -> DataFrame:
+    """(node, lonely): the nodes that share a segment's value with very many. lonely: too many of its shingles stand in no other of them for any of them to be similar.
+
+    Two sets with a similarity of p share at least p of either, so a set of which more than 1 - p is its own among the crowded has no partner there.
+    """
+    keys = nodes.select("node", F.explode(F.array(*_keys(form))).alias("key"))
+    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LARGE)
+    crowd = materialise(keys.join(full, "key").select("node").distinct(), "crowded")
+
+    def run(batches):
+        for batch in batches:
+            for node, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.frombuffer(hashes, np.int64)
+                for at in range(0, len(found), 65536):
+                    part = found[at : at + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(part)], names=["node", "hash"])
+
+    members = nodes.join(crowd, "node", "left_semi")
+    each = _sets(docs, members.select("node", "h", "k"), words).mapInArrow(run, "node bigint, hash bigint")
+    own = each.groupBy("hash").agg(F.count(F.lit(1)).alias("often"), F.min("node").alias("node")).where("often = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    lonely = 100 * F.coalesce("own", F.lit(0)) > (100 - percent) * F.col("n")
+    return materialise(members.join(own, "node", "left").select("node", lonely.alias("lonely")), "lonely")
+
+
+def _met(nodes: DataFrame, crowd: DataFrame, form: Shape, percent: int) -> DataFrame:
     """(a, b): pairs of nodes(node, group, n, c0, ...) of different groups that meet in a segment's ball and agree in size and the carried bits.
 
-    A node stands in a table for each segment and asks for its own value and for those with one more bit set. Members of one large group never meet.
+    A node stands in a table for each segment and asks for its own value and for those with one more bit set. Members of one large group never meet, nor do
+    two of crowd(node, lonely) of which one is lonely there.
     """
-    carried = ["n", *(f"c{i}" for i in range(CHECK))]
+    carried = ["n", "crowd", *(f"c{i}" for i in range(CHECK))]
+    # 0: not crowded, 1: crowded, 2: lonely among the crowded
+    nodes = nodes.join(crowd, "node", "left").withColumn("crowd", F.when(F.col("lonely"), 2).when(~F.col("lonely"), 1).otherwise(0))
     large = materialise(nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LARGE).select("group", F.lit(True).alias("large")), "large")
     any_large = not large.isEmpty()
     marked = nodes.join(large, "group", "left") if any_large else nodes.withColumn("large", F.lit(None).cast("boolean"))
@@ -374,7 +402,7 @@ def _met(nodes: DataFrame, form: Shape, percent: int) -> DataFrame:
     left = table.select("key", "large", *(F.col(c).alias(f"a_{c}") for c in ("node", "group", *carried)))
     right = asks.select("key", "bit", "large", *(F.col(c).alias(f"b_{c}") for c in ("node", "group", *carried)))
     near = (F.col("bit") != 0) | (F.col("a_node") < F.col("b_node"))
-    near = near & (F.col("a_group") != F.col("b_group")) & _same_size(F.col("a_n"), F.col("b_n"), percent) & (_distance("a_c", "b_c", range(CHECK)) <= allowed(64 * CHECK))
+    near = near & (F.col("a_group") != F.col("b_group")) & (F.col("a_crowd") * F.col("b_crowd") < 2) & _same_size(F.col("a_n"), F.col("b_n"), percent) & (_distance("a_c", "b_c", range(CHECK)) <= allowed(64 * CHECK))
 
     def meet(one: DataFrame, other: DataFrame, *more: Column) -> DataFrame:
         # both sides grow with the texts: they are shuffled at every size
@@ -476,7 +504,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, form: Shape | No
     links = _verified(_closest(nodes, form), nodes, docs, words, percent, form)
     roots = materialise(connected_components(links), "roots")
     named = materialise(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), *(c for c in nodes.columns if c != "node")), "groups")
-    more = _verified(_met(named, form, percent), nodes, docs, words, percent, form)
+    crowd = _crowded(nodes, docs, words, percent, form)
+    more = _verified(_met(named, crowd, form, percent), nodes, docs, words, percent, form)
     roots = connected_components(links.unionByName(more))
     return found.join(roots, "node", "left").select("id", "h", "k", F.coalesce("root", "node").alias("root"))
 
