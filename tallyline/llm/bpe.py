@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from tallyline.llm.common import by_bytes
 
 #: Pieces that a worker remembers at most; when more are met, it starts afresh.
-MAX_PIECES = 150_000
+MAX_PIECES = 600_000
 #: Token-position rows per recursive query, and the rows that its rounds may add up to.
 ROWS, ROUND_ROWS = 60_000, 1_000_000
 #: Bytes from which a piece is cut into parts.
