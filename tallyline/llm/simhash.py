@@ -19,8 +19,9 @@ segment has, 16 times as many texts keep the number of random meetings per text
 bits, all bits, then the whole shingle sets.
 
 Near copies meet often, so they are joined first: in each segment's exact buckets every text is linked with the nearest found there, and the verified links
-make groups. After that only members of different groups are compared, and two large groups' members only where a
-bucket has both. Sets are verified in cells: pairs are dealt by the hashes of both ends to a square grid, sized by the sets' bytes, and a
+make groups. A group whose nearest found stand in a large group is compared with all of that one and with all others that stand so (its crowd), in
+blocks of sets, of which only links return that join two groups: near copies that are not quite similar cost no row a pair. After that only members of
+different groups and crowds are compared, and two large ones' members only where a bucket has both. Sets are verified in cells: pairs are dealt by the hashes of both ends to a square grid, sized by the sets' bytes, and a
 set goes once to each cell that needs it, not to each pair.
 
 Equal fingerprints (or sets) are one node from the start. Links become classes by distributed connected components.
@@ -90,6 +91,8 @@ FLIP, RECALL = 0.1515, 0.994
 CHECK = 2
 #: Bytes of shingle sets that a verifying task holds for a cell, pairs verified at once, members from which a group counts as large, and rows compared at once.
 CELL_BYTES, PAIRS, LARGE, CHUNK = 1 << 26, 1 << 17, 64, 1024
+#: Sets on a side of a crowd's cell, and their bytes.
+SIDE, SIDE_BYTES = 512, 1 << 24
 
 
 class Shape(NamedTuple):
@@ -357,7 +360,7 @@ def _same_size(a: Column, b: Column, percent: int) -> Column:
 
 
 def _met(nodes: DataFrame, form: Shape, percent: int) -> DataFrame:
-    """(a, b): pairs of nodes(node, group, n, c0, ...) of different groups that meet in a segment's ball and agree in size and the carried bits.
+    """(a, b): pairs of nodes(node, group, n, c0, ...) of different groups (here a crowd is one) that meet in a segment's ball and agree in size and the carried bits.
 
     A node stands in a table for each segment and asks for its own value and for those with one more bit set. Members of one large group never meet.
     """
@@ -392,28 +395,40 @@ def _met(nodes: DataFrame, form: Shape, percent: int) -> DataFrame:
     return found.unionByName(meet(one, other, F.col("with") == F.col("b_group")))
 
 
+def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of one shares with each of other."""
+    out = np.zeros((len(one), len(other)), np.float32)
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x), dtype=np.int32), [len(y) for y in x])) for x in (one, other)]
+    both = np.intersect1d(*(hashes for hashes, _ in sides))
+    if not len(both):
+        return out.astype(np.int64)
+    placed = []
+    for hashes, row in sides:
+        at = np.minimum(np.searchsorted(both, hashes), len(both) - 1)
+        stands = both[at] == hashes
+        at, row = at[stands], row[stands]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], row[order]))
+    for first in range(0, len(both), CHUNK):  # so many hashes at a time
+        marks = []
+        for (at, row), n in zip(placed, out.shape):
+            lo, hi = np.searchsorted(at, (first, first + CHUNK))
+            has = np.zeros((n, CHUNK), np.float32)
+            has[row[lo:hi], at[lo:hi] - first] = 1
+            marks.append(has)
+        out += marks[0] @ marks[1].T
+    return out.astype(np.int64)
+
+
 def _overlaps(sets: dict, a: list, b: list) -> np.ndarray:
     """How many hashes each pair of sets (a[i], b[i]) shares."""
     if len(a) < 4 * len(sets):
         return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
-    # a crowded cell: counts of all its pairs at once, over the hashes that more than one of its sets has
+    # a crowded cell: counts of all its pairs at once
     at = {x: i for i, x in enumerate(sets)}
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets.values()])
-    hashes, column, count = np.unique(np.concatenate(list(sets.values())), return_inverse=True, return_counts=True)
-    several = count[column] > 1
-    column = (np.cumsum(count > 1) - 1)[column[several]]
-    row = row[several]
-    i, j = (np.array([at[x] for x in side]) for side in (a, b))
-    one, other = (np.unique(x, return_inverse=True) for x in (i, j))
-    shared = np.zeros((len(one[0]), len(other[0])), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):  # so many hashes at a time
-        lo, hi = np.searchsorted(column, (first, first + CHUNK))
-        has = np.zeros((len(sets), CHUNK), np.float32)
-        has[row[lo:hi], column[lo:hi] - first] = 1
-        shared += has[one[0]] @ has[other[0]].T
-    return shared[one[1], other[1]].astype(np.int64)
+    (one, i), (other, j) = (np.unique([at[x] for x in side], return_inverse=True) for side in (a, b))
+    every = list(sets.values())
+    return _shared([every[x] for x in one], [every[x] for x in other])[i, j]
 
 
 def _agree(batches, percent: int = 80):
@@ -463,19 +478,100 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     return materialise(rows.mapInArrow(functools.partial(_agree, percent=percent), "a bigint, b bigint"), "links")
 
 
+def _joining(batches, percent: int = 80):
+    """Links (a, b) of similar sets, from rows (crowd, x, y, side, node, group, hashes) sorted by cell (crowd, x, y): of each cell's sides those that join groups not yet joined."""
+    cell, sides = None, ([], [])
+
+    def made():
+        (nodes, groups, sets), (others, other_groups, other_sets) = (list(zip(*rows)) for rows in sides)
+        shared = _shared(sets, other_sets)
+        sizes, other_sizes = (np.array([len(x) for x in y]) for y in (sets, other_sets))
+        alike = 100 * shared >= percent * (sizes[:, None] + other_sizes - shared)
+        mark = np.unique(np.array(groups + other_groups), return_inverse=True)[1]
+        own, mark = mark[: len(nodes)].copy(), mark[len(nodes) :].copy()
+        a, b = [], []
+        for i, near in enumerate(alike):
+            labels, first = np.unique(mark[near], return_index=True)
+            at = np.flatnonzero(near)[first]
+            new = labels != own[i]
+            if new.any():
+                a += [nodes[i]] * int(new.sum())
+                b += [others[j] for j in at[new].tolist()]
+                joined = np.append(labels[new], own[i])
+                for x in (own, mark):
+                    x[np.isin(x, joined)] = joined[-1]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    for batch in batches:
+        for crowd, x, y, side, node, group, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+            if (crowd, x, y) != cell:
+                if all(sides):
+                    yield made()
+                cell, sides = (crowd, x, y), ([], [])
+            sides[side].append((node, group, np.frombuffer(hashes, np.uint64)))
+    if all(sides):
+        yield made()
+
+
+def _crowds(nodes: DataFrame, closest: DataFrame) -> DataFrame:
+    """(group, crowd) of the groups of nodes(node, group, ...) that have a crowd: a large group its own, another that of the large one in which most of the nearest found of its members stand.
+
+    closest(a, b): the nearest found, whether similar or not.
+    """
+    large = materialise(nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LARGE).select("group"), "large")
+    if large.isEmpty():
+        return large.withColumn("crowd", F.col("group"))
+    members = nodes.join(large, "group", "left_semi").select(F.col("node").alias("member"), F.col("group").alias("crowd"))
+    both = closest.select(F.col("a").alias("member"), F.col("b").alias("node")).unionByName(closest.select(F.col("b").alias("member"), F.col("a").alias("node")))
+    beside = both.join(members, "member").groupBy("node", "crowd").agg(F.count(F.lit(1)).alias("times"))
+    beside = beside.join(nodes.select("node", "group"), "node").join(large, "group", "left_anti").groupBy("group", "crowd").agg(F.sum("times").alias("times"))
+    beside = beside.groupBy("group").agg(F.max_by("crowd", F.struct("times", "crowd")).alias("crowd"))
+    return materialise(beside.unionByName(large.withColumn("crowd", F.col("group"))), "crowds")
+
+
+def _within(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verified links (a, b) that join the groups of each crowd of nodes(node, group, crowd, ...) wherever two of its sets are similar. Written.
+
+    Each set of a group that isn't the large one itself stands against all sets of the crowd, in cells of two blocks of sets.
+    """
+    beside = F.col("group") != F.col("crowd")
+    sums = [F.ceil(F.greatest(F.count(x) / SIDE, F.sum(8 * x.cast("bigint")) / SIDE_BYTES)).cast("int") for x in (F.when(beside, F.col("n")), F.col("n"))]
+    sides = nodes.groupBy("crowd").agg(sums[0].alias("across"), sums[1].alias("down"), F.count(F.when(beside, True)).alias("beside")).where("beside > 0").select("crowd", "across", "down")
+    sides = materialise(sides, "sides")
+    if sides.isEmpty():
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    nodes = materialise(nodes.join(sides, "crowd").select("node", "h", "k", "group", "crowd", "across", "down"), "crowded")
+    sets = nodes.select("node", "group", "crowd", "across", "down").join(_sets(docs, nodes.select("node", "h", "k"), words), "node")
+    sets = materialise(sets, "sets")
+    own = ["node", "group", "hashes"]
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    of = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    one = sets.where(beside).select("crowd", of("across").alias("x"), every("down").alias("y"), F.lit(0).alias("side"), *own)
+    other = sets.select("crowd", every("across").alias("x"), of("down").alias("y"), F.lit(1).alias("side"), *own)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = one.unionByName(other).repartition(n, "crowd", "x", "y").sortWithinPartitions("crowd", "x", "y", "side")
+    return materialise(rows.mapInArrow(functools.partial(_joining, percent=percent), "a bigint, b bigint"), "links")
+
+
 def similar(docs: DataFrame, words: int = 5, percent: int = 80, form: Shape | None = None) -> DataFrame:
     """(id, h, k, root) of every row of docs(doc_id, text): root is the smallest node that the row's links reach.
 
     Links join shingle sets whose Jaccard similarity is at least percent / 100. First every node is linked with the nearest found for each segment; then
-    all pairs between the groups so made that meet are verified, so no link between candidates is missed.
+    all sets of each crowd are compared, and all other pairs between the groups so made that meet are verified, so no link between candidates is missed.
     """
     form = form or shape(docs.count())
     found = materialise(_marks(docs, words, _seeds(form.words)), "marks")
     made = found.where("fp IS NOT NULL").groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min(F.struct("h", "k")).alias("text"))
     nodes = materialise(made.select("node", "n", "text.h", "text.k", *(F.col("fp")[i].alias(f"c{i}") for i in range(form.words))), "nodes")
-    links = _verified(_closest(nodes, form), nodes, docs, words, percent, form)
+    closest = materialise(_closest(nodes, form).distinct(), "closest")
+    links = _verified(closest, nodes, docs, words, percent, form)
     roots = materialise(connected_components(links), "roots")
     named = materialise(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), *(c for c in nodes.columns if c != "node")), "groups")
+    crowds = _crowds(named, closest)
+    if not crowds.isEmpty():
+        inside = named.join(crowds, "group")
+        links = links.unionByName(_within(inside, docs, words, percent))
+        named = named.join(crowds, "group", "left").withColumn("group", F.coalesce("crowd", "group")).drop("crowd")
     more = _verified(_met(named, form, percent), nodes, docs, words, percent, form)
     roots = connected_components(links.unionByName(more))
     return found.join(roots, "node", "left").select("id", "h", "k", F.coalesce("root", "node").alias("root"))

@@ -211,6 +211,23 @@ def test_many_near_copies_in_bounded_time(spark):
     assert 2000 < kept < 2020 and time.time() - began < 240
 
 
+def test_a_loose_crowd_costs_no_row_a_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(9000)}" for _ in range(140)]
+    texts = [" ".join(edited(rng, base, 2)) for _ in range(250)]  # a large group
+    texts += [" ".join(edited(rng, edited(rng, base, 6), 9)) for _ in range(250)]  # beside it, most of them not similar enough
+    rows = list(enumerate(texts))
+    met, plain = [], simhash._met
+    monkeypatch.setattr(simhash, "_met", lambda *args: met.append(plain(*args)) or met[0])
+    monkeypatch.setattr(simhash, "SIDE", 100)  # several cells
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.root for r in simhash.similar(docs).collect()}
+    sets = [slow_set(t) for t in texts]
+    want = roots_of(len(rows), [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in got for j in got) and 100 < len(set(want)) <= 251
+    assert met[0].count() < 2 * len(rows)
+
+
 def test_overlaps_one_by_one_and_all_at_once():
     rng = np.random.default_rng(3)
     sets = {k: np.unique(rng.integers(0, 3000, rng.integers(0, 400))).astype(np.uint64) for k in range(30)}
