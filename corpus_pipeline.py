@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last keep the columns of
-documents. Stages judge whole texts, each on its own input.
+documents. Stages judge whole texts, each on its own input. Stages that hand texts to Python set the
+session's Arrow batches to at most TEXT_ROWS rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import bpe, decontam, pii, quality, simhash
-from tallyline.llm.common import materialise, table
+from tallyline.llm.common import materialise, small_batches, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are judged like any other (as texts without words), rows without an id too; equal rows share their fate; a score of
     exactly 0.5 stays. Without labels all rows stay. An empty table stays empty. All columns are kept, whatever their names; texts are read whole.
     """
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels")
     return quality.keep_good(docs, quality.train(docs, labels.where(~quality.held_out(F.col("doc_id")))))
 
@@ -32,6 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text has the smallest hash stays, of rows equal in id and text the least whole row. An empty table stays empty. All columns are kept.
     Very long texts are compared by all their shingles.
     """
+    small_batches(spark)
     return simhash.representatives(docs)
 
 
@@ -51,6 +54,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Every row stays. Null texts stay null with their n_chars; where spans overlap the first one's kind stands for all. All columns are kept.
     Very long texts are searched and masked whole.
     """
+    small_batches(spark)
     return pii.mask(docs)
 
 
@@ -60,6 +64,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row each, repeated rows and rows without an id too; null texts count as empty and have no ids. Other columns are left behind.
     Very long texts are encoded and decoded whole.
     """
+    small_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN, columns=("n_tokens", "ids", "decoded_sha256"))
 

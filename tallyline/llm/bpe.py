@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from tallyline.llm.common import by_bytes
 
 #: Pieces that a worker remembers at most; when more are met, it starts afresh.
-MAX_PIECES = 600_000
+MAX_PIECES = 300_000
 #: Token-position rows per recursive query, and the rows that its rounds may add up to.
 ROWS, ROUND_ROWS = 60_000, 1_000_000
 #: Bytes from which a piece is cut into parts.
@@ -322,6 +322,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(a, b - a), *(pa.array(cells[c](), _TYPES[c][1]) for c in columns)], names=["id", *columns]
                 )
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     schema = ", ".join([f"id {id_type}", *(f"{c} {_TYPES[c][0]}" for c in columns)])
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)

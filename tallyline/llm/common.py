@@ -64,6 +64,17 @@ def partitions_for(df: DataFrame, size: int) -> int:
     return max(n, -(-known // size)) if known < 1 << 60 else n  # a table that isn't read from files says no size
 
 
+#: Rows of whole texts that go to a Python worker at once; what it and its executor hold for a batch follows.
+TEXT_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most TEXT_ROWS rows; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def row_keys(text: Column) -> list[Column]:
     """h and k: together 128 bits that, beside the id, name a row by its text; of null texts they are those of a null."""
     return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("k")]
