@@ -57,15 +57,16 @@ def parameter_asof(rows: DataFrame, versions: DataFrame, key: str, day: str, by_
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], value: str, other: str, tie: str) -> DataFrame:
     """Each row of left with right's row of equal keys and nearest value, ties to the smallest tie.
 
-    Only two neighbours can be nearest, the last at or below and the first above: both come from one sort.
+    Only two neighbours can be nearest, the last at or below and the first at or above: each is the last one seen in a sort of
+    its own. (A frame up to the end of the key would be read again for every row.)
     """
     lefts = left.select(*keys, F.lit(1).alias("_side"), F.col(value).alias("_v"), F.lit(None).alias("_tie"), F.struct(*left.columns).alias("_left"), F.lit(None).alias("_right"))
     best = right.groupBy(*keys, other).agg(F.min_by(F.struct(*right.columns), tie).alias("_right"), F.min(tie).alias("_tie"))
     rights = best.select(*keys, F.lit(0).alias("_side"), F.col(other).alias("_v"), "_tie", F.lit(None).alias("_left"), "_right")
     both = rights.unionByName(lefts)
     up = Window.partitionBy(*keys).orderBy("_v", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy("_v", F.col("_side").desc()).rowsBetween(0, Window.unboundedFollowing)
-    near = both.withColumns({"_below": F.last("_right", ignorenulls=True).over(up), "_above": F.first("_right", ignorenulls=True).over(down)}).where("_side = 1")
+    down = Window.partitionBy(*keys).orderBy(F.col("_v").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumns({"_below": F.last("_right", ignorenulls=True).over(up), "_above": F.last("_right", ignorenulls=True).over(down)}).where("_side = 1")
     gap_below, gap_above = F.col("_v") - F.col(f"_below.{other}"), F.col(f"_above.{other}") - F.col("_v")
     below_wins = F.col("_above").isNull() | (gap_below < gap_above) | ((gap_below == gap_above) & (F.col(f"_below.{tie}") <= F.col(f"_above.{tie}")))
     picked = near.withColumn("_best", F.when(F.col("_below").isNotNull() & below_wins, F.col("_below")).otherwise(F.col("_above")))
