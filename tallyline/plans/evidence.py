@@ -28,11 +28,11 @@ def _inside(w: Column, box: Column) -> Column:
 def locate_quotes(fields: DataFrame, words: DataFrame) -> DataFrame:
     """fields(field_id, page_id, quote, bbox) with found text, score, scope and crop_status.
 
-    words(page_id, idx, text, x0, y0, x1, y1) are gathered a page at a time. Runs of as many words as the quote has, one
+    words(page_id, idx, text, x0, y0, x1, y1) are gathered a page at a time, which small files don't foretell: pages are sorted, not broadcast. Runs of as many words as the quote has, one
     more, one fewer and two more are compared; inside the box first, then on the whole page.
     """
     pages = words.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "x0", "y0", "x1", "y1"))).alias("words"))
-    rows = fields.join(pages, "page_id", "left").withColumn("target", _folded(F.col("quote"))).withColumn("n", F.size(F.split("target", " ")))
+    rows = fields.join(pages.hint("merge"), "page_id", "left").withColumn("target", _folded(F.col("quote"))).withColumn("n", F.size(F.split("target", " ")))
     rows = rows.withColumn("words", F.transform(F.coalesce("words", F.array().cast(pages.schema["words"].dataType)), lambda w: w.withField("text", _folded(w["text"]))))
 
     def best(pool: Column) -> Column:
@@ -49,8 +49,8 @@ def locate_quotes(fields: DataFrame, words: DataFrame) -> DataFrame:
         return let(pool, runs)
 
     boxed = F.when(F.col("bbox").isNotNull(), F.filter("words", lambda w: _inside(w, F.col("bbox")))).otherwise(F.slice("words", 1, 0))
-    rows = rows.withColumns({"in_box": best(boxed), "on_page": best(F.col("words"))})
     ok_box, ok_page = F.coalesce(F.col("in_box.score") >= FOUND, F.lit(False)), F.coalesce(F.col("on_page.score") >= FOUND, F.lit(False))
+    rows = rows.withColumn("in_box", best(boxed)).withColumn("on_page", F.when(~ok_box, best(F.col("words"))))
     rows = rows.withColumn("hit", F.when(F.col("target") == "", F.lit(None)).when(ok_box, F.col("in_box")).when(ok_page, F.col("on_page")))
     held = F.col("bbox").isNotNull() & F.forall("hit.run", lambda w: _inside(w, F.col("bbox")))
     status = F.when(F.col("hit").isNull(), "page_only").when(F.coalesce(held, F.lit(False)), "anchored").otherwise("approximate")
