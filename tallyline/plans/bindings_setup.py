@@ -97,7 +97,8 @@ def contribution_ledger(spark, d):
         F.lit("1995-03-01").cast("date").alias("starts_on"), (k % 4 + 1).cast("int").alias("months"),
     )
     units = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community_id"), (F.col("c_custkey") % 7 + 1).cast("decimal(7,4)").alias("quota"))
-    return setup.contribution_ledger(rules, units)
+    classes = setup.contribution_classes(rules, units).withColumns({"period": F.col("period").cast("string"), "expected": F.col("expected").cast("double")})  # once for many rows
+    return classes.select("derrama_id", F.inline("unit_ids"), "period", "expected")
 
 
 @bound("""

@@ -29,18 +29,36 @@ def default_parameters(inputs: DataFrame) -> DataFrame:
     return rows.withColumn("version", F.row_number().over(later))
 
 
-def contribution_ledger(rules: DataFrame, units: DataFrame) -> DataFrame:
-    """(derrama_id, unit_id, period, expected): one row a unit and month of rules(derrama_id, community_id, criterion, total, per_unit, starts_on, months).
+#: Fixed value: of a community's units, about so many meet its rules at a time.
+UNITS = 2048
+
 
-    criterion is partes_iguales (per_unit a month) or coeficiente (total by the unit's share of all quotas, over the months). Rules are few; units(id, community_id, quota) meet them by community.
+def contribution_classes(rules: DataFrame, units: DataFrame) -> DataFrame:
+    """(derrama_id, period, expected, unit_ids array of struct(unit_id)): what a month of rules(derrama_id, community_id, criterion, total, per_unit, starts_on, months) asks of units(id, community_id, quota).
+
+    criterion is partes_iguales (per_unit a month) or coeficiente (total by the unit's share of all quotas, over the months). A community's units are dealt to blocks, and
+    a rule goes to each of them, so a community is many tasks' work. Units of a block with one quota owe the same: the amount is
+    computed once for them, and unit_ids names them all.
     """
-    sums = units.groupBy("community_id").agg(F.sum(F.coalesce("quota", F.lit(0))).alias("all_quotas"))
-    months = F.explode(F.transform(F.sequence(F.lit(0), F.col("months") - 1), lambda i: F.add_months("starts_on", i))).alias("period")
-    due = rules.where("starts_on IS NOT NULL AND months > 0").select("derrama_id", "community_id", "criterion", "total", "per_unit", "months", months)
-    rows = due.join(units.select(F.col("id").alias("unit_id"), "community_id", "quota"), "community_id").join(sums, "community_id")
-    shared = F.when(F.col("all_quotas") > 0, F.col("total").cast("decimal(18,6)") * F.coalesce("quota", F.lit(0)) / F.col("all_quotas") / F.col("months"))
+    sums = units.groupBy("community_id").agg(F.sum(F.coalesce("quota", F.lit(0))).alias("all_quotas"), F.ceil(F.count(F.lit(1)) / UNITS).cast("int").alias("blocks"))
+    n = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as the rows that meet say nothing of how many come out
+    block = F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")
+    dealt = units.join(sums.select("community_id", "blocks"), "community_id").select("community_id", block, "quota", "id")
+    same = dealt.groupBy("community_id", "block", "quota").agg(F.collect_list(F.struct(F.col("id").alias("unit_id"))).alias("unit_ids"))
+    blocks = same.groupBy("community_id", "block").agg(F.collect_list(F.struct("quota", "unit_ids")).alias("classes")).repartition(n, "community_id", "block")
+    due = rules.where("starts_on IS NOT NULL AND months > 0").select("derrama_id", "community_id", "criterion", "total", "per_unit", "starts_on", "months").join(sums, "community_id")
+    due = due.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(n, "community_id", "block")
+    rows = due.join(blocks.hint("merge"), ["community_id", "block"]).withColumn("_c", F.explode("classes"))
+    shared = F.when(F.col("all_quotas") > 0, F.col("total").cast("decimal(18,6)") * F.coalesce("_c.quota", F.lit(0)) / F.col("all_quotas") / F.col("months"))
     expected = F.when(F.col("criterion") == "partes_iguales", F.col("per_unit").cast("double")).when(F.col("criterion") == "coeficiente", shared.cast("double"))
-    return rows.withColumn("expected", F.round(expected.cast("decimal(28,8)"), 2).cast(CENTS)).where("expected IS NOT NULL").select("derrama_id", "unit_id", "period", "expected")
+    rows = rows.withColumn("expected", F.round(expected.cast("decimal(28,8)"), 2).cast(CENTS)).where("expected IS NOT NULL")
+    months = F.explode(F.transform(F.sequence(F.lit(0), F.col("months") - 1), lambda i: F.add_months("starts_on", i))).alias("period")
+    return rows.select("derrama_id", months, "expected", F.col("_c.unit_ids").alias("unit_ids"))
+
+
+def contribution_ledger(rules: DataFrame, units: DataFrame) -> DataFrame:
+    """(derrama_id, unit_id, period, expected): one row a unit and month of the rules; see contribution_classes."""
+    return contribution_classes(rules, units).select("derrama_id", F.inline("unit_ids"), "period", "expected")
 
 
 def merge_chunks(chunks: DataFrame, document: str, order: str, arrays: list[str]) -> DataFrame:
