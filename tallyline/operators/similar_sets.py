@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import strip_diacritics
-from tallyline.operators import joins
 from tallyline.operators.scratch import materialise
 
 
@@ -59,25 +58,31 @@ def similar_sets(rows: DataFrame, node: str, items: str, percent: int) -> DataFr
 def similar_lines(lines: DataFrame, line: str, vendor: str, day: str, text: str, percent: int = 85, days: int = 120) -> DataFrame:
     """(line, similar): for each line how many lines of other vendors within `days` of it have a similar text (trigrams, at least percent / 100).
 
-    Texts with equal trigrams are one node. Partners are counted, not listed: running counts by day are looked up at both ends of a line's window, once for all
-    vendors and once for its own, so a text on very many lines costs a sort. Lines without day, vendor or words have none. Names of lines must be distinct.
+    Texts with equal trigrams are one node, with a number. Partners are counted, not listed: sums over days up to both ends of a window, by text for all
+    vendors and by text and vendor for a line's own, so a text on very many lines costs a sort. What is sorted is a row for each line and each text like its own that has
+    another number, of numbers alone; a line's name is sorted once. Lines without day, vendor or words have none. Names of lines must be distinct.
     """
     rows = lines.select(F.col(line).alias("line"), F.col(vendor).alias("vendor"), F.unix_date(F.col(day).cast("date")).alias("day"), F.col(text).alias("text"))
     texts = rows.select("text").distinct().withColumn("items", F.array_sort(trigrams(F.col("text"))))
-    texts = materialise(texts.where(F.size("items") > 0).withColumn("node", F.sha2(F.array_join("items", "|"), 256)), "texts")
-    nodes = texts.groupBy("node").agg(F.first("items").alias("items"))
+    texts = materialise(texts.where(F.size("items") > 0).withColumn("same", F.sha2(F.array_join("items", "|"), 256)), "texts")
+    nodes = texts.groupBy("same").agg(F.first("items").alias("items")).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialise(nodes, "nodes")
     pairs = similar_sets(nodes, "node", "items", percent).select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    rows = materialise(rows.join(texts.select("text", "node"), "text").where("day IS NOT NULL AND vendor IS NOT NULL").drop("text"), "lines")
-    asks = rows.join(both.withColumnRenamed("a", "node"), "node").select("line", "vendor", F.col("b").alias("of"), (F.col("day") - days - 1).alias("before"), (F.col("day") + days).alias("upto"))
-    total = F.lit(0)
-    for name, keys in (("all", ["of"]), ("own", ["of", "vendor"])):
-        daily = rows.withColumnRenamed("node", "of").groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("n"))
-        running = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-        counts = daily.withColumn("n", F.sum("n").over(running))
-        for at in ("upto", "before"):
-            asks = joins.asof_latest(asks, counts, keys, at, "day", ["n"], ["n"]).drop("asof_day").withColumnRenamed("asof_n", f"{name}_{at}")
-            sign = 1 if (name == "all") == (at == "upto") else -1
-            total = total + sign * F.coalesce(f"{name}_{at}", F.lit(0))
-    found = asks.groupBy("line").agg(F.sum(total).alias("similar"))
-    return lines.select(F.col(line)).join(found.withColumnRenamed("line", line), line, "left").withColumn("similar", F.coalesce("similar", F.lit(0)))
+    others = materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs").withColumnRenamed("a", "node")
+    numbered = texts.join(nodes.select("same", "node"), "same").select("text", "node")
+    rows = materialise(rows.join(numbered, "text", "left").drop("text"), "lines")
+    known = F.col("day").isNotNull() & F.col("vendor").isNotNull() & F.col("node").isNotNull()
+    counted = rows.where(known)
+
+    def within(*keys):
+        by = Window.partitionBy(*keys).orderBy("day")
+        return F.sum("n").over(by.rangeBetween(Window.unboundedPreceding, days)) - F.coalesce(F.sum("n").over(by.rangeBetween(Window.unboundedPreceding, -days - 1)), F.lit(0))
+
+    daily = counted.groupBy("node", "day").agg(F.count(F.lit(1)).alias("n")).repartition("day")  # a day's texts meet in one place before they are dealt by text
+    near = daily.unionByName(daily.join(others, "node").select(F.col("b").alias("node"), "day", "n")).groupBy("node", "day").agg(F.sum("n").alias("n"))
+    every = near.select("node", "day", within("node").alias("every"))
+    mine = counted.select("line", "vendor", "day", "node", F.lit(1).alias("n"))
+    theirs = counted.select("vendor", "day", "node").join(others, "node").select(F.lit(None).cast(rows.schema["line"].dataType).alias("line"), "vendor", "day", F.col("b").alias("node"), F.lit(1).alias("n"), F.lit(False).alias("_own"))
+    own = mine.withColumn("_own", F.lit(True)).unionByName(theirs).withColumn("own", within("vendor", "node")).where("_own")
+    found = own.join(every, ["node", "day"]).select("line", (F.col("every") - F.col("own")).alias("similar"))
+    return found.unionByName(rows.where(~known).select("line", F.lit(0).cast("bigint").alias("similar"))).withColumnRenamed("line", line)
